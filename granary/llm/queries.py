@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import license_scan, quality_rules, secret_scan, source_mixing, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_license_scan": license_scan.op2_license_scan,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+        "op8_secret_scan": secret_scan.op8_secret_scan,
+        "op10_source_mixing": source_mixing.op10_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": quality_rules.OP1_SQL, "op10_source_mixing": source_mixing.OP10_SQL}
