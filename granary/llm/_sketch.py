@@ -123,6 +123,15 @@ def repeated(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndar
     return Repeated(bits, rows)
 
 
+def members(df: DataFrame, column: str, expected: float) -> Repeated:
+    """Bits that hold every (non-null) long of the column, and other keys seldom."""
+
+    def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield np.repeat(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), 2)
+
+    return repeated(df.select(column), keys_of, expected)
+
+
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """Bytes of all texts: what sketches are sized by."""
     return df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

@@ -4,8 +4,13 @@ Pass one counts in a merged sketch.  Counting all windows would need a sketch
 that grows with every word, so each window is counted through its anchor: the
 least-hashed run of ANCHOR words inside it.  Equal windows hold equal anchors,
 so the count of an anchor never falls below that of its windows: the estimate
-errs upward only and no repeated window is lost.  Pass two groups exactly only
-the windows whose estimate is two or more, by 96 bits of hash.
+errs upward only and no repeated window is lost.
+
+Pass two groups exactly, by 96 bits of hash or more, only windows whose
+estimate is two or more.  Windows that follow each other over one anchor make a
+segment, and equal segments are the same windows, so most of the grouping is of
+segments.  Where an anchor stands in segments that differ (the edges of a
+passage), a second set of bits marks it and its windows are grouped one by one.
 
 Results for odd input: a null text has no words; a null id counts as greater
 than any other id and is returned as null; rows that share an id are one
@@ -55,31 +60,71 @@ def _anchor_keys(window: int, anchor: int):
     return keys_of
 
 
-def _windows(sketch, window: int, anchor: int):
-    """(h1, h2, id, t, at) of every window whose count is estimated at two or more."""
+def _segments(sketch, window: int, anchor: int):
+    """(a, s1, s2, id, t, at, n) of each segment of n windows over one anchor whose count is estimated at two or more."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sketch.value
         for batch in batches:
             ids, tags = B.ids(batch), batch.column(2).to_numpy(zero_copy_only=False)
             for a, _, data, offsets in B.slices(batch):
-                hashes, doc, at, grams, _ = _anchored(data, offsets, window, anchor)
+                hashes, doc, at, grams, place = _anchored(data, offsets, window, anchor)
                 if not len(at):
                     continue
-                at = at[seen(grams)]
+                first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (np.diff(at) != 1)])
+                last = np.r_[first[1:], len(at)] - 1
+                keep = seen(grams[first])
+                first, last = first[keep], last[keep]
+                if not len(first):
+                    continue
+                start, end = at[first], at[last] + window
+                of = doc[start]
+                s2 = B.spans_hash(hashes, start, end, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [B.longs(grams[first]), B.longs(B.spans_hash(hashes, start, end)), pa.array((s2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array((start - np.searchsorted(doc, of)).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
+                    ["a", "s1", "s2", "id", "t", "at", "n"],
+                )
+
+    return task
+
+
+def _windows(marked, window: int, anchor: int):
+    """(h1, h2, id, t, at) of every window over a marked anchor."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        differ = marked.value
+        for batch in batches:
+            ids, tags = B.ids(batch), batch.column(2).to_numpy(zero_copy_only=False)
+            for a, _, data, offsets in B.slices(batch):
+                hashes, doc, at, grams, _ = _anchored(data, offsets, window, anchor)
+                at = at[differ(grams)]
                 if not len(at):
                     continue
                 of = doc[at]
-                first = np.searchsorted(doc, of)
                 h2 = B.spans_hash(hashes, at, at + window, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [B.longs(B.spans_hash(hashes, at, at + window)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array((at - first).astype(np.int32))],
+                    [B.longs(B.spans_hash(hashes, at, at + window)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array((at - np.searchsorted(doc, of)).astype(np.int32))],
                     ["h1", "h2", "id", "t", "at"],
                 )
 
     return task
 
 
+def _later(rows: DataFrame, one: str, two: list[str]) -> DataFrame:
+    """The rows whose key (one, *two) also occurs with a smaller id.
+
+    The least ids are summed by the whole key before the shuffle: a passage in a third of all documents is one row per
+    task there.  They are joined back by a part of the key, so that both sides are dealt by the join itself and AQE may
+    split a frequent key's rows among tasks.
+    """
+    first = rows.groupBy(one, *two).agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    first = first.select(F.col(one).alias("f_one"), *[F.col(c).alias(f"f_{c}") for c in two], "least")
+    same = (F.col(one) == F.col("f_one")) & (F.col("id") > F.col("least"))
+    for c in two:  # as a condition, not as a key that deals the rows
+        same &= ~(F.col(c) < F.col(f"f_{c}")) & ~(F.col(c) > F.col(f"f_{c}"))
+    return rows.join(first, same)
+
+
 def _cut(window: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +135,9 @@ def _cut(window: int):
                 runs: list[dict] = []
                 if at.is_valid:
                     edge = np.zeros(len(words) + 1, dtype=np.int32)
-                    starts = np.unique(at.values.to_numpy())
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + window, -1)
+                    start, n = at.values.field(0).to_numpy(), at.values.field(1).to_numpy()
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + n + (window - 1), -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     step = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
                     runs = [{"start": int(x), "end": int(y)} for x, y in step.reshape(-1, 2)]
@@ -117,14 +162,16 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     """
     spark = df.sparkSession
     docs = keyed(df, id_col, text_col)
-    per_anchor = (window - anchor + 2) / 2
-    seen = S.repeated(docs, _anchor_keys(window, anchor), S.text_bytes(docs, "text") / 6 / per_anchor)
+    expected = S.text_bytes(docs, "text") / 6 / ((window - anchor + 2) / 2)
+    share = spark.sparkContext.broadcast
+    seen = share(S.repeated(docs, _anchor_keys(window, anchor), expected))
     tagged = docs.withColumn("t", F.xxhash64("text"))
-    rows = tagged.mapInArrow(_windows(spark.sparkContext.broadcast(seen), window, anchor), "h1 long, h2 int, id long, t long, at int")
-    # Summed before the shuffle: a passage in a third of all documents is one row per task here.
-    first = rows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h1", "h2", "least")
-    # Both sides are dealt by the join itself, so that AQE may split a frequent window's rows.
-    again = rows.join(first, ["h1", "h2"]).where("id > least").groupBy("id", "t").agg(F.collect_set("at").alias("at"))
+    segments = tagged.mapInArrow(_segments(seen, window, anchor), "a long, s1 long, s2 int, id long, t long, at int, n int")
+    differ = segments.groupBy("a").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.min("s2").alias("lo2"), F.max("s2").alias("hi2")).where("lo < hi or lo2 < hi2")
+    marked = share(S.members(differ, "a", expected / 4))
+    rows = tagged.mapInArrow(_windows(marked, window, anchor), "h1 long, h2 int, id long, t long, at int")
+    later = _later(segments, "s1", ["s2"]).select("id", "t", "at", "n").unionByName(_later(rows, "h1", ["h2"]).select("id", "t", "at", F.lit(1).alias("n")))
+    again = later.groupBy("id", "t").agg(F.collect_set(F.struct("at", "n")).alias("at"))
     joined = tagged.alias("d").join(again.alias("a"), F.expr("d.id = a.id and d.t = a.t"), "left").select("d.id", "d.text", "a.at")
     out = joined.mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:int,end:int>>")
     return out.select(id_out(id_col), "n_words", "n_removed", "kept_sha256", "kept_text", "removed")
