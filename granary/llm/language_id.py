@@ -35,6 +35,7 @@ from ._shared import documents, id_out, keyed, named
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PER_LANGUAGE = 400
 ROUNDS = 3
+MOST_LANGUAGES = 1000
 MAX_WORD = 40
 MAX_PIECE = 16
 SMOOTH = 0.01
@@ -180,8 +181,11 @@ def train(df: DataFrame, key: str, lang_col: str, text_col: str, path: str = VOC
     The sample that comes to the driver has about per_language documents a language, by a hash of `key`, whatever the size of df.
     """
     labelled = df.select(named(lang_col).cast("string").alias("lang"), named(text_col).cast("string").alias("text"), (F.abs(F.xxhash64(F.lit("sample"), named(key).cast("string"))) % 1_000_000).alias("draw")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("have"))
-    drawn = labelled.join(sizes, "lang").where(F.col("draw") * F.col("have") < 1_000_000 * per_language).select("lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("have")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of {lang_col}")
+    below = F.create_map(*[F.lit(x) for row in sizes for x in (row["lang"], 1_000_000 * per_language // row["have"])]) if sizes else F.lit(None)
+    drawn = labelled.where(F.col("draw") < (below[F.col("lang")] if sizes else F.lit(0))).select("lang", "text")
     counts = drawn.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     pieces = Pieces(vocabulary(path))
     languages = sorted(counts["lang"].unique().tolist(), key=lambda x: x.encode())

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, quality_rules, secret_scan, source_mixing, substring_dedup
+from . import language_id, license_scan, minhash_dedup, quality_rules, secret_scan, source_mixing, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_license_scan": license_scan.op2_license_scan,
+        "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_secret_scan": secret_scan.op8_secret_scan,
+        "op9_language_id": language_id.op9_language_id,
         "op10_source_mixing": source_mixing.op10_source_mixing,
     }
 
