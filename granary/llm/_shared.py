@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._bytes import LAST_ID
@@ -40,3 +42,47 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="granary-"))
     return df.checkpoint()
+
+
+#: Up to so many ids (8 bytes each) are broadcast to drop their rows; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+
+
+def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """df without the rows whose id is in the single column of `gone` (null is an id like any other)."""
+    gone = gone.toDF("granary_gone").distinct()
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return df.join(gone, named(id_col).cast("long").eqNullSafe(F.col("granary_gone")), "left_anti")
+
+
+def one_row_per_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of the rows that share an id, the one with the least text; other rows are not shuffled."""
+    twice = durable(df.groupBy(named(id_col).alias("granary_id")).count().where("count > 1").select("granary_id"))
+    if twice.isEmpty():
+        return df
+    same = named(id_col).eqNullSafe(F.col("granary_id"))
+    order = Window.partitionBy(named(id_col)).orderBy(named(text_col), F.hash(*[named(c) for c in df.columns if c not in (id_col, text_col)]))
+    some = df.join(twice, same, "left_semi").withColumn("granary_row", F.row_number().over(order)).where("granary_row = 1").drop("granary_row")
+    return df.join(twice, same, "left_anti").unionByName(some)
+
+
+def over_rows(df: DataFrame, text_col: str, task: Callable, finish: Callable) -> DataFrame:
+    """Run a task on (row, text) beside whole rows, without a join; finish(batch, result) makes the rows that go on.
+
+    The task gives one batch of results for each batch it gets.
+    """
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+
+        def feed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held.append(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at).cast(pa.string())], ["id", "text"])
+
+        for result in task(feed()):
+            yield finish(held.pop(0), result)
+
+    return df.mapInArrow(run, df.schema)

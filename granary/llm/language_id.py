@@ -26,11 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._shared import documents, id_out, keyed, named
+from ._shared import documents, id_out, keyed, named, over_rows
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PER_LANGUAGE = 400
@@ -253,3 +254,12 @@ def learn(docs: DataFrame, path: str = VOCABULARY):
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return identify(docs, learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(df: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, whose text is in some language (not `und`)."""
+
+    def finish(batch: pa.RecordBatch, result: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pc.not_equal(result.column(1), "und"))
+
+    return over_rows(df, text_col, _predict(df.sparkSession.sparkContext.broadcast(model)), finish)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, minhash_dedup, quality_rules, secret_scan, source_mixing, substring_dedup, suffix_dedup
+from . import decontaminate, language_id, license_scan, minhash_dedup, quality_rules, secret_scan, source_mixing, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_secret_scan": secret_scan.op8_secret_scan,

@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import documents, id_out, keyed
+from ._shared import documents, id_out, keyed, over_rows
 
 KINDS = ("assign", "access", "hex", "der", "jwt", "openssh", "pem")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -169,3 +169,19 @@ def secret_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(documents(spark, sf_dir)).select("doc_id", "secrets")
     return found.mapInArrow(_digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """df with the secrets in its texts replaced, and length_col (if given) set to the new length in code points."""
+    text, length = df.columns.index(text_col), df.columns.index(length_col) if length_col else None
+
+    def finish(batch: pa.RecordBatch, result: pa.RecordBatch) -> pa.RecordBatch:
+        found = pc.greater(pc.list_value_length(result.column(1)), 0)
+        columns = list(batch.columns)
+        clean = result.column(2).cast(columns[text].type)
+        columns[text] = clean
+        if length is not None:
+            columns[length] = pc.if_else(found, pc.utf8_length(clean).cast(columns[length].type), columns[length])
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return over_rows(df, text_col, _task, finish)
