@@ -173,7 +173,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = data.tobytes()
             frame = pd.DataFrame({"lang": [of[a + d] for d in doc.tolist()], "word": [raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]})
             found = frame.groupby(["lang", "word"]).size().reset_index(name="n")
-            yield pa.RecordBatch.from_arrays([pa.array(found["lang"], pa.string()), pa.array(found["word"], pa.binary()), pa.array(found["n"], pa.int64())], ["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(found["lang"].tolist(), pa.string()), pa.array(found["word"].tolist(), pa.binary()), pa.array(found["n"].tolist(), pa.int64())], ["lang", "word", "n"])
 
 
 def train(df: DataFrame, key: str, lang_col: str, text_col: str, path: str = VOCABULARY, per_language: int = PER_LANGUAGE) -> tuple[list[str], Pieces, np.ndarray]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import _bytes as B
 from ._shared import documents, id_out, keyed
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 TEMPLATES = (
     ("released under the mit license", "mit"),
@@ -42,9 +42,8 @@ TEMPLATES = (
     ("creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3"),
+    ("this work is licensed under the gnu general public license", "gpl"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
-    ("this work is licensed under the gnu general public license version 2", "gpl-2"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
