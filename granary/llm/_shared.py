@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,36 +35,50 @@ def id_out(name: str, column: str = "id") -> Column:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared checkpoint folder: later plans read them, and losing an executor loses nothing.
+    """The rows, written once as a table in the shared checkpoint folder: later plans read them, and losing an executor loses nothing.
 
-    The folder is the session's spark.checkpoint.dir; where that is unset (tests) a temporary one is set.
+    The folder is the session's spark.checkpoint.dir; where that is unset (tests) a temporary one is set.  Like Spark's own
+    checkpoints the tables stay until the folder is cleared.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="granary-"))
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/granary-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Up to so many ids (8 bytes each) are broadcast to drop their rows; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     """df without the rows whose id is in the single column of `gone` (null is an id like any other)."""
-    gone = gone.toDF("granary_gone").distinct()
+    name = fresh(df, "gone")
+    gone = gone.toDF(name).distinct()
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return df.join(gone, named(id_col).cast("long").eqNullSafe(F.col("granary_gone")), "left_anti")
+    return df.join(gone, named(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def one_row_per_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of the rows that share an id, the one with the least text; other rows are not shuffled."""
-    twice = durable(df.groupBy(named(id_col).alias("granary_id")).count().where("count > 1").select("granary_id"))
+    key, turn = fresh(df, "key"), fresh(df, "turn")
+    twice = durable(df.select(named(id_col).alias(key)).groupBy(key).agg(F.count("*").alias(turn)).where(F.col(turn) > 1).select(key))
     if twice.isEmpty():
         return df
-    same = named(id_col).eqNullSafe(F.col("granary_id"))
+    same = named(id_col).eqNullSafe(F.col(key))
     order = Window.partitionBy(named(id_col)).orderBy(named(text_col), F.hash(*[named(c) for c in df.columns if c not in (id_col, text_col)]))
-    some = df.join(twice, same, "left_semi").withColumn("granary_row", F.row_number().over(order)).where("granary_row = 1").drop("granary_row")
+    some = df.join(twice, same, "left_semi").withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn)
     return df.join(twice, same, "left_anti").unionByName(some)
 
 

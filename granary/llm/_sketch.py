@@ -24,7 +24,7 @@ DEPTH = 2
 #: A row of the sketch has 2**LEAST_BITS to 2**MOST_BITS cells: 2 * 64 MB of bits at most.
 LEAST_BITS, MOST_BITS = 20, 29
 #: Keys that a task gathers before it ships a part of its sketch.
-PART_KEYS = 1 << 21
+PART_KEYS = 1 << 20
 BLOCK_BITS = 18
 _PART = "block int, part binary, n int"
 

@@ -38,7 +38,7 @@ from ._shared import documents, durable, id_out, keyed
 
 LENGTH = 100
 ANCHOR = 32
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 SHARD_ROWS = 4096
 SLICE = 1 << 18
 GAP = 0xFF  # in no UTF-8 text
@@ -47,10 +47,10 @@ GAP = 0xFF  # in no UTF-8 text
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of a byte array in order, and the rank of each, by doubling the depth of groups not yet sorted."""
     n = len(text)
-    padded = np.r_[text, np.zeros(7, dtype=np.uint8)].astype(np.int64)
+    padded = np.r_[text.astype(np.int64) + 1, np.zeros(7, dtype=np.int64)]  # 0 is the end
     key = np.zeros(n, dtype=np.int64)
     for k in range(7):
-        key = (key << 8) | padded[k : k + n]
+        key = key * 257 + padded[k : k + n]
     order = np.argsort(key, kind="stable")
     key = key[order]
     places = np.arange(n)
@@ -121,7 +121,7 @@ def _anchor_keys(length: int, anchor: int):
     return keys_of
 
 
-_SEGMENT = "a long, s1 long, s2 long, id long, t long, at long, n int, seg binary"
+_SEGMENT = "a long, s long, id long, t int, at long, n int, seg binary"
 
 
 def _segments(sketch, length: int, anchor: int):
@@ -145,14 +145,14 @@ def _segments(sketch, length: int, anchor: int):
                 values = B.byte_values(data)
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [B.longs(key), B.longs(B.spans_hash(values, start, end)), B.longs(B.spans_hash(values, start, end, 1)), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array(start - offsets[of]), pa.array((last - first + 1).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())],
-                    ["a", "s1", "s2", "id", "t", "at", "n", "seg"],
+                    [B.longs(key), B.longs(B.spans_hash(values, start, end)), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array(start - offsets[of]), pa.array((last - first + 1).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())],
+                    ["a", "s", "id", "t", "at", "n", "seg"],
                 )
 
     return task
 
 
-_MARKS = "open boolean, h1 long, h2 long, id long, t long, at long, n int"
+_MARKS = "open boolean, h1 long, h2 long, id long, t int, at long, n int"
 
 
 def _marks(h: tuple[np.ndarray, np.ndarray] | None, id: np.ndarray, t: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -165,12 +165,17 @@ def _marks(h: tuple[np.ndarray, np.ndarray] | None, id: np.ndarray, t: np.ndarra
 
 
 def shard_marks(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    """The marks of one shard, whose segments are in order of (a, s1, s2, id, t, at)."""
-    a, s1, s2, id, t, at, n = (table.column(k).to_numpy() for k in range(7))
-    raw, offsets = B.text_buffers(table.column(7).combine_chunks())
-    new = np.r_[True, (a[1:] != a[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]
-    if not new.all():
-        yield _marks(None, id[~new], t[~new], at[~new], n[~new])
+    """The marks of one shard, whose segments are in order of (a, s, id, t, at).
+
+    Equal anchors and equal hashes of the whole segments, 128 bits, are equal segments.
+    """
+    a, s, id, t, at, n = (table.column(k).to_numpy() for k in range(6))
+    raw, offsets = B.text_buffers(table.column(6).combine_chunks())
+    new = np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+    later = (id != id[first]) | (t != t[first]) | (at != at[first])  # not the first itself, as repeated rows are
+    if later.any():
+        yield _marks(None, id[later], t[later], at[later], n[later])
     one = np.flatnonzero(new)
     a, id, t, at, n, begin = a[one], id[one], t[one], at[one], n[one].astype(np.int64), offsets[:-1][one]
     edge = (a == a[0]) | (a == a[-1])
@@ -214,7 +219,7 @@ def _shards(length: int):
                 part = batch.slice(a, SHARD_ROWS)
                 a += part.num_rows
                 held.append(part)
-                size += int(pc.sum(pc.binary_length(part.column(7))).as_py())
+                size += int(pc.sum(pc.binary_length(part.column(6))).as_py())
                 if size >= SHARD_BYTES:
                     yield from shard_marks(pa.Table.from_batches(held), length)
                     held, size = [], 0
@@ -225,16 +230,19 @@ def _shards(length: int):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by (h1, h2, id, t, at): of each equal run, found by binary search, all but the first go."""
-    last = None
+    """Rows come ordered by (h1, h2, id, t, at): of each equal run, found by binary search, all but the first string go."""
+    last = None  # of the run that may go on: its digest and its first string
     for batch in batches:
         h1, h2, id, t, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
         if not len(h1):
             continue
-        low = np.searchsorted(h1, h1, side="left")
-        later = (np.arange(len(h1)) > low) & np.r_[False, (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])]
-        later[0] = last == (h1[0], h2[0])
-        last = (h1[-1], h2[-1])
+        digest = h1.astype(object) * 2**64 + h2 if (h1[1:] == h1[:-1]).any() and (h2[1:][h1[1:] == h1[:-1]] != h2[:-1][h1[1:] == h1[:-1]]).any() else h1
+        first = np.searchsorted(digest, digest, side="left")
+        id1, t1, at1 = id[first], t[first], at[first]
+        if last and last[0] == (h1[0], h2[0]):
+            id1[first == 0], t1[first == 0], at1[first == 0] = last[1]
+        later = (id != id1) | (t != t1) | (at != at1)
+        last = (h1[-1], h2[-1]), (id1[-1], t1[-1], at1[-1])
         yield pa.RecordBatch.from_arrays([pa.array(id[later]), pa.array(t[later]), pa.array(at[later]), pa.array(np.ones(int(later.sum()), dtype=np.int32))], ["id", "t", "at", "n"])
 
 
@@ -277,12 +285,12 @@ def remove_repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str
     docs = keyed(df, id_col, text_col)
     expected = S.text_bytes(docs, "text") / ((length - anchor + 2) / 2)
     seen = spark.sparkContext.broadcast(S.repeated(docs, _anchor_keys(length, anchor), expected))
-    tagged = docs.withColumn("t", F.xxhash64("text"))
+    tagged = docs.withColumn("t", F.hash("text"))
     segments = tagged.mapInArrow(_segments(seen, length, anchor), _SEGMENT)
-    in_order = segments.repartitionByRange("a", "s1", "s2", "id", "t", "at").sortWithinPartitions("a", "s1", "s2", "id", "t", "at")
+    in_order = segments.repartitionByRange("a", "s", "id", "t", "at").sortWithinPartitions("a", "s", "id", "t", "at")
     marks = durable(in_order.mapInArrow(_shards(length), _MARKS))
     edges = marks.where("open").select("h1", "h2", "id", "t", "at")
-    merged = edges.repartitionByRange("h1").sortWithinPartitions("h1", "h2", "id", "t", "at").mapInArrow(_merge, "id long, t long, at long, n int")
+    merged = edges.repartitionByRange("h1").sortWithinPartitions("h1", "h2", "id", "t", "at").mapInArrow(_merge, "id long, t int, at long, n int")
     later = marks.where("not open").select("id", "t", "at", "n").unionByName(merged)
     again = later.groupBy("id", "t").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
     joined = tagged.alias("d").join(again.alias("a"), F.expr("d.id = a.id and d.t = a.t"), "left").select("d.id", "d.text", "a.marks")
