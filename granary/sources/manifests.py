@@ -3,7 +3,7 @@
 One plain function per file format turns a text into (type, name, version,
 scope, direct) rows; `extract` runs them over a files DataFrame in Arrow
 batches, each file where it is, without a shuffle.  Formats that are plain JSON
-objects or lines also have native forms in `native`, for corpora of one kind.
+objects or lines also have native forms in `native.py`, for corpora of one kind.
 """
 
 from __future__ import annotations

@@ -59,6 +59,17 @@ def test_manifest(name):
     assert kind and not error and {(d.type, d.name, d.version, d.scope) for d in found} == want
 
 
+@pytest.mark.parametrize("name", ["package.json", "composer.json", "package-lock.json", "requirements.txt", "go.mod"])
+def test_native_forms_agree(spark, name):
+    from granary.sources.native import NATIVE
+
+    text, want = CASES[name]
+    files = spark.createDataFrame([("/a/" + name, text), ("/b/" + name, ""), ("/c/" + name, None), ("/d/" + name, "{ broken")], "path string, text string")
+    got = NATIVE[name](files).collect()
+    assert {(r.type, r.name, r.version, r.scope) for r in got if r.path.startswith("/a")} == want
+    assert name == "requirements.txt" or all(r.path.startswith("/a") for r in got)
+
+
 def test_extract(spark):
     rows = [(f"/p{k}/{n}", t) for k, (n, (t, _)) in enumerate(CASES.items())] + [("/bad/package.json", "{"), ("/x/readme.md", "text"), ("/e/package.json", ""), ("/n/go.mod", None)]
     got = M.extract(spark.createDataFrame(rows, "path string, text string")).collect()
