@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.OP1_SQL, "op10_source_mixing": source_mixing.OP10_SQL}
+    return {"op1_quality_rules": quality_rules.OP1_SQL, "op6_substring_dedup": substring_dedup.OP6_SQL, "op10_source_mixing": source_mixing.OP10_SQL}

@@ -179,3 +179,19 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(documents(spark, sf_dir)).drop("kept_text", "removed")
+
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), win AS (
+  SELECT r, doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, greatest(len(words) - 48, 1))) AS i FROM w)
+), first AS (
+  SELECT h, min(doc_id) AS least FROM win GROUP BY h
+), gone AS (
+  SELECT DISTINCT r, i + k AS p FROM win JOIN first USING (h), (SELECT unnest(range(0, 50)) AS k) WHERE least < doc_id
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS s, count(*) AS n FROM (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w) ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)
+"""
