@@ -188,13 +188,42 @@ def test_near_duplicates(frame, corpus):
     assert len(set(got.values())) < len(got) - 4
 
 
-def test_large_group_of_copies(frame):
+@pytest.mark.parametrize("local", [True, False])
+def test_components(spark, local, monkeypatch):
+    from granary.llm import _graph
+
+    monkeypatch.setattr(_graph, "LOCAL_LINKS", 10**6 if local else 0)
+    links = [(k, k + 1) for k in range(0, 30)] + [(100, 200), (200, 150), (7, 7), (300, 301), (301, 302), (302, 300)]
+    got = dict(rows_of(_graph.components(spark.createDataFrame(links, "u long, v long"))))
+    assert got == {k: 0 for k in range(31)} | {100: 100, 150: 100, 200: 100} | {300: 300, 301: 300, 302: 300}
+    assert rows_of(_graph.components(spark.createDataFrame([], "u long, v long"))) == []
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_large_group_of_copies(frame, local, monkeypatch):
+    if not local:
+        monkeypatch.setattr(minhash_dedup, "LOCAL_ROWS", -1)
+        monkeypatch.setattr(minhash_dedup, "BROADCAST_SIGNATURES", 0)
     base = " ".join(f"w{k}" for k in range(120))
     rows = [(k, base if k % 2 else base.replace(f"w{k % 100} ", f"v{k} ")) for k in range(300)] + [(1000 + k, " ".join(f"x{k}y{j}" for j in range(60))) for k in range(20)]
     got = dict(rows_of(minhash_dedup.near_duplicates(frame(rows))))
     assert {got[k] for k in range(300)} == {0} and all(got[1000 + k] == 1000 + k for k in range(20))
 
 
+def test_copies_that_differ_from_the_pivot(frame):
+    """Documents that resemble each other below the threshold stay apart; each one's own copy is found among them."""
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for i in rng.choice(150, 12, replace=False):
+            w[i] = f"x{k}y{i}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:-1]))]
+    got = dict(rows_of(minhash_dedup.near_duplicates(frame(rows))))
+    assert got == brute_classes(rows, 0.8)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 400).astype(np.uint64)
