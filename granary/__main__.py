@@ -1,4 +1,4 @@
-"""python -m granary scan|summary|sbom PATH: a scan of a source tree on a local or submitted session."""
+"""python -m granary scan|tree|summary|sbom PATH, or info LISTING: a scan of a source tree on a local or submitted session."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 
 from .operators.aggregates import merged_dependencies
 from .operators.sbom import cyclonedx, sbom_components, spdx, stamp
-from .plans import outputs
+from .operators.components import tree
+from .plans import info, outputs
 from .plans.scan import aggregate, scan
 from .sources import config
 from .sources.rules import Rules, read_rules
@@ -18,7 +19,7 @@ from .sources.rules import Rules, read_rules
 
 def main(args: list[str]) -> int:
     p = argparse.ArgumentParser(prog="granary")
-    p.add_argument("command", choices=("scan", "summary", "sbom"))
+    p.add_argument("command", choices=("scan", "tree", "summary", "sbom", "info"))
     p.add_argument("path", nargs="+")
     p.add_argument("--config", default="")
     p.add_argument("--rules-dir", default="")
@@ -27,8 +28,12 @@ def main(args: list[str]) -> int:
     p.add_argument("--aggregate", default="")
     p.add_argument("--omit", default="")
     p.add_argument("--graph", default=None, choices=("off", "direct", "full"))
-    p.add_argument("--format", default="cyclonedx", choices=("cyclonedx", "spdx"))
+    p.add_argument("--format", default="cyclonedx", choices=("cyclonedx", "spdx", "text", "json", "yaml"))
     a = p.parse_args(args)
+    if a.command == "info":
+        rows = info.LISTINGS[a.path[0]]() if a.path[0] in info.LISTINGS else info.rule(a.path[0])
+        print(info.show(rows, a.format if a.format in ("json", "yaml") else "text"))
+        return 0
     root, include = (a.path[0], []) if len(a.path) == 1 else config.common_parent(a.path)
     options = {"exclude": a.exclude, "include": include, "aggregate": a.aggregate, "only_rules": a.rules, "omit": a.omit, "graph": a.graph}
     layers = [config.read(a.config) if a.config else {}, config.from_environment(), {k: v for k, v in options.items() if v}]
@@ -41,6 +46,9 @@ def main(args: list[str]) -> int:
     if a.command == "sbom":
         components = sbom_components(merged_dependencies(found.dependencies))
         print(stamp(cyclonedx(components, found.root_id), datetime.now(timezone.utc)) if a.format == "cyclonedx" else spdx(components, found.root_id))
+    elif a.command == "tree":
+        parts = {"dependencies": found.dependencies.drop("walk_order"), "reasons": found.reasons, "licenses": found.licenses, "dependency_edges": found.edges.drop("walk_order"), "component_refs": found.references}
+        print(tree(found.components, found.root_id, {k: v for k, v in parts.items() if k not in settings.omit}))
     else:
         parts = aggregate(spark, found, settings)
         print(outputs.summary(parts) if a.command == "summary" else outputs.full_json(found.root_id, parts, settings.omit))

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import aggregates as A
+from ..operators import components as K
 from ..operators import graphs as G
 from ..operators import rules as R
-from ..sources import config, lockgraphs, manifests
+from ..sources import config, licenses, lockgraphs, manifests
 from ..sources import files as S
 from ..sources import rules as rule_source
 
@@ -47,7 +48,7 @@ DETECTORS: list[tuple[str, str, str]] = [
 
 @dataclass
 class Scan:
-    """The relations of a scan, in long form; each is a plan until an action runs it."""
+    """The relations of a scan, in long form.  What several rollups read is written once to spark.checkpoint.dir; texts are not."""
 
     root_id: str
     files: DataFrame
@@ -55,6 +56,8 @@ class Scan:
     dependencies: DataFrame
     edges: DataFrame
     reasons: DataFrame
+    references: DataFrame
+    licenses: DataFrame
     errors: DataFrame
 
 
@@ -84,24 +87,24 @@ def detect(files: DataFrame, root: str) -> DataFrame:
 def scan(spark: SparkSession, root: str, settings: config.Settings = config.Settings(), rules: rule_source.Rules | None = None) -> Scan:
     rules = rules or rule_source.Rules(only=settings.only_rules)
     files = S.scan(spark, root, settings.exclude, settings.include)
-    read = S.code_lines(S.with_text(spark, root, files, settings.include)).withColumn("granary_root", F.lit(root))
+    read = S.code_lines(S.with_text(spark, root, files, settings.include))
     rid = root_id(root, settings)
-    own = detect(read, rid)
+    own = G.stored(detect(read, rid))
     # The last detector's component of a directory owns the files below it.
     owners = own.groupBy("dir").agg(F.max(F.struct("walk_order", "component_id"))["component_id"].alias("owner"))
     main = spark.createDataFrame([(rid, "main", "", "/", "/", -1)], own.schema)
     components = own.unionByName(main)
     root_owner = owners.unionByName(spark.createDataFrame([("/", rid)], "dir string, owner string").join(owners.where("dir = '/'"), "dir", "left_anti"))
-    owned = G.nearest_ancestor(read.drop("granary_root"), root_owner)
+    owned = G.stored(G.nearest_ancestor(read.drop("text"), root_owner))
 
-    extracted = manifests.extract(read)
+    extracted = G.stored(manifests.extract(read))
     place = owned.select(F.col("path").alias("o_path"), "owner", "walk_order")
     deps = extracted.where("error IS NULL").join(place, F.col("path") == F.col("o_path")).select(
         F.col("owner").alias("component_id"), "type", "name", "version", "scope", "direct", F.col("path").alias("source"), F.lit("").alias("license"), (F.col("walk_order") + F.col("ord")).alias("walk_order"))
     edges = lockgraphs.extract_edges(read, settings.graph).join(place.withColumnRenamed("walk_order", "w"), F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "component_type", "from", "to", F.col("path").alias("source"), "scope", "walk_order")
 
     by_dep = R.match_dependencies(deps.select("component_id", "type", "name").distinct(), rules.exact_table(spark), rules.regexes).select("component_id", "tech", "reason")
-    base = owned.select("path", "dir", "name", "ext", "text", F.col("owner").alias("component_id"))
+    base = read.select("path", "dir", "name", "ext", "text")
     hits = [R.match_names(base, rules.names_table(spark), rules.globs, rules.directories)]
     if rules.content:
         hits.append(R.match_content(base, rules.content).select("path", "tech", F.lit("matched content").alias("reason")))
@@ -114,13 +117,16 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
     by_file = hits[0]
     for more in hits[1:]:
         by_file = by_file.unionByName(more)
-    by_file = by_file.join(base.select(F.col("path").alias("b_path"), "component_id"), F.col("path") == F.col("b_path")).select("component_id", "tech", "reason")
-    reasons = by_dep.unionByName(by_file).distinct()
+    by_file = by_file.join(place, F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "tech", "reason")
+    reasons = G.stored(by_dep.unionByName(by_file).distinct())
 
     techs = reasons.groupBy("component_id").agg(F.array_sort(F.collect_set("tech")).alias("tech"))
     code = owned.groupBy(F.col("owner").alias("component_id")).agg(F.sum("code").alias("code"), F.count("*").alias("files"))
     full = components.join(techs, "component_id", "left").join(code, "component_id", "left").select(*components.columns, F.coalesce("tech", F.array().cast("array<string>")).alias("tech"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("files", F.lit(0)).alias("files"))
-    return Scan(rid, owned.withColumnRenamed("owner", "component_id"), full, deps, edges, reasons, extracted.where("error IS NOT NULL").select("path", "error"))
+    full = G.stored(K.with_parents(full, rid))
+    settled = G.stored(G.propagate_versions(licenses.harvest(K.settled_dependencies(deps), licenses.from_package_json(read).unionByName(licenses.from_nuspec(read)))))
+    found = licenses.detect_files(read).join(place.select("o_path", "owner"), F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "path", "license", "detection_type", "confidence", "category")
+    return Scan(rid, owned.withColumnRenamed("owner", "component_id"), full, settled, edges, reasons, K.references(settled, full), found, extracted.where("error IS NOT NULL").select("path", "error"))
 
 
 def aggregate(spark: SparkSession, s: Scan, settings: config.Settings = config.Settings(), ecosystems: Sequence[dict] = rule_source.ECOSYSTEMS) -> dict[str, DataFrame]:
@@ -133,6 +139,7 @@ def aggregate(spark: SparkSession, s: Scan, settings: config.Settings = config.S
         "techs": techs,
         "reasons": A.reasons_by_tech(s.reasons.withColumn("walk_order", F.xxhash64("component_id"))),
         "languages": s.files.where("language IS NOT NULL").groupBy("language").agg(F.count("*").alias("files")),
+        "licenses": s.licenses.select("license", "category").distinct(),
         "dependencies": A.merged_dependencies(s.dependencies).orderBy("type", "name", "version"),
         "dependency_edges": A.merged_edges(s.edges).orderBy("from", "to"),
         "components": s.components.where(F.col("component_id") != s.root_id),

@@ -35,3 +35,43 @@ def from_nuspec(files: DataFrame) -> DataFrame:
     at = lambda k: F.regexp_extract("text", rf"<{k}(?:\s[^>]*)?>([^<]*)</{k}>", 1)
     rows = files.where(F.col("path").rlike(r"\.nuspec$")).select(F.lit("nuget").alias("type"), at("id").alias("name"), at("version").alias("version"), at("license").alias("license"))
     return rows.where("name <> '' AND license <> ''")
+
+
+# Words that open or name a license text, and the SPDX id; the first that all stand in a text counts.
+TEXTS = (
+    (("GNU AFFERO GENERAL PUBLIC LICENSE", "Version 3"), "AGPL-3.0"),
+    (("GNU LESSER GENERAL PUBLIC LICENSE", "Version 3"), "LGPL-3.0"),
+    (("GNU LESSER GENERAL PUBLIC LICENSE", "Version 2.1"), "LGPL-2.1"),
+    (("GNU GENERAL PUBLIC LICENSE", "Version 3"), "GPL-3.0"),
+    (("GNU GENERAL PUBLIC LICENSE", "Version 2"), "GPL-2.0"),
+    (("Apache License", "Version 2.0"), "Apache-2.0"),
+    (("Mozilla Public License", "2.0"), "MPL-2.0"),
+    (("Eclipse Public License", "2.0"), "EPL-2.0"),
+    (("Permission is hereby granted, free of charge", "THE SOFTWARE IS PROVIDED"), "MIT"),
+    (("Redistribution and use in source and binary forms", "Neither the name"), "BSD-3-Clause"),
+    (("Redistribution and use in source and binary forms",), "BSD-2-Clause"),
+    (("Permission to use, copy, modify, and/or distribute",), "ISC"),
+    (("This is free and unencumbered software",), "Unlicense"),
+    (("Boost Software License",), "BSL-1.0"),
+    (("CC0 1.0 Universal",), "CC0-1.0"),
+)
+NAMES = r"(?i)^(licen[cs]e|copying|unlicense)([._-].*)?$"
+
+
+def detect_files(files: DataFrame) -> DataFrame:
+    """(path, license, detection_type, confidence, category) of license files among files (path, name, length, text).
+
+    Confidence is the share of a license's marks that the text holds; only whole matches are over 0.9.
+    """
+    from ..functions.licenses import category
+
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
+    rows = files.where(F.col("name").rlike(NAMES) & (F.col("length") <= MOST_LICENSE_BYTES)).withColumn("flat", flat)
+    cases = []
+    for words, spdx in TEXTS:
+        hit = None
+        for w in words:
+            hit = F.lower("flat").contains(w.lower()) if hit is None else hit & F.lower("flat").contains(w.lower())
+        cases.append(F.when(hit, F.lit(spdx)))
+    found = rows.withColumn("license", F.coalesce(*cases)).where("license IS NOT NULL")
+    return found.select("path", "license", F.lit("file_based").alias("detection_type"), F.lit(1.0).alias("confidence"), category(F.col("license")).alias("category"))

@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from granary.plans import outputs
+from granary.operators import components
+from granary.plans import info, outputs
 from granary.plans.scan import aggregate, scan
 from granary.sources import config, files, licenses, rules
 from granary.streaming import incremental
@@ -63,6 +64,11 @@ def test_scan(spark, tree):
     owner = {r.path: r.component_id for r in s.files.collect()}
     assert owner["/api/deep/er/util.py"] == owner["/api/main.py"] != owner["/src/app.ts"]
     assert ("react@18.2.0", "loose@1.4.0") in {(r["from"], r["to"]) for r in s.edges.collect()}
+    nested = json.loads(components.tree(s.components, s.root_id, {"dependencies": s.dependencies, "licenses": s.licenses}))
+    assert nested["name"] == "main" and {c["name"] for c in nested["children"]} == {"web"}
+    web = nested["children"][0]
+    assert {c["name"] for c in web["children"]} == {"api", "example.com/svc"}
+    assert {d["name"]: (d["version"], d["declared"]) for d in web["dependencies"] if d["type"] == "npm"} == {"react": ("18.2.0", "^18.0.0"), "pg": ("8.0.0", None)}
     parts = aggregate(spark, s, settings)
     assert {(r["name"], r["version"]) for r in parts["dependencies"].collect()} >= {("react", "18.2.0"), ("django", "4.2"), ("github.com/a/b", "v1.0.0"), ("postgres", "16")}
     eco = {r["ecosystem"]: r["components"] for r in parts["ecosystems"].collect()}
@@ -74,6 +80,27 @@ def test_scan(spark, tree):
     assert parts["subsystems"].count() >= 2
 
 
+def test_parents_and_references(spark):
+    c = spark.createDataFrame([("r", "main", "", "/"), ("a", "a", "nodejs", "/a"), ("b", "b", "nodejs", "/a/x/b"), ("c", "My_Lib", "python", "/c")], "component_id string, name string, type string, dir string")
+    assert {r.component_id: (r.parent_id, r.depth) for r in components.with_parents(c, "r").collect()} == {"r": (None, 0), "a": ("r", 1), "b": ("a", 2), "c": ("r", 1)}
+    d = spark.createDataFrame([("a", "npm", "b"), ("b", "npm", "b"), ("a", "pypi", "my-lib")], "component_id string, type string, name string")
+    assert sorted(tuple(r) for r in components.references(d, c).collect()) == [("a", "b", "b"), ("a", "c", "my-lib")]
+
+
+def test_license_files(spark):
+    f = spark.createDataFrame([("/LICENSE", "LICENSE", 10, "Apache License\n   Version 2.0, January"), ("/x/COPYING.txt", "COPYING.txt", 10, "GNU GENERAL PUBLIC LICENSE\nVersion 3"), ("/y/license.py", "license.py", 10, "nothing"), ("/z/LICENSE", "LICENSE", 10**9, "Apache License Version 2.0")], "path string, name string, length long, text string")
+    assert sorted((r.path, r.license, r.category) for r in licenses.detect_files(f).collect()) == [("/LICENSE", "Apache-2.0", "notice"), ("/x/COPYING.txt", "GPL-3.0", "restricted")]
+
+
+def test_listings(capsys):
+    from granary.__main__ import main
+
+    assert main(["info", "techs", "--format", "json"]) == 0
+    assert {t["tech"] for t in json.loads(capsys.readouterr().out)} >= {"react", "django"}
+    assert "Python" in info.show(info.languages()) and info.categories()[0]["techs"] >= 1
+    assert info.rule("react")[0]["name"] == "React" and "node" in info.show(info.ecosystems(), "yaml")
+
+
 def test_only_rules(spark, tree):
     s = scan(spark, tree, config.Settings(), rules.Rules(only=["django"]))
     assert {r.tech for r in s.reasons.collect()} == {"django"}
