@@ -21,10 +21,10 @@ columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +42,11 @@ MAX_PIECE = 16
 SMOOTH = 0.01
 #: Probabilities are held times GROW per byte, so that a product over a longest word stays a normal number.
 GROW = 32.0
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: Words whose scores a task keeps between slices.
 KEPT_WORDS = 1 << 18
+#: Words of one length that are scored at once.
+CHUNK = 1 << 12
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -115,7 +117,7 @@ def score_words(pieces: Pieces, p: np.ndarray, data: np.ndarray, start: np.ndarr
     grown = _grown(p, pieces)
     size = end - start
     for k in np.unique(size):
-        for of in np.array_split(np.flatnonzero(size == k), max(1, int((size == k).sum()) >> 14)):
+        for of in np.array_split(np.flatnonzero(size == k), max(1, -(-int((size == k).sum()) // CHUNK))):
             rows = np.full((len(of), k + 1), 32, dtype=np.uint8)
             rows[:, 1:] = data[start[of][:, None] + np.arange(k)]
             total = _forward(pieces.lattice(rows), k + 1, grown)[k + 1]
@@ -132,7 +134,7 @@ def fit(pieces: Pieces, words: list[bytes], counts: np.ndarray, rounds: int = RO
     start = np.cumsum(size) - size
     groups = []
     for k in np.unique(size):
-        for of in np.array_split(np.flatnonzero(size == k), max(1, int((size == k).sum()) >> 14)):
+        for of in np.array_split(np.flatnonzero(size == k), max(1, -(-int((size == k).sum()) // CHUNK))):
             rows = np.full((len(of), k + 1), 32, dtype=np.uint8)
             rows[:, 1:] = data[start[of][:, None] + np.arange(k)]
             groups.append((int(k) + 1, of, rows))
@@ -171,9 +173,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = B.LOWER[data] if len(data) else data
             start, end, doc = words_of(data, offsets)
             raw = data.tobytes()
-            frame = pd.DataFrame({"lang": [of[a + d] for d in doc.tolist()], "word": [raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]})
-            found = frame.groupby(["lang", "word"]).size().reset_index(name="n")
-            yield pa.RecordBatch.from_arrays([pa.array(found["lang"].tolist(), pa.string()), pa.array(found["word"].tolist(), pa.binary()), pa.array(found["n"].tolist(), pa.int64())], ["lang", "word", "n"])
+            found = Counter((of[a + d], raw[x:y]) for d, x, y in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
 
 def train(df: DataFrame, key: str, lang_col: str, text_col: str, path: str = VOCABULARY, per_language: int = PER_LANGUAGE) -> tuple[list[str], Pieces, np.ndarray]:
