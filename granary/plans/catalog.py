@@ -174,7 +174,7 @@ def primary_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ELIGIBLE = [("o",), ("f",), ("t1",), ("t2",), ("t3",)]
-_PRIMARY = f"""WITH c AS ({T.COMPONENTS}), eligible AS {_values(ELIGIBLE, 'tech')}, typed AS (SELECT * FROM c WHERE type <> '' AND {{where}}),
+_PRIMARY = f"""WITH c AS (SELECT * REPLACE ({{code}} AS code) FROM ({T.COMPONENTS})), eligible AS {_values(ELIGIBLE, 'tech')}, typed AS (SELECT * FROM c WHERE type <> ''),
 sizes AS (SELECT count(*) AS typed, count(*) FILTER (code > 0) AS with_code, coalesce(sum(code) FILTER (code > 0), 0) AS total FROM typed),
 per AS (SELECT x.tech, count(*) AS n, coalesce(sum(code) FILTER (code > 0), 0) AS code FROM (SELECT component_id, code, unnest(list_distinct(tech)) AS tech FROM typed) x JOIN eligible USING (tech) GROUP BY 1)
 SELECT tech FROM per, sizes WHERE CASE WHEN with_code > 0 AND with_code * 2 >= typed THEN code > 0 AND code >= greatest(1, total // 100)
@@ -185,14 +185,14 @@ def _eligible(spark: SparkSession) -> DataFrame:
     return _frame(spark, ELIGIBLE, "tech string")
 
 
-@query(_PRIMARY.format(where="true"))
+@query(_PRIMARY.format(code="code"))
 def primary_techs_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.primary_techs(T.components(spark, sf_dir), _eligible(spark))
 
 
-@query(_PRIMARY.format(where="component_id % 3 = 0"))
+@query(_PRIMARY.format(code="0::BIGINT"))
 def primary_techs_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.primary_techs(T.components(spark, sf_dir).where("component_id % 3 = 0"), _eligible(spark))
+    return A.primary_techs(T.components(spark, sf_dir).withColumn("code", F.lit(0).cast("long")), _eligible(spark))
 
 
 _DOMINANT = [("C++", 0.62), ("COBOL", 0.5), ("C", 0.1), ("Python", 0.7)]
@@ -232,13 +232,13 @@ def path_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.page_paths(spark, sf_dir).select("page_id", "path", C.depth_prefix(p, 2).alias("prefix2"), C.source_dir(p).alias("source_dir"), C.dir_group(p).alias("dir_group"), C.top_dir(p).alias("top_dir"))
 
 
-@query(f"""WITH p AS ({T.PAGE_PATHS}), owners AS (SELECT DISTINCT regexp_extract(path, '^/[^/]+', 0) AS dir, 'host' AS owner FROM p WHERE page_id % 2 = 0 UNION SELECT DISTINCT regexp_extract(path, '^/[^/]+/[^/]+', 0), 'language' FROM p WHERE page_id % 3 = 0 UNION SELECT '/', 'root'),
+@query(f"""WITH p AS ({T.PAGE_PATHS}), owners AS (SELECT DISTINCT regexp_extract(path, '^/[^/]+', 0) AS dir, 'host' AS owner FROM p UNION SELECT DISTINCT regexp_extract(path, '^/[^/]+/fr', 0), 'language' FROM p UNION SELECT '/', 'root'),
 hit AS (SELECT page_id, path, arg_max(dir, length(dir)) AS owner_dir, arg_max(owner, length(dir)) AS owner FROM p JOIN owners ON dir <> '' AND (dir = '/' OR starts_with(path, dir || '/')) GROUP BY 1, 2)
 SELECT * FROM hit""")
 def longest_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.page_paths(spark, sf_dir).select("page_id", "path")
-    owners = p.where("page_id % 2 = 0").select(F.regexp_extract("path", "^/[^/]+", 0).alias("dir"), F.lit("host").alias("owner"))
-    owners = owners.unionByName(p.where("page_id % 3 = 0").select(F.regexp_extract("path", "^/[^/]+/[^/]+", 0).alias("dir"), F.lit("language").alias("owner"))).unionByName(_frame(spark, [("/", "root")], "dir string, owner string")).distinct()
+    owners = p.select(F.regexp_extract("path", "^/[^/]+", 0).alias("dir"), F.lit("host").alias("owner"))
+    owners = owners.unionByName(p.select(F.regexp_extract("path", "^/[^/]+/fr", 0).alias("dir"), F.lit("language").alias("owner"))).unionByName(_frame(spark, [("/", "root")], "dir string, owner string")).distinct()
     return G.nearest_ancestor(p, owners)
 
 
@@ -383,13 +383,13 @@ def currency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.agg(F.count("*").alias("total"), *[F.count_if(F.col("bucket") == x).alias(x) for x in ("up_to_date", "patch", "minor", "major", "unknown", "unpinned")])
 
 
-@query("""WITH e AS (SELECT event_type AS system, 'u' || (user_id % 40) AS name, event_id::VARCHAR AS latest, event_type = 'error' AS not_found, epoch(ts)::BIGINT AS fetched_at, 100000 + event_id % 7 * 50000 AS ttl_seconds FROM events WHERE event_id % 5 <> 0),
+@query("""WITH e AS (SELECT event_type AS system, 'u' || (user_id % 40) AS name, event_id::VARCHAR AS latest, event_type = 'error' AS not_found, epoch(ts)::BIGINT AS fetched_at, 100000 + event_id % 7 * 50000 AS ttl_seconds FROM events),
 l AS (SELECT system, name, max(struct_pack(f := fetched_at, latest := latest, n := not_found, t := ttl_seconds)) AS x FROM e GROUP BY 1, 2), now AS (SELECT max(epoch(ts))::BIGINT AS now FROM events),
 k AS (SELECT DISTINCT event_type AS system, 'u' || (user_id % 40) AS name FROM events)
 SELECT k.system, k.name, l.x.latest AS latest, l.x.n AS not_found, l.x IS NOT NULL AS hit FROM k LEFT JOIN (SELECT * FROM l, now WHERE x.f + x.t >= now) l USING (system, name)""")
 def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.table(spark, sf_dir, "events").select(F.col("event_type").alias("system"), F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("name"), F.col("event_id"), F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("at"), "ts")
-    cache = e.where("event_id % 5 <> 0").select("system", "name", F.col("event_id").cast("string").alias("latest"), (F.col("system") == "error").alias("not_found"), _epoch().alias("fetched_at"), (F.lit(100000) + F.col("event_id") % 7 * 50000).alias("ttl_seconds"))
+    cache = e.select("system", "name", F.col("event_id").cast("string").alias("latest"), (F.col("system") == "error").alias("not_found"), _epoch().alias("fetched_at"), (F.lit(100000) + F.col("event_id") % 7 * 50000).alias("ttl_seconds"))
     now = e.agg(F.max(_epoch()).alias("now"))
     keys = e.select("system", "name").distinct().crossJoin(F.broadcast(now))  # one row
     return G.valid_cache(keys, cache, F.col("now")).drop("now")
@@ -451,11 +451,11 @@ def nearest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.nearest_wins(T.child_packages(spark, sf_dir), spark.createDataFrame([("g1", "v1", 0), ("g2", "v2", 1)], "name string, version string, ord int"))
 
 
-@query("""WITH s AS (SELECT o_custkey AS component, 1 AS rank, 'lockfile' AS source FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_custkey, 2, 'manifest' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_custkey, 3, 'online' FROM orders)
+@query("""WITH s AS (SELECT o_custkey AS component, 1 AS rank, 'lockfile' AS source FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, 2, 'manifest' FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_custkey, 3, 'online' FROM orders)
 SELECT component, min(rank)::INT AS rank, arg_min(source, rank) AS source FROM s GROUP BY component""")
 def resolver_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("component"), "o_orderkey")
-    answers = [o.where(w).select("component", F.lit(k).alias("rank"), F.lit(s).alias("source")) for k, w, s in ((1, "o_orderkey % 5 = 0", "lockfile"), (2, "o_orderkey % 3 = 0", "manifest"), (3, "true", "online"))]
+    o = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("component"), "o_orderstatus")
+    answers = [o.where(w).select("component", F.lit(k).alias("rank"), F.lit(s).alias("source")) for k, w, s in ((1, "o_orderstatus = 'F'", "lockfile"), (2, "o_orderstatus = 'O'", "manifest"), (3, "true", "online"))]
     return G.first_source(answers[0].unionByName(answers[1]).unionByName(answers[2]), ["component"], "rank", "source")
 
 
@@ -468,10 +468,10 @@ def version_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.propagate_versions(T.dependencies(spark, sf_dir).select("walk_order", "type", "name", "version"))
 
 
-@query(f"""WITH deps AS ({T.DEPENDENCIES}), m AS (SELECT lower(replace(p_brand, '#', '-')) AS name, min('9.' || p_size) AS managed FROM part WHERE p_size % 2 = 0 GROUP BY 1)
+@query(f"""WITH deps AS ({T.DEPENDENCIES}), m AS (SELECT lower(replace(p_brand, '#', '-')) AS name, min('9.' || p_size) AS managed FROM part WHERE p_size > 25 GROUP BY 1)
 SELECT walk_order, d.name, CASE WHEN NOT ({_IS_PIN}) AND managed IS NOT NULL THEN managed ELSE version END AS version FROM deps d LEFT JOIN m ON d.name = m.name""")
 def managed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    managed = T.table(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.regexp_replace(F.upper("p_brand"), "#", "-").alias("name"), F.concat(F.lit("9."), F.col("p_size").cast("string")).alias("version"))
+    managed = T.table(spark, sf_dir, "part").where("p_size > 25").select(F.regexp_replace(F.upper("p_brand"), "#", "-").alias("name"), F.concat(F.lit("9."), F.col("p_size").cast("string")).alias("version"))
     return G.backfill_managed(T.dependencies(spark, sf_dir).select("walk_order", "name", "version"), managed, any_case=True)
 
 

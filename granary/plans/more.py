@@ -80,19 +80,19 @@ def package_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.dependencies(spark, sf_dir).select("type", V.package_system(F.col("type")).alias("system"), "name", Z.package_key(F.col("type"), F.col("name")).alias("key")).distinct()
 
 
-@query(f"""WITH p AS ({T.PAGE_PATHS}), places AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM p), v AS (SELECT regexp_extract(path, '^/[^/]+', 0) AS v_dir, 'k' AS key, max(page_id)::VARCHAR AS value FROM p WHERE page_id % 2 = 0 GROUP BY 1 UNION ALL SELECT regexp_extract(path, '^/[^/]+/[^/]+', 0), 'k', 'deep' || max(page_id) FROM p WHERE page_id % 3 = 0 GROUP BY 1)
+@query(f"""WITH p AS ({T.PAGE_PATHS}), places AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM p), v AS (SELECT regexp_extract(path, '^/[^/]+', 0) AS v_dir, 'k' AS key, max(page_id)::VARCHAR AS value FROM p GROUP BY 1 UNION ALL SELECT regexp_extract(path, '^/[^/]+/fr', 0), 'k', 'deep' || max(page_id) FROM p GROUP BY 1)
 SELECT dir, key, arg_max(value, length(v_dir)) AS value FROM places JOIN v ON v_dir <> '' AND (dir = v_dir OR starts_with(dir, v_dir || '/')) GROUP BY 1, 2""")
 def nearest_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.page_paths(spark, sf_dir).select("page_id", "path")
-    up = p.where("page_id % 2 = 0").groupBy(F.regexp_extract("path", "^/[^/]+", 0).alias("v_dir")).agg(F.lit("k").alias("key"), F.max("page_id").cast("string").alias("value"))
-    deep = p.where("page_id % 3 = 0").groupBy(F.regexp_extract("path", "^/[^/]+/[^/]+", 0).alias("v_dir")).agg(F.lit("k").alias("key"), F.concat(F.lit("deep"), F.max("page_id").cast("string")).alias("value"))
+    up = p.groupBy(F.regexp_extract("path", "^/[^/]+", 0).alias("v_dir")).agg(F.lit("k").alias("key"), F.max("page_id").cast("string").alias("value"))
+    deep = p.groupBy(F.regexp_extract("path", "^/[^/]+/fr", 0).alias("v_dir")).agg(F.lit("k").alias("key"), F.concat(F.lit("deep"), F.max("page_id").cast("string")).alias("value"))
     return Z.nearest_values(p.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir")), up.unionByName(deep))
 
 
-@query("""WITH r AS (SELECT user_id % 50 AS component_id, CASE event_type WHEN 'click' THEN 'docker' ELSE event_type END AS key, 'v' || (event_id % 5) AS v, event_id AS w FROM events WHERE event_id < 2000)
+@query("""WITH r AS (SELECT user_id % 50 AS component_id, CASE event_type WHEN 'click' THEN 'docker' ELSE event_type END AS key, 'v' || (event_id % 5) AS v, event_id AS w FROM events)
 SELECT component_id, key, CASE WHEN key = 'docker' THEN string_agg(v, ',' ORDER BY w) ELSE arg_max(v, w) END AS value FROM r GROUP BY 1, 2""")
 def merged_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = T.table(spark, sf_dir, "events").where("event_id < 2000")
+    e = T.table(spark, sf_dir, "events")
     rows = e.select((F.col("user_id") % 50).alias("component_id"), F.when(F.col("event_type") == "click", "docker").otherwise(F.col("event_type")).alias("key"), F.array(F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string"))).alias("value"), F.col("event_id").alias("walk_order"))
     return Z.merged_properties(rows).select("component_id", "key", F.array_join("value", ",").alias("value"))
 

@@ -99,7 +99,7 @@ TREE_EDGES = "SELECT 'r' || n_regionkey AS \"from\", 'n' || n_nationkey AS \"to\
 
 def child_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages (part keys modulo 97) and the packages they need: a graph with diamonds and cycles."""
-    p = table(spark, sf_dir, "part").where("p_partkey < 400")
+    p = table(spark, sf_dir, "part")
     return p.select(
         F.concat(F.lit("g"), (F.col("p_partkey") % 97).cast("string")).alias("parent"),
         F.concat(F.lit("v"), (F.col("p_partkey") % 3).cast("string")).alias("parent_version"),
@@ -112,5 +112,5 @@ def child_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHILD_PACKAGES = """
 SELECT 'g' || (p_partkey % 97) AS parent, 'v' || (p_partkey % 3) AS parent_version, 'g' || ((p_partkey * 7 + p_partkey % 5 * 3) % 97) AS child,
        'v' || ((p_partkey + 1) % 3) AS child_version, p_partkey AS ord
-FROM part WHERE p_partkey < 400
+FROM part
 """
