@@ -133,10 +133,10 @@ def merge_components(components: DataFrame) -> DataFrame:
     return joined.groupBy("parent_id", "name", F.col("keep").alias("component_id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("paths")))).alias("paths"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tech")))).alias("tech"), F.count("*").alias("merged"))
 
 
-def valid_cache(keys: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
-    """keys (system, name) with what the cache holds and has not expired; cache: (system, name, latest, not_found, fetched_at, ttl_seconds)."""
+def valid_cache(keys: DataFrame, cache: DataFrame, now: Column, force: bool = False) -> DataFrame:
+    """keys (system, name) with what the cache holds and has not expired (nothing, if forced); cache: (system, name, latest, not_found, fetched_at, ttl_seconds)."""
     last = cache.groupBy("system", "name").agg(F.max(F.struct("fetched_at", "latest", "not_found", "ttl_seconds")).alias("x"))
-    live = F.coalesce(F.col("x.fetched_at") + F.col("x.ttl_seconds") >= now, F.lit(False))
+    live = F.coalesce(F.col("x.fetched_at") + F.col("x.ttl_seconds") >= now, F.lit(False)) & F.lit(not force)
     return keys.join(last, ["system", "name"], "left").select(*keys.columns, F.when(live, F.col("x.latest")).alias("latest"), F.when(live, F.col("x.not_found")).alias("not_found"), live.alias("hit"))
 
 
@@ -145,3 +145,26 @@ def upsert_cache(cache: DataFrame, fetched: DataFrame) -> DataFrame:
     rows = cache.unionByName(fetched)
     rest = [c for c in rows.columns if c not in ("system", "name", "fetched_at")]
     return rows.groupBy("system", "name").agg(F.max(F.struct("fetched_at", *rest)).alias("x")).select("system", "name", *[f"x.{c}" for c in ("fetched_at", *rest)]).select(*cache.columns)
+
+
+def online_edges(wanted: DataFrame, fetch, parallel: int = 16) -> DataFrame:
+    """(name, version, from, to, found): the graph that fetch(system, name, version) gives for wanted packages.
+
+    fetch returns (from, to) pairs, or None for a package it does not know; a failure (OSError) gives no row, so the
+    package stays unresolved.  It runs on the executors, in at most `parallel` tasks at a time.
+    """
+
+    def task(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for system, name, version in zip(frame["system"], frame["name"], frame["version"], strict=True):
+                try:
+                    edges = fetch(system, name, version)
+                except OSError:
+                    continue
+                rows += [(name, version, a, b, True) for a, b in edges] if edges is not None else [(name, version, None, None, False)]
+            yield pd.DataFrame(rows, columns=["name", "version", "from", "to", "found"])
+
+    return wanted.select("system", "name", "version").distinct().repartition(parallel).mapInPandas(task, "name string, version string, `from` string, `to` string, found boolean")

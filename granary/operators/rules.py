@@ -7,8 +7,10 @@ task and no nested-loop join runs over the facts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,8 +83,34 @@ def xml_predicate(text: Column, path: str, value: str | None) -> Column:
     return text.rlike(inner) & (got.contains(value[1:-1]) if is_regex(value) else got == value)
 
 
+def yaml_predicate(text: Column, path: str, value: str | None) -> Column:
+    """The same of a dotted path in a YAML mapping; read in Arrow batches, as the format nests."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        import yaml
+
+        def holds(t: str | None) -> bool:
+            try:
+                at = yaml.safe_load(t or "")
+            except yaml.YAMLError:
+                return False
+            for key in path.removeprefix("$.").split("."):
+                if not isinstance(at, dict) or key not in at:
+                    return False
+                at = at[key]
+            if value is None or value == "":
+                return True
+            got = str(at).lower() if isinstance(at, bool) else str(at)
+            return bool(re.search(value[1:-1], got)) if is_regex(value) else got == value
+
+        return texts.map(holds).astype(bool)
+
+    return run(text)
+
+
 #: Content kinds by name; a kind that is not here is a regular expression.
-CONTENT_KINDS = {"json-path": json_predicate, "xml-path": xml_predicate}
+CONTENT_KINDS = {"json-path": json_predicate, "xml-path": xml_predicate, "yaml-path": yaml_predicate}
 
 
 def content_predicate(text: Column, kind: str, pattern: str = "", path: str = "", value: str | None = None) -> Column:

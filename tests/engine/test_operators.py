@@ -167,6 +167,28 @@ def test_cache_validity_and_upsert(spark):
     assert {(r.name, r.latest) for r in G.upsert_cache(c, spark.createDataFrame([("npm", "b", "3", False, 200, 5)], schema)).collect()} == {("a", "1"), ("b", "3"), ("c", None)}
 
 
+def test_forced_lookups_miss(spark):
+    c = spark.createDataFrame([("npm", "a", "1", False, 100, 50)], "system string, name string, latest string, not_found boolean, fetched_at long, ttl_seconds long")
+    k = spark.createDataFrame([("npm", "a")], "system string, name string")
+    assert [r.hit for r in G.valid_cache(k, c, F.lit(120), force=True).collect()] == [False]
+
+
+def test_online_edges(spark):
+    def fetch(system, name, version):
+        if name == "down":
+            raise OSError("429")
+        return [(".", f"{name}@{version}"), (f"{name}@{version}", "x@1")] if name == "a" else None
+
+    w = spark.createDataFrame([("npm", "a", "1"), ("npm", "gone", "2"), ("npm", "down", "3")], "system string, name string, version string")
+    assert rows(G.online_edges(w, fetch).fillna("")) == [("a", "1", ".", "a@1", True), ("a", "1", "a@1", "x@1", True), ("gone", "2", "", "", False)]
+
+
+def test_yaml_paths(spark):
+    f = spark.createDataFrame([("a: {b: x1, c: true}",), ("a: [1",), ("- a",), (None,)], "text string")
+    ask = lambda p, v: [r[0] for r in f.select(R.content_predicate(F.col("text"), "yaml-path", path=p, value=v)).collect()]
+    assert ask("a.b", None) == ask("a.b", "/^x/") == ask("a.c", "true") == [True, False, False, False] and ask("a.b", "x") == [False] * 4
+
+
 def test_first_source(spark):
     r = spark.createDataFrame([("c", 2, "x"), ("c", 1, "y"), ("d", 3, "z")], "component string, rank int, source string")
     assert rows(G.first_source(r, ["component"], "rank", "source")) == [("c", 1, "y"), ("d", 3, "z")]
