@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import mix
+from ._bytes import lean, mix
 
 DEPTH = 2
 #: A row of the sketch has 2**LEAST_BITS to 2**MOST_BITS cells: 2 * 64 MB of bits at most.
@@ -110,7 +110,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected: float) -> Repeated:
     """Sketch the keys that keys_of yields for the rows of df; expected: about how many there are."""
     bits = bits_for(expected)
-    parts = df.mapInArrow(_count(keys_of, bits), _PART)
+    parts = df.mapInArrow(lean(_count(keys_of, bits)), _PART)
     n_blocks = DEPTH << max(0, bits - BLOCK_BITS)
     tasks = max(1, min(n_blocks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     folded = parts.repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(_fold, "block int, bits binary")

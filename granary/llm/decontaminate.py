@@ -139,7 +139,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         block = _Items(np.array([r["id"] for r in rows], dtype=np.int64), hashes, item, least)
         if not len(block.seed) and not (out is None and k == n_blocks - 1):
             continue
-        found = docs.mapInArrow(_match(spark.sparkContext.broadcast(block), least, coverage), _OUT) if len(block.seed) else spark.createDataFrame([], _OUT)
+        found = docs.mapInArrow(B.lean(_match(spark.sparkContext.broadcast(block), least, coverage)), _OUT) if len(block.seed) else spark.createDataFrame([], _OUT)
         out = found if out is None else out.unionByName(found)
     return out.select(id_out(id_col), id_out(item_id, "item"), "n_item_words", "n_tiles", "n_matched", "coverage", "tiles")
 

@@ -188,7 +188,7 @@ def train(df: DataFrame, key: str, lang_col: str, text_col: str, path: str = VOC
         raise ValueError(f"more than {MOST_LANGUAGES} values of {lang_col}")
     below = F.create_map(*[F.lit(x) for row in sizes for x in (row["lang"], 1_000_000 * per_language // row["have"])]) if sizes else F.lit(None)
     drawn = labelled.where(F.col("draw") < (below[F.col("lang")] if sizes else F.lit(0))).select("lang", "text")
-    counts = drawn.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    counts = drawn.mapInArrow(B.lean(_word_counts), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     pieces = Pieces(vocabulary(path))
     languages = sorted(counts["lang"].unique().tolist(), key=lambda x: x.encode())
     p = [fit(pieces, [bytes(w) for w in own["word"]], own["n"].to_numpy(dtype=np.float64)) for own in (counts[counts["lang"] == x].sort_values("word", ignore_index=True) for x in languages)]
@@ -235,7 +235,7 @@ def _predict(model):
                 ["id", "lang_pred", "score"],
             )
 
-    return task
+    return B.lean(task)
 
 
 def identify(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -166,14 +166,14 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     share = spark.sparkContext.broadcast
     seen = share(S.repeated(docs, _anchor_keys(window, anchor), expected))
     tagged = docs.withColumn("t", F.hash("text"))
-    segments = tagged.mapInArrow(_segments(seen, window, anchor), "a long, s1 long, s2 int, id long, t int, at int, n int")
+    segments = tagged.mapInArrow(B.lean(_segments(seen, window, anchor)), "a long, s1 long, s2 int, id long, t int, at int, n int")
     differ = segments.groupBy("a").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.min("s2").alias("lo2"), F.max("s2").alias("hi2")).where("lo < hi or lo2 < hi2")
     marked = share(S.members(differ, "a", expected / 4))
-    rows = tagged.mapInArrow(_windows(marked, window, anchor), "h1 long, h2 int, id long, t int, at int")
+    rows = tagged.mapInArrow(B.lean(_windows(marked, window, anchor)), "h1 long, h2 int, id long, t int, at int")
     later = _later(segments, "s1", ["s2"]).select("id", "t", "at", "n").unionByName(_later(rows, "h1", ["h2"]).select("id", "t", "at", F.lit(1).alias("n")))
     again = later.groupBy("id", "t").agg(F.collect_set(F.struct("at", "n")).alias("at"))
     joined = tagged.alias("d").join(again.alias("a"), F.expr("d.id = a.id and d.t = a.t"), "left").select("d.id", "d.text", "a.at")
-    out = joined.mapInArrow(_cut(window), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:int,end:int>>")
+    out = joined.mapInArrow(B.lean(_cut(window)), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:int,end:int>>")
     return out.select(id_out(id_col), "n_words", "n_removed", "kept_sha256", "kept_text", "removed")
 
 

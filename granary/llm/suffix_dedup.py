@@ -286,15 +286,15 @@ def remove_repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str
     expected = S.text_bytes(docs, "text") / ((length - anchor + 2) / 2)
     seen = spark.sparkContext.broadcast(S.repeated(docs, _anchor_keys(length, anchor), expected))
     tagged = docs.withColumn("t", F.hash("text"))
-    segments = tagged.mapInArrow(_segments(seen, length, anchor), _SEGMENT)
+    segments = tagged.mapInArrow(B.lean(_segments(seen, length, anchor)), _SEGMENT)
     in_order = segments.repartitionByRange("a", "s", "id", "t", "at").sortWithinPartitions("a", "s", "id", "t", "at")
-    marks = durable(in_order.mapInArrow(_shards(length), _MARKS))
+    marks = durable(in_order.mapInArrow(B.lean(_shards(length)), _MARKS))
     edges = marks.where("open").select("h1", "h2", "id", "t", "at")
     merged = edges.repartitionByRange("h1").sortWithinPartitions("h1", "h2", "id", "t", "at").mapInArrow(_merge, "id long, t int, at long, n int")
     later = marks.where("not open").select("id", "t", "at", "n").unionByName(merged)
     again = later.groupBy("id", "t").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
     joined = tagged.alias("d").join(again.alias("a"), F.expr("d.id = a.id and d.t = a.t"), "left").select("d.id", "d.text", "a.marks")
-    out = joined.mapInArrow(_cut(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, removed array<struct<start:long,end:long>>")
+    out = joined.mapInArrow(B.lean(_cut(length)), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, removed array<struct<start:long,end:long>>")
     return out.select(id_out(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "removed")
 
 
