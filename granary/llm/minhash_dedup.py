@@ -13,8 +13,8 @@ Documents of the same words become one before anything is joined.  Bands of
 ROWS coordinates make buckets.  In a bucket of up to SMALL members all are held
 against each other; in a larger one every member is held against one that a
 hash of the band picks (the pivot), so a bucket of any size gives a few pairs
-per member and each band picks another pivot.  Members that fail
-against their pivot go on to the next round, in smaller buckets: their band's
+per member and each band picks another pivot.  Members that are not surely
+similar to their pivot go on to the next round, in smaller buckets: their band's
 key grows by some coordinates, more each round (two choices of them in the
 second), which parts documents that only resemble each other and keeps most that
 are similar together in one of the bands they share.  Rounds end when no large
@@ -201,13 +201,13 @@ def _estimated(active: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _decided(bags: DataFrame, estimated: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, similar) for pairs with an estimate."""
+    """(a, b, similar, goes_on) for pairs with an estimate; after a pivot that is surely similar a member does not go on."""
     error = _error(similarity)
     off = F.col("estimate") - similarity
-    sure = estimated.where(F.abs(off) > error).select("a", "b", (off > 0).alias("similar"))
+    sure = estimated.where(F.abs(off) > error).select("a", "b", (off > 0).alias("similar"), (off < 0).alias("goes_on"))
     left, right = (bags.select(F.col("id").alias(k), F.col("x").alias(f"x{k}"), F.col("w").alias(f"w{k}")) for k in "ab")
     exact = estimated.where(F.abs(off) <= error).join(left, "a").join(right, "b").select("a", "b", "xa", "wa", "xb", "wb").mapInArrow(B.lean(_exact), "a long, b long, similarity double")
-    return durable(sure.unionByName(exact.select("a", "b", (F.col("similarity") >= similarity).alias("similar"))))
+    return durable(sure.unionByName(exact.select("a", "b", (F.col("similarity") >= similarity).alias("similar"), F.lit(True).alias("goes_on"))))
 
 
 def _rows_of(sig: Column, first: Column, n: int) -> Column:
@@ -323,7 +323,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         now = _decided(bags, _estimated(signed_by, pairs.join(known, ["a", "b"], "left_anti") if known is not None else pairs), similarity)
         known = now if known is None else known.unionByName(now)
         large = shared.where((F.col("n") > SMALL) & (F.col("rid") != F.col("pivot"))).withColumns({"a": F.least("rid", "pivot"), "b": F.greatest("rid", "pivot")})
-        rest = durable(large.join(known.where("NOT similar"), ["a", "b"]).select("key", "band", "rid"))
+        rest = durable(large.join(known.where("goes_on"), ["a", "b"]).select("key", "band", "rid"))
         n_rest = rest.count()
         if n_rest <= LOCAL_ROWS and n_active <= LOCAL_SIGNATURES:
             if n_rest:

@@ -224,6 +224,16 @@ def test_copies_that_differ_from_the_pivot(frame):
     assert got == brute_classes(rows, 0.8)
 
 
+def test_members_near_the_threshold_go_on(spark):
+    """One rule in both paths: only a member that is surely similar to its pivot (estimate beyond the error) stays behind."""
+    x = np.arange(10, dtype=np.uint64).tobytes()
+    w = np.ones(10, dtype=np.uint32).tobytes()
+    bags = spark.createDataFrame([(k, x, w) for k in range(4)], "id long, x binary, w binary")
+    estimated = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.85), (0, 3, 0.99)], "a long, b long, estimate double")
+    got = {r.b: (r.similar, r.goes_on) for r in minhash_dedup._decided(bags, estimated, 0.8).collect()}
+    assert got == {1: (False, True), 2: (True, True), 3: (True, False)}
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 400).astype(np.uint64)
