@@ -19,7 +19,10 @@ key grows by some coordinates, more each round (two choices of them in the
 second), which parts documents that only resemble each other and keeps most that
 are similar together in one of the bands they share.  Rounds end when no large
 bucket is left; once the members to go on with are few (LOCAL_ROWS, counted) one
-task runs the rounds that remain in numpy, on signatures alone.  A pair is sure when the signatures agree far from the threshold; the
+task runs the rounds that remain in numpy, on signatures alone.  The rounds find
+most links; a last pass compares by exact bags all pairs of each large bucket
+whose members are not of one class by then, so no pair that shares a bucket is
+left out.  A pair is sure when the signatures agree far from the threshold; the
 others are decided by the exact bags.  Classes are the connected components of
 the links.
 
@@ -55,6 +58,8 @@ SMALL = 16
 LOCAL_ROWS, LOCAL_SIGNATURES = 500_000, 100_000
 #: Signatures up to which they are broadcast (14 MB) instead of joined by a shuffle.
 BROADCAST_SIGNATURES = 50_000
+#: Members of a large bucket held against each other in one cell of the finish.
+BLOCK = 512
 #: Coordinates by which keys grow from round to round; the last goes on.
 MORE_ROWS = (3, 4, 6, 9, 14)
 #: Standard errors of the estimate beyond which a pair is decided without the bags.
@@ -302,6 +307,54 @@ def _finish(similarity: float, turn: int, used: int):
     return task
 
 
+def _links(similarity: float):
+    """Rows (outside, rid, class, x, w) of a cell to (u, v): the outside members' links to other classes, one for each class."""
+
+    def task(table: pa.Table) -> pa.Table:
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        table = table.combine_chunks()
+        outside, rid, label = (table.column(k).to_numpy() for k in ("outside", "rid", "class"))
+        (x, xs), (w, ws) = (B.text_buffers(table.column(k).combine_chunks()) for k in "xw")
+        x, w = x[xs[0] : xs[-1]].view(np.uint64), w[ws[0] : ws[-1]].view(np.uint32).astype(np.int64)
+        edge = (xs - xs[0]) // 8
+        element = np.unique(x, return_inverse=True)[1]
+        weight = np.add.reduceat(w, edge[:-1])
+        mine = np.zeros(int(element.max()) + 1, dtype=np.int64)
+        held = np.flatnonzero(~outside)
+        if len(held):
+            # The members first: their elements are one run.
+            of = np.concatenate([np.arange(edge[k], edge[k + 1]) for k in held])
+            e, n, start = element[of], w[of], np.cumsum(edge[held + 1] - edge[held]) - (edge[held + 1] - edge[held])
+            for k in np.flatnonzero(outside):
+                mine[element[edge[k] : edge[k + 1]]] = w[edge[k] : edge[k + 1]]
+                common = np.add.reduceat(np.minimum(mine[e], n), start)
+                mine[element[edge[k] : edge[k + 1]]] = 0
+                hit = held[(common / (weight[k] + weight[held] - common) >= similarity) & (label[held] != label[k])]
+                hit = hit[np.unique(label[hit], return_index=True)[1]]
+                found.append((np.full(len(hit), rid[k]), rid[hit]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["u", "v"])
+
+    return task
+
+
+def _missed(first: DataFrame, found: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the links between the classes found that a large bucket of the first round still holds, by exact comparison.
+
+    Two members of a bucket are of one class, or one of them at least is outside the bucket's largest class: so all those
+    outside against all members are all pairs left.  Both are dealt into blocks by hash; a pair of blocks is a cell.
+    """
+    members = durable(first.where(F.col("n") > SMALL).select("key", "rid").join(found, F.col("rid") == F.col("node"), "left").select("key", "rid", F.coalesce("least", "rid").alias("class")))
+    sizes = members.groupBy("key", "class").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "class")).alias("body")).where("n > body.c")
+    sizes = sizes.select(F.col("key").alias("k"), F.ceil(F.col("n") / BLOCK).cast("int").alias("n_all"), F.ceil((F.col("n") - F.col("body.c")) / BLOCK).cast("int").alias("n_out"), F.col("body.class").alias("body"))
+    members = durable(members.join(sizes, F.col("key") == F.col("k")).drop("k"))
+    block = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = members.select("key", "rid", "class", F.lit(False).alias("outside"), block("n_all").alias("i"), every("n_out").alias("j"))
+    out = members.where("class != body").select("key", "rid", "class", F.lit(True).alias("outside"), every("n_all").alias("i"), block("n_out").alias("j"))
+    cells = held.unionByName(out).join(bags, F.col("rid") == F.col("id")).drop("id")
+    return cells.groupBy("key", "i", "j").applyInArrow(_links(similarity), "u long, v long").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of df: id_col and class_id, the least id of its class."""
     docs = keyed(df, id_col, text_col)
@@ -317,6 +370,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_active = active.count()
     signed_by = F.broadcast(active) if n_active <= BROADCAST_SIGNATURES else active
     known = None
+    first_round = shared
     turn = used = 0
     while not shared.isEmpty():
         pairs = _pairs(shared)
@@ -342,6 +396,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         shared = _shared(grown)
         turn += 1
     edges = known.where("similar").select(F.col("a").alias("u"), F.col("b").alias("v")) if known is not None else shared.select(F.col("rid").alias("u"), F.col("pivot").alias("v"))
+    if not first_round.where(F.col("n") > SMALL).isEmpty():
+        edges = edges.unionByName(durable(_missed(first_round, components(edges), bags, similarity)))
     # Rows that share an id tie their texts together.
     same = signed.select("id", "d1", "d2").distinct().join(reps.select("d1", "d2", "rid"), ["d1", "d2"]).select("id", "rid")
     found = components(edges.unionByName(same.where("id != rid").select(F.col("id").alias("u"), F.col("rid").alias("v"))))

@@ -234,6 +234,28 @@ def test_members_near_the_threshold_go_on(spark):
     assert got == {1: (False, True), 2: (True, True), 3: (True, False)}
 
 
+def cloud(n=240, size=345):
+    """Versions of one text, each with some words of its own: similarities lie around 0.8, and a few of them above."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(n):
+        w = [f"w{i}" for i in range(size)]
+        for i in rng.choice(size, 5, replace=False):
+            w[i] = f"x{k}y{i}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_links_around_the_threshold_in_a_large_bucket(frame, local, monkeypatch):
+    if not local:
+        monkeypatch.setattr(minhash_dedup, "LOCAL_ROWS", -1)
+    rows = cloud()
+    want = brute_classes(rows, 0.8)
+    assert 10 < len(set(want.values())) < len(rows) - 10
+    assert dict(rows_of(minhash_dedup.near_duplicates(frame(rows)))) == want
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 400).astype(np.uint64)
