@@ -18,7 +18,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each class of near-duplicates; of rows that share an id, one."""
+    """Keep the document with the least id of each class of near-duplicates; of rows that share an id, one.
+
+    That one is settled before classes are, so a document is dropped only for a text that stays.  Rows without an id stand
+    for no other document; as one document they go together when one of them is a near-duplicate of a row with an id.
+    """
+    docs = one_row_per_id(docs, "doc_id", "text", nulls=False)
     classes = durable(minhash_dedup.near_duplicates(docs))
     gone = classes.where("NOT (doc_id <=> class_id)").select("doc_id")
     return one_row_per_id(without(docs, "doc_id", gone), "doc_id", "text")

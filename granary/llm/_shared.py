@@ -70,10 +70,10 @@ def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     return df.join(gone, named(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
-def one_row_per_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of the rows that share an id, the one with the least text; other rows are not shuffled."""
+def one_row_per_id(df: DataFrame, id_col: str, text_col: str, nulls: bool = True) -> DataFrame:
+    """Of the rows that share an id, the one with the least text; other rows are not shuffled.  Without nulls, rows without an id all stay."""
     key, turn = fresh(df, "key"), fresh(df, "turn")
-    twice = durable(df.select(named(id_col).alias(key)).groupBy(key).agg(F.count("*").alias(turn)).where(F.col(turn) > 1).select(key))
+    twice = durable(df.select(named(id_col).alias(key)).groupBy(key).agg(F.count("*").alias(turn)).where((F.col(turn) > 1) & (F.lit(nulls) | F.col(key).isNotNull())).select(key))
     if twice.isEmpty():
         return df
     same = named(id_col).eqNullSafe(F.col(key))

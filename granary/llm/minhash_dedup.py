@@ -28,7 +28,8 @@ the links.
 
 Results for odd input: texts without words (null and empty ones too) are a
 class of their own; texts of one to four words are one shingle; rows that share
-an id are one document; a null id counts as the greatest and its class is null;
+an id (or have none) get the class of their own text each, so they tie no other
+texts together; a null id counts as the greatest and its class is null;
 an empty table gives no rows.  Other columns are not read.
 """
 
@@ -146,8 +147,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signatures(of, x, w.astype(np.float64), b - a)[some]
             short = (B.mix(sig) & np.uint64(0xFFFF)).astype(">u2")
             raw = short.tobytes()
+            none = np.ones(b - a, dtype=bool)  # without words
+            none[some] = False
+            signed: list[bytes | None] = [None] * (b - a)
+            for k, at in enumerate(some.tolist()):
+                signed[at] = raw[k * 2 * K : (k + 1) * 2 * K]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[a + some]), B.longs(digest[some, 0].copy()), B.longs(digest[some, 1].copy()), pa.array([raw[k * 2 * K : (k + 1) * 2 * K] for k in range(len(some))], pa.binary())],
+                [pa.array(ids[a:b]), *(pa.array(digest[:, k].copy().view(np.int64), mask=none) for k in (0, 1)), pa.array(signed, pa.binary())],
                 ["id", "d1", "d2", "sig"],
             )
 
@@ -165,11 +171,11 @@ def _bags(needed):
             batch = batch.filter(pa.array(needed.value(ids.view(np.uint64))))
             ids = B.ids(batch)
             for a, b, data, offsets in B.slices(batch):
-                of, x, w, _ = shingles(data, offsets)
+                of, x, w, digest = shingles(data, offsets)
                 edge = np.searchsorted(of, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b]), pa.array([x[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), pa.array([w[i:j].astype(np.uint32).tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())],
-                    ["id", "x", "w"],
+                    [B.longs(digest[:, 0].copy()), B.longs(digest[:, 1].copy()), pa.array([x[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), pa.array([w[i:j].astype(np.uint32).tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())],
+                    ["d1", "d2", "x", "w"],
                 )
 
     return task
@@ -356,17 +362,19 @@ def _missed(first: DataFrame, found: DataFrame, bags: DataFrame, similarity: flo
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of df: id_col and class_id, the least id of its class."""
+    """One row per row of df: id_col and class_id, the least id of its text's class."""
     docs = keyed(df, id_col, text_col)
     signed = durable(docs.mapInArrow(B.lean(_sign), "id long, d1 long, d2 long, sig binary"))
-    reps = durable(signed.groupBy("d1", "d2").agg(F.min("id").alias("rid"), F.first("sig").alias("sig")))
+    # A text is known by a key of its own from here on: ids may be null or shared.
+    reps = signed.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("sig").alias("sig"))
+    reps = durable(reps.withColumn("rid", F.monotonically_increasing_id()))
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, _rows_of(F.col("sig"), b * ROWS, ROWS)).alias("key"))))
     shared = _shared(reps.select("rid", band.alias("x")).select("x.key", "x.band", "rid"))
-    # What later rounds need of the documents that share a bucket with another.
-    ids = durable(shared.select("rid").distinct())
-    active = durable(reps.join(ids, "rid", "left_semi").groupBy("rid").agg(F.first("sig").alias("sig")))
-    bags = docs.mapInArrow(B.lean(_bags(docs.sparkSession.sparkContext.broadcast(S.members(ids, "rid", 1 << 20)))), "id long, x binary, w binary")
-    bags = durable(bags.join(ids, F.col("id") == F.col("rid"), "left_semi").groupBy("id").agg(F.min(F.struct("x", "w")).alias("b")).select("id", "b.x", "b.w"))
+    # What later rounds need of the texts that share a bucket with another.
+    texts = durable(reps.join(shared.select("rid").distinct(), "rid", "left_semi").select("rid", "id", "d1", "d2", "sig"))
+    active = texts.select("rid", "sig")
+    bags = docs.mapInArrow(B.lean(_bags(docs.sparkSession.sparkContext.broadcast(S.members(texts, "id", 1 << 20)))), "d1 long, d2 long, x binary, w binary")
+    bags = durable(bags.join(texts.select("rid", "d1", "d2"), ["d1", "d2"]).groupBy(F.col("rid").alias("id")).agg(F.min(F.struct("x", "w")).alias("b")).select("id", "b.x", "b.w"))
     n_active = active.count()
     signed_by = F.broadcast(active) if n_active <= BROADCAST_SIGNATURES else active
     known = None
@@ -398,10 +406,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = known.where("similar").select(F.col("a").alias("u"), F.col("b").alias("v")) if known is not None else shared.select(F.col("rid").alias("u"), F.col("pivot").alias("v"))
     if not first_round.where(F.col("n") > SMALL).isEmpty():
         edges = edges.unionByName(durable(_missed(first_round, components(edges), bags, similarity)))
-    # Rows that share an id tie their texts together.
-    same = signed.select("id", "d1", "d2").distinct().join(reps.select("d1", "d2", "rid"), ["d1", "d2"]).select("id", "rid")
-    found = components(edges.unionByName(same.where("id != rid").select(F.col("id").alias("u"), F.col("rid").alias("v"))))
-    out = docs.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("least", "id").alias("class"))
+    found = components(edges)
+    least = durable(found.join(reps.select("rid", "id"), F.col("node") == F.col("rid")).groupBy(F.col("least").alias("of")).agg(F.min("id").alias("class")))
+    # Texts that occur once and have no link are their own class: they need no join.
+    classes = reps.select("rid", "d1", "d2", F.col("id").alias("first"), "rows").join(found, F.col("rid") == F.col("node"), "left").where("rows > 1 OR node IS NOT NULL")
+    classes = durable(classes.join(least, F.col("least") == F.col("of"), "left").select("d1", "d2", F.coalesce("class", "first").alias("class")))
+    out = signed.select("id", "d1", "d2").join(classes, ["d1", "d2"], "left").select("id", F.coalesce("class", "id").alias("class"))
     return out.select(id_out(id_col), id_out("class_id", "class"))
 
 

@@ -78,6 +78,17 @@ def test_near_duplicate_stage_keeps_one(spark, frame):
     assert sorted((r.doc_id or -1) for r in out) == [1, 3, 4]
 
 
+def test_ids_tie_no_texts_together(spark, frame):
+    """Documents that copy different texts of a null or shared id are not each other's duplicates."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    for hub in (None, 7):
+        rows = [(hub, a), (hub, b), (hub, c), (5, a + " end"), (9, b + " end"), (11, c)]
+        got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(frame(rows)).collect() if r.doc_id != hub}
+        assert got == {5: 5, 9: hub or 9, 11: hub or 11}
+        kept = {r.doc_id: r.text for r in corpus_pipeline.drop_near_duplicates(spark, frame(rows), "").collect()}
+        assert kept == {5: a + " end", 9: b + " end", 11: c}
+
+
 def test_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
     assert queries.oracle_sql().keys() <= queries.queries().keys()
