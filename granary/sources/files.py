@@ -37,29 +37,30 @@ def _of_file(part: int) -> Column:
     return F.coalesce(table[F.col("name")], table[F.col("ext")])
 
 
-#: How deep hidden names are looked for.
-MAX_DEPTH = 12
-
-
 def hidden(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, int]]]:
-    """Hidden directories (but .git) and hidden files with their lengths, which Spark's own listings leave out.
+    """Directories (but .git) and files, with their lengths, whose names begin with . or _: Spark's own listings leave them out.
 
-    Found by globs of the store's client on the driver: configuration, a handful per directory.
+    Walked by the store's client on the driver, level by level until no directory is left.  A directory found is listed by
+    Spark from there, but for such names below it: they are walked as well.
     """
     jvm = spark.sparkContext._jvm
+    store = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     folders, found = [], []
-    for depth in range(MAX_DEPTH):
-        base = "/".join([root.rstrip("/"), *["*"] * depth])
-        path = jvm.org.apache.hadoop.fs.Path(base)
-        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if depth and not any(s.isDirectory() for s in store.globStatus(path) or []):
-            break
-        for s in store.globStatus(jvm.org.apache.hadoop.fs.Path(base + "/.*")) or []:
-            uri = s.getPath().toString()
-            if s.isFile():
-                found.append((uri, s.getLen()))
-            elif s.getPath().getName() != ".git":
-                folders.append(uri)
+    level = [jvm.org.apache.hadoop.fs.Path(root)]
+    while level:
+        below = []
+        for path in level:
+            for s in (store.listStatus(path) if store.exists(path) and store.getFileStatus(path).isDirectory() else ()):
+                name = s.getPath().getName()
+                left_out = name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+                if s.isFile():
+                    if left_out:
+                        found.append((s.getPath().toString(), s.getLen()))
+                elif name != ".git":
+                    below.append(s.getPath())
+                    if left_out:
+                        folders.append(s.getPath().toString())
+        level = below
     return folders, found
 
 

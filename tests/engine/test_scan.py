@@ -43,6 +43,17 @@ def test_listing_keeps_what_ignore_files_keep(spark, tree):
     assert {r.path for r in files.scan(spark, tree, include=["svc"]).collect()} == {"/svc/go.mod", "/svc/main.go"}
 
 
+def test_listing_has_underscore_names(spark, tmp_path):
+    names = ["main.py", "pkg/__init__.py", "__tests__/x.js", "__tests__/_deep/.y/z.js", "_config.yml", ".github/_a/b.yml", ".git/config", "_metadata", "_p=1/q.py", "_p=1.py", "a=1/_x/k.py"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    want = sorted("/" + n for n in names if n != ".git/config")
+    assert sorted(r.path for r in files.listing(spark, str(tmp_path)).collect()) == want
+    kept = files.scan(spark, str(tmp_path))
+    assert sorted(r.path for r in files.with_text(spark, str(tmp_path), kept).collect()) == want
+
+
 def test_listing_reads_no_content(spark, tree):
     plan = files.listing(spark, tree)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<path:string,length:bigint>" in plan
