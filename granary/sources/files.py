@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import utf8
+from ..operators.graphs import stored
 from ..operators.rules import last_match
 
 # The extension (or whole name) of a file, and its language and kind.
@@ -30,6 +31,8 @@ LINE_COMMENT = {"Python": "#", "Ruby": "#", "Shell": "#", "YAML": "#", "TOML": "
 BRANCHES = r"\b(if|for|while|case|catch|elif|except|when|match)\b|&&|\|\|"
 #: Files that may hold licenses are read up to this size.
 MOST_LICENSE_BYTES = 512 * 1024
+#: Bytes of hidden files' contents that the driver holds at a time: each part is written as a table before the next is read.
+PART_BYTES = 32 << 20
 
 
 def _of_file(part: int) -> Column:
@@ -77,6 +80,18 @@ def _read_hidden(spark: SparkSession, uris: Sequence[str]) -> list[tuple[str, by
     return out
 
 
+def _parts(found: Sequence[tuple[str, int]], most: int = PART_BYTES) -> list[list[str]]:
+    """The files in parts of up to `most` bytes; a larger file is a part of its own."""
+    out, size = [], 0
+    for uri, n in found:
+        if not out or size + n > most:
+            out.append([])
+            size = 0
+        out[-1].append(uri)
+        size += n
+    return out
+
+
 def _binary(spark: SparkSession, root: str, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(path, length or content) of the files under root, or under some paths of it, hidden ones too."""
     roots = [f"{root.rstrip('/')}/{p.strip('/')}" for p in paths] or [root]
@@ -87,8 +102,8 @@ def _binary(spark: SparkSession, root: str, paths: Sequence[str], columns: Seque
         found += files
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots + folders).select(*columns)
     if found and "content" in columns:
-        rows = _read_hidden(spark, [u for u, n in found if n <= MOST_LICENSE_BYTES])
-        raw = raw.unionByName(spark.createDataFrame(rows, "path string, content binary"))
+        for uris in _parts(found):
+            raw = raw.unionByName(stored(spark.createDataFrame(_read_hidden(spark, uris), "path string, content binary")))
     elif found:
         raw = raw.unionByName(spark.createDataFrame(found, "path string, length long"))
     return raw.distinct() if paths and len(columns) == 2 and "content" not in columns else raw

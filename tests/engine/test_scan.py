@@ -54,6 +54,18 @@ def test_listing_has_underscore_names(spark, tmp_path):
     assert sorted(r.path for r in files.with_text(spark, str(tmp_path), kept).collect()) == want
 
 
+def test_large_and_deep_hidden_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PART_BYTES", 1000)
+    assert files._parts([("z", 0), ("a", 600), ("b", 400), ("c", 5000), ("d", 1)], 1000) == [["z", "a", "b"], ["c"], ["d"]]
+    deep = tmp_path.joinpath(*[f"d{k}" for k in range(14)])
+    deep.mkdir(parents=True)
+    (deep / ".gitignore").write_text("gone.py\n")
+    (deep / "gone.py").write_text("x = 1\n")
+    (tmp_path / ".pnp.cjs").write_text("x\n" * files.MOST_LICENSE_BYTES)
+    texts = {r.name: len(r.text) for r in files.with_text(spark, str(tmp_path), files.scan(spark, str(tmp_path))).collect()}
+    assert texts == {".gitignore": 8, ".pnp.cjs": 2 * files.MOST_LICENSE_BYTES}
+
+
 def test_listing_reads_no_content(spark, tree):
     plan = files.listing(spark, tree)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<path:string,length:bigint>" in plan
