@@ -70,7 +70,7 @@ def nearest_wins(children: DataFrame, roots: DataFrame, max_depth: int = MAX_DEP
     chosen = level
     for depth in range(1, max_depth + 1):
         step = level.join(kids, (F.col("name") == F.col("c_parent")) & (F.col("version") == F.col("c_version")))
-        found = step.select(F.col("child").alias("name"), F.col("child_version").alias("version"), F.concat_ws("/", "ord", F.lpad(F.col("c_ord").cast("string"), 6, "0")).alias("ord"))
+        found = step.select(F.col("child").alias("name"), F.col("child_version").alias("version"), F.concat_ws("/", "ord", F.lpad(F.col("c_ord").cast("string"), 19, "0")).alias("ord"))
         level = stored(choose(found.join(chosen.select("name"), "name", "left_anti")).withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break

@@ -131,6 +131,12 @@ def test_nearest_wins(spark, seed):
     assert got == brute_nearest(children, roots)
 
 
+def test_nearest_wins_with_large_orders(spark):
+    children = [("a", "1", "b", "first", 1_000_001), ("a", "1", "b", "a later one", 1_000_009)]
+    got = rows(G.nearest_wins(spark.createDataFrame(children, "parent string, parent_version string, child string, child_version string, ord long"), spark.createDataFrame([("a", "1", 0)], "name string, version string, ord int")))
+    assert got == [("a", "1", 0), ("b", "first", 1)]
+
+
 def test_registered_mediation(spark):
     from granary.plans import catalog, relations
 
