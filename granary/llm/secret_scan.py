@@ -2,7 +2,11 @@
 
 Patterns propose, structure decides: a base64 or hex run is reported as a key
 only if it decodes to a key encoding whose nested lengths add up, and a signed
-token only if its header decodes to JSON that names an algorithm.  Three plain
+token only if its header decodes to JSON that names an algorithm.  Runs that are
+wrapped (by newlines or escaped ones) are joined first, and keys that begin
+inside a run are found by their own lengths; the first line of a wrapped key
+without armour has 40 characters at least.  Armour may hold headers; a body that
+they call encrypted cannot be decoded, so whole cipher blocks will do.  Three plain
 kinds (assignments, access ids, long hex runs) are reported as the patterns
 find them.  A linear-time pass over the Arrow buffers first drops texts that
 hold no possible start of any pattern; it never drops a text with a match.
@@ -33,10 +37,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 ENCODED_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
+#: The same over line ends, written out or escaped.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:(?:\r?\n[ \t]*|(?:\\+r)?\\+n)[A-Za-z0-9+/_-]+)*")
+BREAK = re.compile(r"\r?\n[ \t]*|(?:\\+r)?\\+n")
+#: How a DER sequence and an OpenSSH key begin in base64.
+STARTS = re.compile(r"(?=M[A-P]|b3BlbnNzaC1rZXktdjE)")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*))")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:(?!-----).)+)-----END \1-----", re.DOTALL)
 #: Any text that one of the patterns matches holds one of these; the first are the patterns' own starts.
-MAYBE = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9A-Fa-f]{32}|[A-Za-z0-9+/_-]{40}|eyJ|-----BEGIN"
+MAYBE = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9A-Fa-f]{32}|[A-Za-z0-9+/_-]{40}|[A-Za-z0-9_-]{12}\.[A-Za-z0-9_-]+\.|-----BEGIN"
 OPENSSH = b"openssh-key-v1\x00"
 
 
@@ -97,6 +106,66 @@ def is_key(data: bytes | None) -> str:
     return "der" if first and first[0] in (0x02, 0x30) and first[2] < outer[2] else ""
 
 
+def _length(data: bytes) -> int:
+    """The bytes of the key that data begin with, by its own lengths; 0 if they do not add up."""
+    if not data.startswith(OPENSSH):
+        if len(data) < 6 or data[0] != 0x30 or data[1] == 0x80 or data[1] > 0x84:
+            return 0
+        n = data[1] & 0x7F if data[1] & 0x80 else 0
+        inner = data[2 + n :]
+        # What keys begin with: a version or a long number, or a sequence with an algorithm (certificates: a long one).
+        if inner and inner[0] not in (0x02, 0x30):
+            return 0
+        return 2 + (n + int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
+    at, left = len(OPENSSH), 3
+    for more in (True, False):  # cipher, kdf and its options; then the public keys and the private part
+        for _ in range(left):
+            if at + 4 > len(data):
+                return 0
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        if more:
+            left = int.from_bytes(data[at : at + 4], "big") + 1
+            at += 4
+            if not 2 <= left <= 65:
+                return 0
+    return at if at <= len(data) else 0
+
+
+def inside(text: str, start: int, end: int) -> Iterator[tuple[int, str, int]]:
+    """(start, kind, end) of the keys in a wrapped run, wherever they begin in it."""
+    run, place, at = [], [], start
+    for m in [*BREAK.finditer(text, start, end), None]:
+        stop = m.start() if m else end
+        run.append(text[at:stop])
+        place.extend(range(at, stop))
+        at = m.end() if m else end
+    joined, done = "".join(run), 0
+    for m in STARTS.finditer(joined):
+        if (k := m.start()) < done:
+            continue
+        head = decoded(joined[k : k + 8] if joined[k] == "M" else joined[k : len(joined) - (len(joined) - k) % 4])
+        size = (_length(head or b"") * 8 + 5) // 6
+        if not 32 <= size <= len(joined) - k:
+            continue
+        if kind := is_key(decoded(joined[k : k + size])):
+            done = k + size
+            last = place[done - 1] + 1
+            while last < len(text) and text[last] == "=" and last < place[done - 1] + 3:
+                last += 1
+            yield place[k], kind, last
+
+
+def armoured(body: str) -> bool:
+    """Whether the body of an armoured block, with or without headers, line ends escaped or not, is a key."""
+    lines = re.sub(r"\\+[nrt]", "\n", body).replace("\\/", "/").strip().splitlines()
+    n = 0
+    while n < len(lines) and (":" in lines[n] or (n and lines[n - 1].endswith("\\"))):
+        n += 1
+    data = decoded("".join("".join(lines[n:]).split()))
+    encrypted = any(x.startswith("DEK-Info:") for x in lines[:n])
+    return bool(is_key(data)) or bool(encrypted and data and len(data) >= 24 and len(data) % 8 == 0)
+
+
 def is_token(text: str) -> bool:
     header, body, _ = text.split(".", 2)
     try:
@@ -114,11 +183,19 @@ def spans_of(text: str) -> list[tuple[int, str, int]]:
     for m in ENCODED.finditer(text):
         if kind := is_key(decoded(m[0])):
             out.append((m.start(), kind, m.end()))
+    pem = [(m.start(), "pem", m.end()) for m in ARMOUR.finditer(text) if armoured(m[2])]
+    whole = {(a, b) for a, kind, b in out + pem if kind in ("der", "openssh", "pem")}
+    for m in WRAPPED.finditer(text):
+        out += [x for x in inside(text, m.start(), m.end()) if not any(a <= x[0] < b for a, b in whole)]
     for m in ENCODED_HEX.finditer(text):
         if kind := is_key(bytes.fromhex(m[0])):
             out.append((m.start(), kind, m.end()))
-    out += [(m.start(), "jwt", m.end()) for m in TOKEN.finditer(text) if is_token(m[0])]
-    out += [(m.start(), "pem", m.end()) for m in ARMOUR.finditer(text) if is_key(decoded("".join(m[2].split())))]
+    past = 0
+    for m in TOKEN.finditer(text):
+        if m.start() >= past and is_token(m[1]):
+            past = m.end(1)
+            out.append((m.start(), "jwt", past))
+    out += pem
     return sorted(set(out), key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
 
