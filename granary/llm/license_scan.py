@@ -9,9 +9,10 @@ verified exactly, so the join finds every block over the threshold and no other.
 
 The templates are parameters of a bounded size and travel with the tasks; only
 the counts of their tokens (one row per token) come back from the corpus pass.
-A block is a line; a longer line is cut into windows of twice the longest
-template, each starting one longest template after the last, so that a passage
-of a template's length always lies whole in one window.
+Blocks are the lines and, once more, the whole document whatever its line ends.
+Both are cut into windows of twice the longest template, each starting one
+longest template after the last, so that a passage of a template's length always
+lies whole in one window, wrapped or not.
 
 Results for odd input: a null text is empty; texts without words give 0, null
 positions and empty labels; an empty table gives no rows; rows that share an id
@@ -100,23 +101,23 @@ class _Templates:
             self.prefix[ranks[: len(ranks) - self.need[k] + 1], k] = True
         self.stride = max(len(tokens(t)) for t, _ in templates)
 
-    def blocks(self, data, offsets, start, doc):
-        """The block of each word, or two where windows overlap: (word, block key)."""
-        newline = np.flatnonzero(data == 10)
+    def blocks(self, data, offsets, start, doc, across):
+        """The line of each word (or, across lines, its document) and the window in it."""
+        newline = np.flatnonzero(data == 10) if not across else np.empty(0)
         edge = np.unique(np.r_[newline, offsets[1:-1] - 0.5])  # a document's end also ends a line
         line = np.searchsorted(edge, start)
         first = np.searchsorted(line, line)
         window = (np.arange(len(start)) - first) // self.stride
         return line, window
 
-    def found(self, data, offsets, start, doc, hashes):
+    def found(self, data, offsets, start, doc, hashes, across):
         """(document, template, first word, end word, containment) of each block over the threshold; words count from the slice."""
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         word = np.flatnonzero(self.vocabulary[at] == hashes)
         if not len(word):
             return []
         rank = self.order[at[word]]
-        line, window = self.blocks(data, offsets, start, doc)
+        line, window = self.blocks(data, offsets, start, doc, across)
         wide = int(window.max()) + 2
         home = line[word] * wide + window[word] + 1
         # Each word lies in the window that starts at its stride and in the one before (the 0th only has the line's first stride).
@@ -169,7 +170,7 @@ def _match(templates: _Templates, phrases):
                         first[d] = x if first[d] < 0 else min(first[d], x)
                         last[d] = max(last[d], x)
                         base.setdefault(d, set()).add(label)
-                for d, t, x, y, c in templates.found(data, offsets, start, doc, hashes) if len(hashes) else ():
+                for d, t, x, y, c in (x for across in (False, True) for x in templates.found(data, offsets, start, doc, hashes, across)) if len(hashes) else ():
                     blocks.setdefault(a + d, []).append({"label": templates.labels[t], "start": x - int(head[d]), "end": y - int(head[d]), "containment": c})
             base_labels = [",".join(sorted(base.get(d, ()))) for d in range(n)]
             labels = [",".join(sorted(base.get(d, set()) | {x["label"] for x in blocks.get(d, ())})) for d in range(n)]

@@ -132,6 +132,12 @@ def test_license_scan(frame, corpus):
     assert got[3].labels == "gpl" and "bsd" in got[4].labels and got[5].labels == ""
 
 
+def test_wrapped_licenses(frame):
+    texts = ["Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")", "you can redistribute it and/or modify\nit under the terms of the GNU General Public License. This program is free software;", "You may not use this file except in compliance with the License.\nYou may obtain a copy of\nthe License at", "filler\n" * 30 + "released under\nthe mit\nlicense"]
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(frame(list(enumerate(texts)))).collect()}
+    assert got == {0: "mit", 1: "gpl", 2: "apache-2", 3: "mit"}
+
+
 def der(size=120):
     inner = b"\x02\x01\x00" + b"\x04" + bytes([size]) + bytes(range(size))
     return b"\x30\x81" + bytes([len(inner)]) + inner if len(inner) > 127 else b"\x30" + bytes([len(inner)]) + inner
