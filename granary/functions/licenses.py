@@ -11,16 +11,33 @@ from pyspark.sql import functions as F
 
 # The category of each SPDX id.
 CATEGORIES = {
-    "forbidden": "AGPL-1.0 AGPL-1.0-only AGPL-1.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later CC-BY-NC-1.0 CC-BY-NC-2.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-SA-1.0 CC-BY-NC-SA-2.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 WTFPL SSPL-1.0 BUSL-1.1",
-    "restricted": "GPL-1.0 GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later GFDL-1.1 GFDL-1.2 GFDL-1.3 OSL-3.0 QPL-1.0 Sleepycat CC-BY-SA-4.0",
-    "reciprocal": "MPL-1.0 MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 CDDL-1.1 CPL-1.0 Ms-RL APSL-2.0 EUPL-1.1 EUPL-1.2",
-    "notice": "Apache-1.0 Apache-1.1 Apache-2.0 BSD-2-Clause BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause MIT MIT-0 ISC Zlib libpng X11 Artistic-1.0 Artistic-2.0 AFL-2.1 AFL-3.0 BSL-1.0 PostgreSQL Python-2.0 PSF-2.0 Ruby OpenSSL Ms-PL ICU NCSA Zend-2.0 CC-BY-3.0 CC-BY-4.0",
-    "permissive": "WTFPL-2.0 Beerware",
-    "unencumbered": "Unlicense CC0-1.0 0BSD Public-Domain blessing",
+    "forbidden": (
+        "AGPL-1.0", "AGPL-1.0-only", "AGPL-1.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC-BY-NC-1.0", "CC-BY-NC-2.0", "CC-BY-NC-3.0",
+        "CC-BY-NC-4.0", "CC-BY-NC-SA-1.0", "CC-BY-NC-SA-2.0", "CC-BY-NC-SA-3.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "WTFPL", "SSPL-1.0", "BUSL-1.1",
+    ),
+    "restricted": (
+        "GPL-1.0", "GPL-1.0-only", "GPL-1.0-or-later", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later",
+        "LGPL-2.0", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later",
+        "GFDL-1.1", "GFDL-1.2", "GFDL-1.3", "OSL-3.0", "QPL-1.0", "Sleepycat", "CC-BY-SA-4.0",
+    ),
+    "reciprocal": (
+        "MPL-1.0", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CDDL-1.0", "CDDL-1.1", "CPL-1.0", "Ms-RL", "APSL-2.0", "EUPL-1.1", "EUPL-1.2",
+    ),
+    "notice": (
+        "Apache-1.0", "Apache-1.1", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-3-Clause-Clear", "BSD-4-Clause", "MIT", "MIT-0", "ISC", "Zlib",
+        "libpng", "X11", "Artistic-1.0", "Artistic-2.0", "AFL-2.1", "AFL-3.0", "BSL-1.0", "PostgreSQL", "Python-2.0", "PSF-2.0", "Ruby", "OpenSSL", "Ms-PL",
+        "ICU", "NCSA", "Zend-2.0", "CC-BY-3.0", "CC-BY-4.0",
+    ),
+    "permissive": (
+        "WTFPL-2.0", "Beerware",
+    ),
+    "unencumbered": (
+        "Unlicense", "CC0-1.0", "0BSD", "Public-Domain", "blessing",
+    ),
 }
 # How much each category asks for.
 SEVERITY = {"forbidden": 6, "restricted": 5, "reciprocal": 4, "notice": 2, "permissive": 2, "unencumbered": 1, "unknown": 0}
-CATEGORY_OF = {x.lower(): category for category, ids in CATEGORIES.items() for x in ids.split()}
+CATEGORY_OF = {x.lower(): category for category, ids in CATEGORIES.items() for x in ids}
 # Declared names (lower case) and the SPDX id they stand for.
 ALIASES = {
     "expat": "MIT", "expat license": "MIT", "mit license": "MIT",
@@ -34,8 +51,14 @@ ALIASES = {
     "cddl": "CDDL-1.0", "artistic": "Artistic-2.0", "zlib/libpng": "Zlib", "bsl": "BSL-1.0", "boost": "BSL-1.0", "boost software license": "BSL-1.0",
     "afl": "AFL-3.0", "eupl": "EUPL-1.2", "proprietary": "Proprietary", "commercial": "Proprietary", "closed source": "Proprietary",
 }
-#: Ids that are themselves when only the case of letters differs.
-SPELLED = {x.lower(): x for x in "MIT Apache-2.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause AGPL-3.0-only AGPL-3.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later ISC Unlicense CC0-1.0 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 CDDL-1.1 Artistic-2.0 Zlib 0BSD WTFPL BSL-1.0 AFL-3.0 EUPL-1.2 PostgreSQL".split()}
+# Ids that are themselves when only the case of letters differs.
+SPELLED_IDS = (
+    "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "AGPL-3.0-only",
+    "AGPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "ISC", "Unlicense", "CC0-1.0", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CDDL-1.0", "CDDL-1.1", "Artistic-2.0", "Zlib", "0BSD", "WTFPL",
+    "BSL-1.0", "AFL-3.0", "EUPL-1.2", "PostgreSQL",
+)
+SPELLED = {x.lower(): x for x in SPELLED_IDS}
 KNOWN = SPELLED | ALIASES
 
 

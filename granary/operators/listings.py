@@ -14,17 +14,34 @@ COMMON_LANGUAGES = (
 )
 # Infrastructure resources by category; a resource in two categories is in the first here.
 RESOURCE_CATEGORIES = {
-    "compute": "aws_instance aws_autoscaling_group aws_launch_template google_compute_instance google_compute_instance_group azurerm_virtual_machine azurerm_linux_virtual_machine azurerm_windows_virtual_machine",
-    "storage": "aws_s3_bucket aws_ebs_volume aws_efs_file_system google_storage_bucket google_compute_disk azurerm_storage_account azurerm_storage_blob azurerm_storage_container",
-    "database": "aws_db_instance aws_rds_cluster aws_dynamodb_table google_sql_database_instance google_bigtable_instance azurerm_sql_database azurerm_cosmosdb_account azurerm_mysql_server",
-    "networking": "aws_vpc aws_subnet aws_security_group aws_lb aws_route_table google_compute_network google_compute_firewall google_compute_subnetwork azurerm_virtual_network azurerm_network_security_group azurerm_subnet",
-    "container": "aws_ecs_cluster aws_eks_cluster aws_ecr_repository google_container_cluster google_cloud_run_service google_container_registry azurerm_kubernetes_cluster azurerm_container_registry azurerm_container_group",
-    "serverless": "aws_lambda_function aws_api_gateway_rest_api google_cloudfunctions_function azurerm_function_app azurerm_app_service",
+    "compute": (
+        "aws_instance", "aws_autoscaling_group", "aws_launch_template", "google_compute_instance", "google_compute_instance_group",
+        "azurerm_virtual_machine", "azurerm_linux_virtual_machine", "azurerm_windows_virtual_machine",
+    ),
+    "storage": (
+        "aws_s3_bucket", "aws_ebs_volume", "aws_efs_file_system", "google_storage_bucket", "google_compute_disk", "azurerm_storage_account",
+        "azurerm_storage_blob", "azurerm_storage_container",
+    ),
+    "database": (
+        "aws_db_instance", "aws_rds_cluster", "aws_dynamodb_table", "google_sql_database_instance", "google_bigtable_instance", "azurerm_sql_database",
+        "azurerm_cosmosdb_account", "azurerm_mysql_server",
+    ),
+    "networking": (
+        "aws_vpc", "aws_subnet", "aws_security_group", "aws_lb", "aws_route_table", "google_compute_network", "google_compute_firewall",
+        "google_compute_subnetwork", "azurerm_virtual_network", "azurerm_network_security_group", "azurerm_subnet",
+    ),
+    "container": (
+        "aws_ecs_cluster", "aws_eks_cluster", "aws_ecr_repository", "google_container_cluster", "google_cloud_run_service", "google_container_registry",
+        "azurerm_kubernetes_cluster", "azurerm_container_registry", "azurerm_container_group",
+    ),
+    "serverless": (
+        "aws_lambda_function", "aws_api_gateway_rest_api", "google_cloudfunctions_function", "azurerm_function_app", "azurerm_app_service",
+    ),
 }
 
 
 def resource_category(kind: Column) -> Column:
-    table = {x: category for category, names in RESOURCE_CATEGORIES.items() for x in names.split()}
+    table = {x: category for category, names in RESOURCE_CATEGORIES.items() for x in names}
     return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[kind], F.lit("other"))
 
 
