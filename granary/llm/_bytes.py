@@ -31,36 +31,106 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(256, dtype=np.uint64))
-_BASE = {0: 0x9FB21C651E98DF25, 1: 0xD6E8FEB86659FD93}
+#: Spans are hashed modulo this Mersenne prime: unequal spans of n values collide with a probability of n / 2**61.
+PRIME = (1 << 61) - 1
+_BASE = {0: 0x0FB21C651E98DF25, 1: 0x16E8FEB86659FD93}
+_P, _M31, _M30 = _U(PRIME), _U((1 << 31) - 1), _U((1 << 30) - 1)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _U(61))
+    return x - _P * (x >= _P)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of numbers below it."""
+    a1, a0, b1, b0 = a >> _U(31), a & _M31, b >> _U(31), b & _M31
+    middle = a1 * b0 + a0 * b1
+    return _reduced((a1 * b1 << _U(1)) + (middle >> _U(30)) + ((middle & _M30) << _U(31)) + a0 * b0)
+
+
 def _power(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base**i (or its inverse) modulo 2**64, for i below n."""
+    """base**i (or its inverse) modulo PRIME, for i below n."""
     have = _powers.get((base, inverse))
     if have is None or len(have) < n:
-        b = pow(base, -1, 1 << 64) if inverse else base
-        steps = np.full(max(n, SLICE_BYTES + 1), b, dtype=np.uint64)
-        steps[0] = 1
-        with np.errstate(over="ignore"):
-            have = _powers[base, inverse] = np.cumprod(steps, dtype=np.uint64)
+        b = pow(base, -1, PRIME) if inverse else base
+        have = np.ones(1 << max(12, n.bit_length()), dtype=np.uint64)
+        size = 1
+        while size < len(have):
+            have[size : size * 2] = _times(have[:size], _U(pow(b, size, PRIME)))
+            size *= 2
+        _powers[base, inverse] = have
     return have[:n]
 
 
 def spans_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of values[start:end], by prefix sums of a polynomial."""
+    """64-bit hashes of values[start:end], by prefix sums of a polynomial modulo PRIME."""
     base, n = _BASE[seed], len(values)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * _power(base, n), out=sums[1:])
-    return mix((sums[end] - sums[start]) * _power(base, n + 1, True)[start] + (end - start).astype(np.uint64))
+    terms = _times(_reduced(values), _power(base, n))
+    sums = np.zeros((2, n + 1), dtype=np.uint64)
+    np.cumsum(terms & _M31, out=sums[0, 1:])
+    np.cumsum(terms >> _U(31), out=sums[1, 1:])
+    x, y = (s[end] - s[start] for s in sums)
+    found = _times(_reduced(_reduced(x) + (y >> _U(30)) + ((y & _M30) << _U(31))), _power(base, n + 1, True)[start])
+    return mix(found + (end - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+
+
+_FOLD = {0: (0xAEF17502108EF2D9, 0x9FB21C651E98DF25), 1: (0xABC98388FB8FAC03, 0xD6E8FEB86659FD93)}
+#: Places worked on at once, so that what a step makes stays in the processor's cache.
+BLOCK = 1 << 15
+
+
+def joined(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of pairs in order; not linear, so no structure of the values cancels out."""
+    k1, k2 = map(_U, _FOLD[seed])
+    x = b * k1
+    x += a
+    x ^= x >> _U(32)
+    x *= k2
+    return x
+
+
+def _grams(values: np.ndarray, sizes: tuple[int, ...], seed: int) -> list[np.ndarray]:
+    out, now, width = [], values, 1
+    for n in sizes:
+        while width * 2 <= n:
+            now = joined(now[:-width], now[width:], seed)
+            width *= 2
+        out.append(mix(now) if n == 1 else now if width == n else joined(now[: len(values) - n + 1], now[n - width :], seed))
+    return out
+
+
+def grams_hashes(values: np.ndarray, sizes: tuple[int, ...], seed: int = 0) -> list[np.ndarray]:
+    """For each of some sizes in ascending order, hashes of every so many values that follow each other.
+
+    Runs of 1, 2, 4, ... values are joined in pairs; a size between is two runs that overlap.
+    """
+    out = [np.empty(max(0, len(values) - n + 1), dtype=np.uint64) for n in sizes]
+    while len(values) < sizes[-1]:
+        if len(sizes) == 1:
+            return out
+        return [*grams_hashes(values, sizes[:-1], seed), out[-1]]
+    for k in range(0, len(values), BLOCK):
+        part = values[k : k + BLOCK + sizes[-1] - 1]
+        fit = tuple(n for n in sizes if n <= len(part))
+        for full, found in zip(out, _grams(part, fit, seed) if fit else (), strict=False):
+            full[k : k + BLOCK] = found[:BLOCK]
+    return out
 
 
 def grams_hash(values: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     """Hashes of every n values that follow each other."""
-    if len(values) < n:
-        return np.empty(0, dtype=np.uint64)
-    start = np.arange(len(values) - n + 1)
-    return spans_hash(values, start, start + n, seed)
+    return grams_hashes(values, (n,), seed)[0]
+
+
+def rows_hash(values: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the rows of a matrix."""
+    while values.shape[1] > 1:
+        odd = values[:, -1:] if values.shape[1] % 2 else values[:, :0]
+        even = values[:, : values.shape[1] - odd.shape[1]]
+        values = np.hstack([joined(even[:, 0::2], even[:, 1::2], seed), odd])
+    return values[:, 0]
 
 
 def lean(task: Callable) -> Callable:
@@ -70,7 +140,8 @@ def lean(task: Callable) -> Callable:
         try:
             yield from task(batches)
         finally:
-            _powers.clear()
+            for key in [k for k, have in _powers.items() if len(have) > 2 * SLICE_BYTES]:
+                del _powers[key]
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
             if trim:
@@ -89,16 +160,18 @@ def sliding_anchor(hashes: np.ndarray, width: int) -> np.ndarray:
     Equal runs choose the same place within them, whatever stands around.
     """
     n = len(hashes) - width + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.int64)
-    least = (hashes & _U(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
-    size = 1
-    while size * 2 <= width:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    if size < width:
-        least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
-    return (least[:n] & _U(0xFFFFFFFF)).astype(np.int64)
+    out = np.empty(max(0, n), dtype=np.int64)
+    for k in range(0, n, BLOCK):
+        part = hashes[k : k + BLOCK + width - 1]
+        least = (part & _U(0xFFFFFFFF00000000)) | np.arange(k, k + len(part), dtype=np.uint64)
+        size = 1
+        while size * 2 <= width:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        if size < width:
+            least = np.minimum(least[: len(least) - (width - size)], least[width - size :])
+        out[k : k + BLOCK] = least & _U(0xFFFFFFFF)
+    return out
 
 
 def byte_table(separators: bytes) -> np.ndarray:
@@ -133,8 +206,28 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACED) ->
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
+#: Bytes up to which words are hashed side by side, eight bytes a step; longer ones are folded one by one.
+LONG_WORD = 512
+_FIRST = (np.uint64(2**64 - 1) >> (np.arange(8, -1, -1, dtype=np.uint64) * _U(8) % _U(64))) * (np.arange(9) > 0)
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    return spans_hash(_BYTE[data], start, end, seed)
+    """64-bit hashes of data[start:end]."""
+    padded = np.r_[data, np.zeros(8, dtype=np.uint8)]
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    size = end - start
+    out = mix(size.astype(np.uint64) + _U(seed << 32))
+    use = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    at, left = start[use], size[use]
+    while len(use):
+        out[use] = joined(out[use], mix(eight[at] & _FIRST[np.minimum(left, 8)]), seed)
+        going = left > 8
+        use, at, left = use[going], at[going] + 8, left[going] - 8
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        word = np.zeros(-(-size[k] // 8) * 8, dtype=np.uint8)
+        word[: size[k]] = data[start[k] : end[k]]
+        out[k] = joined(out[k : k + 1], rows_hash(mix(word.view("<u8"))[None, :], seed), seed)[0]
+    return out
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -47,7 +47,7 @@ def _seeds(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.
     if len(hashes) < n:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     at = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :])
-    return at, B.spans_hash(hashes, at, at + n)
+    return at, B.grams_hash(hashes, n)[at]
 
 
 def tiles(pattern: np.ndarray, text: np.ndarray, i: np.ndarray, j: np.ndarray, least: int) -> list[tuple[int, int, int]]:

@@ -81,7 +81,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[n
     digest = np.stack([B.spans_hash(hashes, first, last, seed) for seed in (0, 1)], axis=1)
     at = np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :]) if len(doc) >= n else np.empty(0, np.int64)
     short = np.flatnonzero((size > 0) & (size < n))
-    h = np.r_[B.spans_hash(hashes, at, at + n), digest[short, 0]]
+    h = np.r_[B.grams_hash(hashes, n)[at], digest[short, 0]]
     of = np.r_[doc[at], short]
     by = np.lexsort((h, of))
     h, of = h[by], of[by]

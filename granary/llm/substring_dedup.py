@@ -6,8 +6,8 @@ least-hashed run of ANCHOR words inside it.  Equal windows hold equal anchors,
 so the count of an anchor never falls below that of its windows: the estimate
 errs upward only and no repeated window is lost.
 
-Pass two groups exactly, by 96 bits of hash or more, only windows whose
-estimate is two or more.  Windows that follow each other over one anchor make a
+Pass two groups only windows whose estimate is two or more, by 96 bits of two
+independent hashes that no structure of the words makes collide.  Windows that follow each other over one anchor make a
 segment, and equal segments are the same windows, so most of the grouping is of
 segments.  Where an anchor stands in segments that differ (the edges of a
 passage), a second set of bits marks it and its windows are grouped one by one.
@@ -50,6 +50,15 @@ def _anchored(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
     return hashes, doc, at, grams[place], place
 
 
+def _windows_hash(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each window: 96 bits of them are kept."""
+    return B.grams_hash(hashes, window), B.grams_hash(hashes, window, 1)
+
+
+def _half(hashes: np.ndarray) -> pa.Array:
+    return pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
 def _anchor_keys(window: int, anchor: int):
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, data, offsets in B.slices(batch):
@@ -77,11 +86,13 @@ def _segments(sketch, window: int, anchor: int):
                 first, last = first[keep], last[keep]
                 if not len(first):
                     continue
-                start, end = at[first], at[last] + window
+                # A segment has fewer than two windows' words: its first and last window hold them all.
+                start = at[first]
                 of = doc[start]
-                s2 = B.spans_hash(hashes, start, end, 1)
+                n = (last - first + 1).astype(np.uint64)
+                s1, s2 = (B.joined(w[at[first]], w[at[last]] + n, seed) for seed, w in enumerate(_windows_hash(hashes, window)))
                 yield pa.RecordBatch.from_arrays(
-                    [B.longs(grams[first]), B.longs(B.spans_hash(hashes, start, end)), pa.array((s2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array((start - np.searchsorted(doc, of)).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
+                    [B.longs(grams[first]), B.longs(s1), _half(s2), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array((start - np.searchsorted(doc, of)).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
                     ["a", "s1", "s2", "id", "t", "at", "n"],
                 )
 
@@ -101,9 +112,9 @@ def _windows(marked, window: int, anchor: int):
                 if not len(at):
                     continue
                 of = doc[at]
-                h2 = B.spans_hash(hashes, at, at + window, 1)
+                h1, h2 = (w[at] for w in _windows_hash(hashes, window))
                 yield pa.RecordBatch.from_arrays(
-                    [B.longs(B.spans_hash(hashes, at, at + window)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array((at - np.searchsorted(doc, of)).astype(np.int32))],
+                    [B.longs(h1), _half(h2), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array((at - np.searchsorted(doc, of)).astype(np.int32))],
                     ["h1", "h2", "id", "t", "at"],
                 )
 

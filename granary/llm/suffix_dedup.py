@@ -101,20 +101,20 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, start
 
 
 def _anchored(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
-    """Starts of strings, the place of each one's anchor, and the anchors' hashes by place."""
+    """Starts of strings, the place of each one's anchor, and the hashes of anchors and of strings by place."""
     none = np.empty(0, dtype=np.int64)
     if len(data) < length:
-        return none, none, np.empty(0, dtype=np.uint64)
+        return none, none, np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
     ends = np.repeat(offsets[1:], np.diff(offsets))
     at = np.flatnonzero(np.arange(length, len(data) + length) <= ends)
-    grams = B.grams_hash(B.byte_values(data), anchor)
-    return at, B.sliding_anchor(grams, length - anchor + 1)[at], grams
+    grams, whole = B.grams_hashes(B.byte_values(data), (anchor, length))
+    return at, B.sliding_anchor(grams, length - anchor + 1)[at], grams, whole
 
 
 def _anchor_keys(length: int, anchor: int):
     def keys_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, _, data, offsets in B.slices(batch, most=SLICE):
-            at, place, grams = _anchored(data, offsets, length, anchor)
+            at, place, grams, _ = _anchored(data, offsets, length, anchor)
             if len(at):
                 yield grams[place[np.r_[True, place[1:] != place[:-1]]]]
 
@@ -130,7 +130,7 @@ def _segments(sketch, length: int, anchor: int):
         for batch in batches:
             ids, tags = B.ids(batch), batch.column(2).to_numpy(zero_copy_only=False)
             for a, _, data, offsets in B.slices(batch, most=SLICE):
-                at, place, grams = _anchored(data, offsets, length, anchor)
+                at, place, grams, whole = _anchored(data, offsets, length, anchor)
                 if not len(at):
                     continue
                 first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (np.diff(at) != 1)])
@@ -142,10 +142,12 @@ def _segments(sketch, length: int, anchor: int):
                     continue
                 start, end = at[first], at[last] + length
                 of = np.searchsorted(offsets, start, side="right") - 1
-                values = B.byte_values(data)
+                # A segment is shorter than two strings: its first and last string hold all its bytes.
+                n = (last - first + 1).astype(np.uint64)
+                s = B.joined(whole[at[first]], whole[at[last]] + n)
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [B.longs(key), B.longs(B.spans_hash(values, start, end)), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array(start - offsets[of]), pa.array((last - first + 1).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())],
+                    [B.longs(key), B.longs(s), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array(start - offsets[of]), pa.array((last - first + 1).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())],
                     ["a", "s", "id", "t", "at", "n", "seg"],
                 )
 
@@ -206,8 +208,13 @@ def shard_marks(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         yield _marks(None, id[k], t[k], at[k] + inner[step[:, 0]], step[:, 1] - step[:, 0])
     first = np.flatnonzero(whole & ~gone & edge[of])
     if len(first):
-        values, k = B.byte_values(text), of[first]
-        yield _marks((B.spans_hash(values, first, first + length), B.spans_hash(values, first, first + length, 1)), id[k], t[k], at[k] + inner[first], np.ones(len(first)))
+        k = of[first]
+        digests = [[], []]
+        for x in range(0, len(first), SHARD_ROWS):
+            rows = B.byte_values(text[first[x : x + SHARD_ROWS, None] + np.arange(length)])
+            for seed in (0, 1):
+                digests[seed].append(B.rows_hash(rows, seed))
+        yield _marks((np.concatenate(digests[0]), np.concatenate(digests[1])), id[k], t[k], at[k] + inner[first], np.ones(len(first)))
 
 
 def _shards(length: int):
@@ -292,7 +299,7 @@ def remove_repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str
     edges = marks.where("open").select("h1", "h2", "id", "t", "at")
     merged = edges.repartitionByRange("h1").sortWithinPartitions("h1", "h2", "id", "t", "at").mapInArrow(_merge, "id long, t int, at long, n int")
     later = marks.where("not open").select("id", "t", "at", "n").unionByName(merged)
-    again = later.groupBy("id", "t").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
+    again = later.groupBy("id", "t").agg(F.collect_set(F.struct("at", "n")).alias("marks"))  # repeated rows mark the same
     joined = tagged.alias("d").join(again.alias("a"), F.expr("d.id = a.id and d.t = a.t"), "left").select("d.id", "d.text", "a.marks")
     out = joined.mapInArrow(B.lean(_cut(length)), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, removed array<struct<start:long,end:long>>")
     return out.select(id_out(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "removed")
