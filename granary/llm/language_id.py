@@ -5,12 +5,16 @@ probability of a word is the sum over every way to cut it into pieces, by the
 forward algorithm; a text's is the product over its words (runs of letters,
 ASCII lower-cased, each after a space).  The distributions are fitted by
 expectation maximisation over the same sums, on a bounded sample of labelled
-documents: about PER_LANGUAGE a language, drawn by a hash of the id, whole texts.
-Every document is then scored whole; words are scored once per slice of texts
-and looked up from there.
+documents: about PER_LANGUAGE a language, drawn by a hash of id and text, whole
+texts; of more than MOST_LANGUAGES values those with the most documents are
+learnt.  Every document is then scored whole; words are scored once per slice of
+texts and looked up from there.
 
 Single bytes are pieces of every vocabulary, so any word has a segmentation.
-Words over MAX_WORD bytes are cut into parts of that length.
+Words over MAX_WORD bytes (text without blanks, say) are parted where no piece
+can stand across; the sum over all segmentations is exactly the product of the
+parts' sums.  A part that is still longer is summed place by place, rescaled on
+the way.
 
 Results for odd input: a null text, an empty one and one without letters are
 `und` with score 0; null languages teach nothing; with nothing to learn from
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes as B
@@ -37,22 +41,22 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PER_LANGUAGE = 400
 ROUNDS = 3
 MOST_LANGUAGES = 1000
+#: Bytes up to which words are summed side by side.
 MAX_WORD = 40
-MAX_PIECE = 16
 SMOOTH = 0.01
 #: Probabilities are held times GROW per byte, so that a product over a longest word stays a normal number.
 GROW = 32.0
 SLICE = 1 << 20
-#: Words whose scores a task keeps between slices.
-KEPT_WORDS = 1 << 18
-#: Words of one length that are scored at once.
-CHUNK = 1 << 12
+#: Word scores (words times languages) that a task keeps between slices.
+KEPT_SCORES = 1 << 20
+#: Words of one length, times languages, that are scored at once.
+CHUNK = 1 << 14
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def vocabulary(path: str) -> list[bytes]:
-    """The pieces of a sentencepiece model that lower-case words can hold, and all single bytes; the word mark is a space."""
+    """The pieces of a sentencepiece model that can match in lower-case words, and all single bytes; the word mark is a space."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -60,22 +64,30 @@ def vocabulary(path: str) -> list[bytes]:
     for k in range(model.get_piece_size()):
         if not (model.is_control(k) or model.is_byte(k) or model.is_unknown(k)):
             piece = model.id_to_piece(k).replace("▁", " ").encode()
-            if len(piece) <= MAX_PIECE and not any(65 <= b <= 90 for b in piece) and b" " not in piece[1:]:
+            if all(LETTERS[b] and not 65 <= b <= 90 for b in piece.removeprefix(b" ")):
                 pieces.add(piece)
     return sorted(pieces)
 
 
 class Pieces:
-    """A vocabulary as a sorted table of hashes."""
+    """A vocabulary as a sorted table of hashes, which grow byte by byte."""
 
     def __init__(self, pieces: list[bytes]):
-        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        end = np.cumsum([len(p) for p in pieces])
-        hashes = B.word_hashes(data, np.r_[0, end[:-1]], end)
+        self.lengths = np.array([len(p) for p in pieces], dtype=np.float64)
+        hashes = np.zeros(len(pieces), dtype=np.uint64)
+        for n in np.unique(self.lengths).astype(np.int64):
+            of = np.flatnonzero(self.lengths == n)
+            rows = np.frombuffer(b"".join(pieces[k] for k in of.tolist()), dtype=np.uint8).reshape(-1, n)
+            for c in range(n):
+                hashes[of] = self.grown(hashes[of], rows[:, c])
         self.by = np.argsort(hashes)
         self.hashes = hashes[self.by]
-        self.longest = max(map(len, pieces))
-        self.lengths = np.array([len(p) for p in pieces], dtype=np.float64)
+        self.sizes = set(self.lengths.astype(np.int64).tolist())
+        self.longest = max(self.sizes)
+
+    @staticmethod
+    def grown(hashes: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        return B.joined(hashes, B.byte_values(byte))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -84,15 +96,31 @@ class Pieces:
     def lattice(self, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         """words: (words, bytes), all of one length; the piece of each span (start, end), or the number of pieces where there is none."""
         n, size = words.shape
-        flat = np.ascontiguousarray(words).reshape(-1)
-        start = np.arange(n) * size
-        values = B.byte_values(flat)
-        base = B._power(B._BASE[0], size)
-        sums = np.zeros((n, size + 1), dtype=np.uint64)
-        np.cumsum(values.reshape(n, size) * base, axis=1, out=sums[:, 1:])
-        inverse = B._power(B._BASE[0], size + 1, True)
-        del start
-        return {(i, j): self.find(B.mix((sums[:, j] - sums[:, i]) * inverse[i] + np.uint64(j - i))) for i in range(size) for j in range(i + 1, min(size, i + self.longest) + 1)}
+        out = {}
+        for i in range(size):
+            now = np.zeros(n, dtype=np.uint64)
+            for j in range(i + 1, min(size, i + self.longest) + 1):
+                now = self.grown(now, words[:, j - 1])
+                if j - i in self.sizes:
+                    out[i, j] = self.find(now)
+        return out
+
+    def along(self, data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, piece at each place) over a run of bytes, for each length of pieces."""
+        now = np.zeros(len(data), dtype=np.uint64)
+        for n in range(1, min(self.longest, len(data)) + 1):
+            now = self.grown(now[: len(data) - n + 1], data[n - 1 :])
+            if n in self.sizes:
+                yield n, self.find(now)
+
+    def parts(self, data: np.ndarray) -> list[np.ndarray]:
+        """data cut at every place that no piece can stand across."""
+        across = np.zeros(len(data) + 1, dtype=np.int64)
+        for n, piece in self.along(data):
+            at = np.flatnonzero(piece < len(self.by)) if n > 1 else np.empty(0, np.int64)
+            np.add.at(across, at + 1, 1)
+            np.add.at(across, at + n, -1)
+        return np.split(data, np.flatnonzero(np.cumsum(across)[1:-1] == 0) + 1)
 
 
 def _forward(lattice, size: int, p: np.ndarray) -> np.ndarray:
@@ -107,21 +135,71 @@ def _forward(lattice, size: int, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _sums(found: list[tuple[int, np.ndarray]], p: np.ndarray, size: int, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Forward (or backward) sums of one long run: (positions, languages), each position times exp of its scale.
+
+    found: what Pieces.along gives.  Sums are divided by their greatest every few places, which the scale remembers.
+    """
+    lengths = np.array([n for n, _ in found])
+    at = np.full((len(found), size + 1), len(p) - 1)  # piece that ends (begins) at a place, by length
+    for k, (n, piece) in enumerate(found):
+        at[k, : size - n + 1 if back else size + 1][-len(piece) :] = piece
+    out, scale = np.zeros((size + 1, p.shape[1])), np.zeros((size + 1, p.shape[1]))
+    first, step = (size, -1) if back else (0, 1)
+    out[first] = 1.0
+    held = np.zeros(p.shape[1])
+    for k in range(1, size + 1):
+        j = first + step * k
+        use = np.flatnonzero((at[:, j] < len(p) - 1) & (lengths <= k))
+        i = j - step * lengths[use]
+        out[j] = (out[i] * np.exp(scale[i] - held) * p[at[use, j]]).sum(axis=0)
+        if k % 16 == 0:
+            more = np.log(np.maximum(out[j], 1e-300))
+            out[j] = np.where(out[j] > 0, 1.0, 0.0)
+            held = held + more
+        scale[j] = held
+    return out, scale
+
+
 def _grown(p: np.ndarray, pieces: Pieces) -> np.ndarray:
     return np.vstack([p * (GROW ** pieces.lengths)[:, None], np.zeros((1, p.shape[1]))])
 
 
+def _rows(words: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(indexes, matrix) of the words of each length, `most` at once."""
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    for k in np.unique(size):
+        for of in np.array_split(np.flatnonzero(size == k), max(1, -(-int((size == k).sum()) // most))):
+            yield of, np.stack([words[i] for i in of.tolist()])
+
+
 def score_words(pieces: Pieces, p: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """log P(word) per language, summed over all segmentations."""
     out = np.zeros((len(start), p.shape[1]))
     grown = _grown(p, pieces)
+    most = max(16, CHUNK // max(1, p.shape[1]))
     size = end - start
-    for k in np.unique(size):
-        for of in np.array_split(np.flatnonzero(size == k), max(1, -(-int((size == k).sum()) // CHUNK))):
+
+    def add(of: np.ndarray, rows: np.ndarray) -> None:
+        n = rows.shape[1]
+        np.add.at(out, of, np.log(np.maximum(_forward(pieces.lattice(rows), n, grown)[n], 1e-300)) - n * np.log(GROW))
+
+    for k in np.unique(size[size <= MAX_WORD]):
+        for of in np.array_split(np.flatnonzero(size == k), max(1, -(-int((size == k).sum()) // most))):
             rows = np.full((len(of), k + 1), 32, dtype=np.uint8)
             rows[:, 1:] = data[start[of][:, None] + np.arange(k)]
-            total = _forward(pieces.lattice(rows), k + 1, grown)[k + 1]
-            out[of] = np.log(np.maximum(total, 1e-300)) - (k + 1) * np.log(GROW)
+            add(of, rows)
+    home, parts = [], []
+    for k in np.flatnonzero(size > MAX_WORD).tolist():
+        for part in pieces.parts(np.r_[np.uint8(32), data[start[k] : end[k]]]):
+            if len(part) <= MAX_WORD + 1:
+                home.append(k)
+                parts.append(part)
+            else:
+                last, scale = (x[-1] for x in _sums(list(pieces.along(part)), grown, len(part)))
+                out[k] += np.log(np.maximum(last, 1e-300)) + scale - len(part) * np.log(GROW)
+    for of, rows in _rows(parts, most):
+        add(np.array(home)[of], rows)
     return out
 
 
@@ -129,65 +207,67 @@ def fit(pieces: Pieces, words: list[bytes], counts: np.ndarray, rounds: int = RO
     """Piece probabilities of one language by expectation maximisation over all segmentations of its words."""
     m = len(pieces.lengths)
     p = np.full((m, 1), 1.0 / m)
-    size = np.array([len(w) for w in words])
-    data = np.frombuffer(b"".join(words), dtype=np.uint8)
-    start = np.cumsum(size) - size
-    groups = []
-    for k in np.unique(size):
-        for of in np.array_split(np.flatnonzero(size == k), max(1, -(-int((size == k).sum()) // CHUNK))):
-            rows = np.full((len(of), k + 1), 32, dtype=np.uint8)
-            rows[:, 1:] = data[start[of][:, None] + np.arange(k)]
-            groups.append((int(k) + 1, of, rows))
+    weights, parts, long = [], [], []
+    for word, n in zip(words, counts.tolist(), strict=True):
+        whole = np.frombuffer(b" " + word, dtype=np.uint8)
+        for part in pieces.parts(whole) if len(word) > MAX_WORD else (whole,):
+            if len(part) <= MAX_WORD + 1:
+                weights.append(n)
+                parts.append(part)
+            else:
+                long.append((n, len(part), list(pieces.along(part))))
+    weights = np.array(weights)
+    groups = list(_rows(parts, CHUNK // 4))
     for _ in range(rounds):
         expected = np.full(m + 1, SMOOTH)
         grown = _grown(p, pieces)
-        for n, of, rows in groups:
+        for of, rows in groups:
+            n = rows.shape[1]
             lattice = pieces.lattice(rows)
             alpha = _forward(lattice, n, grown)[:, :, 0]
             beta = np.zeros_like(alpha)
             beta[n] = 1.0
             for (i, j), piece in sorted(lattice.items(), key=lambda x: -x[0][0]):
                 beta[i] += beta[j] * grown[piece, 0]
-            weight = counts[of] / np.maximum(alpha[n], 1e-300)
+            weight = weights[of] / np.maximum(alpha[n], 1e-300)
             for (i, j), piece in lattice.items():
                 expected += np.bincount(piece, alpha[i] * grown[piece, 0] * beta[j] * weight, minlength=m + 1)
+        for n_words, size, found in long:
+            (a, sa), (b, sb) = ((x[:, 0] for x in _sums(found, grown, size, back)) for back in (False, True))
+            for n, piece in found:
+                i = np.flatnonzero(piece < m)
+                share = a[i] * grown[piece[i], 0] * b[i + n] / max(a[size], 1e-300) * np.exp(sa[i] + sb[i + n] - sa[size])
+                expected += np.bincount(piece[i], share * n_words, minlength=m + 1)
         p = (expected[:m] / expected[:m].sum())[:, None]
     return p
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of each word, longer ones in parts."""
-    start, end, doc = B.words(data, offsets, LETTERS)
-    parts = -((start - end) // MAX_WORD)
-    if len(parts) and parts.max() > 1:
-        k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, end, doc = np.repeat(start, parts) + k * MAX_WORD, np.repeat(end, parts), np.repeat(doc, parts)
-        end = np.minimum(end, start + MAX_WORD)
-    return start, end, doc
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         of = batch.column(0).to_pylist()
         for a, _, data, offsets in B.slices(batch):
             data = B.LOWER[data] if len(data) else data
-            start, end, doc = words_of(data, offsets)
+            start, end, doc = B.words(data, offsets, LETTERS)
             raw = data.tobytes()
             found = Counter((of[a + d], raw[x:y]) for d, x, y in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.binary()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
 
+def is_drawn(have: Column, per_language: int, *key: Column) -> Column:
+    """Whether a row of a language with `have` rows is in the sample of about per_language of them, by a hash of its key."""
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *key), 1).cast("double") / float(1 << 63)
+    return draw < F.lit(float(per_language)) / have
+
+
 def train(df: DataFrame, key: str, lang_col: str, text_col: str, path: str = VOCABULARY, per_language: int = PER_LANGUAGE) -> tuple[list[str], Pieces, np.ndarray]:
     """The languages, the vocabulary and a column of piece probabilities per language.
 
-    The sample that comes to the driver has about per_language documents a language, by a hash of `key`, whatever the size of df.
+    The sample whose word counts come to the driver has about per_language documents a language, whatever the size of df.
     """
-    labelled = df.select(named(lang_col).cast("string").alias("lang"), named(text_col).cast("string").alias("text"), (F.abs(F.xxhash64(F.lit("sample"), named(key).cast("string"))) % 1_000_000).alias("draw")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("have")).limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of {lang_col}")
-    below = F.create_map(*[F.lit(x) for row in sizes for x in (row["lang"], 1_000_000 * per_language // row["have"])]) if sizes else F.lit(None)
-    drawn = labelled.where(F.col("draw") < (below[F.col("lang")] if sizes else F.lit(0))).select("lang", "text")
+    labelled = df.select(named(lang_col).cast("string").alias("lang"), named(text_col).cast("string").alias("text"), named(key).cast("string").alias("key")).where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("have")).orderBy(F.desc("have"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = F.broadcast(df.sparkSession.createDataFrame([(r["lang"], r["have"]) for r in sizes], "of string, have long"))
+    drawn = labelled.join(sizes, F.col("lang") == F.col("of")).where(is_drawn(F.col("have"), per_language, F.col("key"), F.col("text"))).select("lang", "text")
     counts = drawn.mapInArrow(B.lean(_word_counts), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     pieces = Pieces(vocabulary(path))
     languages = sorted(counts["lang"].unique().tolist(), key=lambda x: x.encode())
@@ -204,7 +284,7 @@ def _predict(model):
             total, any_word = np.zeros((n, len(languages))), np.zeros(n, dtype=bool)
             for a, b, data, offsets in B.slices(batch, most=SLICE):
                 data = B.LOWER[data] if len(data) else data
-                start, end, doc = words_of(data, offsets)
+                start, end, doc = B.words(data, offsets, LETTERS)
                 if not len(start):
                     continue
                 letter = (data >= 97) & (data <= 122)
@@ -221,7 +301,7 @@ def _predict(model):
                 new = np.flatnonzero(~have)
                 if len(new):
                     scores[new] = score_words(pieces, p, data, start[first[new]], end[first[new]])
-                    if len(known) + len(new) <= KEPT_WORDS:
+                    if (len(known) + len(new)) * len(languages) <= KEPT_SCORES:
                         known = np.r_[known, words[new]]
                         by = np.argsort(known)
                         known, known_scores = known[by], np.vstack([known_scores, scores[new]])[by]
