@@ -30,7 +30,8 @@ SYMBOLS = "#*$%&|<>"
 #: A line of so many words should close like a sentence.
 SENTENCE_WORDS = 8
 CLOSED = r"""[.!?:;,…。！？"'”’»)\]*_`-][\x20\x09-\x0D]*$"""
-NAVIGATION = r"(?i)^\s*(home|login|log in|sign (in|up)|next|previous|back to top|skip to content|read more|share( this)?|menu|search|subscribe)\s*[|>».:]*\s*$"
+#: Of a line without outer blanks: so no two parts of the pattern can take the same blanks.
+NAVIGATION = r"(?i)^(home|login|log in|sign (in|up)|next|previous|back to top|skip to content|read more|share( this)?|menu|search|subscribe)\s*[|>».:]*\z"
 BOILERPLATE = r"(?i)(enable javascript|cookie policy|accept (all )?cookies|all rights reserved|terms of (use|service)|privacy policy|lorem ipsum|click here)"
 
 
@@ -75,7 +76,7 @@ def line_fails(line: Column, n_words: Column) -> dict[str, Column]:
     symbols = _count(line, SYMBOLS)
     return {
         "punctuation": ((n_words >= SENTENCE_WORDS) & ~line.rlike(CLOSED)) | (2 * symbols >= n_words) & (symbols >= 3) | (2 * F.size(F.regexp_extract_all(line, F.lit("!!+"), F.lit(0))) >= n_words) & (n_words >= 3),
-        "navigation": ((_count(line, "|") >= 2) & (4 * _count(line, "|") >= n_words)) | line.rlike(NAVIGATION),
+        "navigation": ((_count(line, "|") >= 2) & (4 * _count(line, "|") >= n_words)) | F.btrim(line, F.lit(SPACE)).rlike(NAVIGATION),
         "boilerplate": (n_words <= 40) & line.rlike(BOILERPLATE),
     }
 
