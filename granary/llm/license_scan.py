@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from . import _bytes as B
 from ._shared import documents, id_out, keyed
 
+#: Templates of different licenses differ by one word in seven (cc by nc 4 0, cc by sa 4 0): a lower threshold would take one for the other.
 THRESHOLD = 0.9
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 TEMPLATES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
+    ("licensed under the apache license 2 0", "apache-2"),
     ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
