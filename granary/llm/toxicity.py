@@ -14,8 +14,8 @@ most between the classes.
 Results for odd input: a label row with a null label or id is not learnt from; a
 null or empty text has no words and gets the models' base probability; with no
 labels, or labels all alike, the probability is the share seen (0 without any);
-an empty table gives no rows; rows that share an id are scored each for itself.
-Other columns are not read.
+an empty table gives no rows; rows that share an id are scored each for itself
+(the least of their texts is learnt from).  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -134,10 +134,12 @@ def chain(words: list[np.ndarray], labels: np.ndarray, most_words: int = WORDS)
 def train(df: DataFrame, labels: DataFrame, categories: Sequence, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE):
     """labels: id_col and what `categories` (columns of 0 and 1, in the order of the chain) are made from."""
     y = F.array(*[c.cast("int") for c in categories])
-    known = labels.select(named(id_col).cast("long").alias("of"), y.alias("y")).where("of IS NOT NULL").where(~F.exists("y", lambda v: v.isNull()))
+    known = labels.select(named(id_col).cast("long").alias("of"), y.alias("y")).where("of IS NOT NULL").where(~F.exists("y", lambda v: v.isNull())).distinct()
     drawn = known.withColumn("draw", F.xxhash64("of", "y")).orderBy("draw", "of").limit(sample)
     # At most `sample` rows: small enough to broadcast whatever the tables hold.
-    rows = keyed(df, id_col, text_col).join(F.broadcast(drawn), F.col("id") == F.col("of")).select("draw", "y", "text").mapInArrow(_training_words, "draw long, y array<int>, words binary")
+    rows = keyed(df, id_col, text_col).join(F.broadcast(drawn), F.col("id") == F.col("of"))
+    # One text per label row, however many rows share its id.
+    rows = rows.groupBy("draw", "of", "y").agg(F.min("text").alias("text")).select("draw", "y", "text").mapInArrow(_training_words, "draw long, y array<int>, words binary")
     rows = sorted(rows.collect(), key=lambda r: (r["draw"], r["words"]))
     return chain([np.frombuffer(r["words"], dtype=np.uint64) for r in rows], np.array([r["y"] for r in rows], dtype=np.int64).reshape(len(rows), len(categories)))
 
