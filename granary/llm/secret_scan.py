@@ -1,8 +1,8 @@
 """Secret scans with structural confirmation.
 
 Patterns propose, structure decides: a base64 or hex run is reported as a key
-only if it decodes to a key encoding whose nested lengths add up, and a signed
-token only if its header decodes to JSON that names an algorithm.  Runs that are
+only if it decodes to the encoding of a private key whose nested lengths add up
+(public keys and certificates are no secrets), and a signed token only if its header decodes to JSON that names an algorithm.  Runs that are
 wrapped (by newlines or escaped ones) are joined first, and keys that begin
 inside a run are found by their own lengths; the first line of a wrapped key
 without armour has 40 characters at least.  Armour may hold headers; a body that
@@ -88,8 +88,34 @@ def nested(data: bytes, at: int, end: int, depth: int = 0) -> bool:
     return True
 
 
+def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]]:
+    out = []
+    while at < end and (found := _element(data, at, end)):
+        out.append(found)
+        at = found[2]
+    return out
+
+
+def is_private(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """Whether the elements of a DER sequence are a private key's: public keys and certificates hold no secret.
+
+    A version (0 to 3), then: the numbers of an RSA or DSA key; an algorithm and the key in octets (PKCS 8); or the key in
+    octets (SEC 1).  Without a version, an algorithm and octets: an encrypted key.
+    """
+    tags = [tag for tag, _, _ in parts]
+    is_algorithm = lambda x: x[0] == 0x30 and x[2] > x[1] and data[x[1]] == 0x06
+    if tags[:1] == [0x02] and parts[0][2] - parts[0][1] == 1 and data[parts[0][1]] <= 3:
+        rest = parts[1:]
+        if len(rest) >= 5 and all(tag == 0x02 for tag in tags[1:6]):
+            return True
+        if len(rest) >= 2 and is_algorithm(rest[0]) and rest[1][0] == 0x04:
+            return True
+        return bool(rest) and rest[0][0] == 0x04 and rest[0][2] - rest[0][1] >= 16
+    return len(parts) == 2 and is_algorithm(parts[0]) and tags[1] == 0x04
+
+
 def is_key(data: bytes | None) -> str:
-    """'der' or 'openssh' if the bytes are a key in that encoding, else ''."""
+    """'der' or 'openssh' if the bytes are a private key in that encoding, else ''."""
     if not data or len(data) < 24:
         return ""
     if data.startswith(OPENSSH):
@@ -102,8 +128,7 @@ def is_key(data: bytes | None) -> str:
     outer = _element(data, 0, len(data))
     if not outer or outer[0] != 0x30 or outer[2] != len(data) or not nested(data, outer[1], outer[2]):
         return ""
-    first = _element(data, outer[1], outer[2])
-    return "der" if first and first[0] in (0x02, 0x30) and first[2] < outer[2] else ""
+    return "der" if is_private(data, _elements(data, outer[1], outer[2])) else ""
 
 
 def _length(data: bytes) -> int:
