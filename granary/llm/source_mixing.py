@@ -6,9 +6,10 @@ source, and each document is emitted floor(rate) times plus once more with a
 probability equal to the fraction.  That last choice hashes the seed and the
 id: reruns and retries agree.
 
-The targets follow from sums over the sources ordered by cap / weight: with the
-caps of all earlier sources spent, level = what is left / weights that are
-left; the first source whose cap / weight reaches the level ends the filling.
+The targets follow from sums over the sources: each round the sources whose cap
+is below the level of the rest are filled up, and the level is what is left /
+weights that are left, until no further source is over.  Sources are never in
+one task: their order (for the weights) is found by ranges, and rounds only sum.
 
 Results for odd input: a null text has size 0; null is a source of its own,
 last; sources without words have target 0 and rate 0; a null id draws by
@@ -38,29 +39,36 @@ def draw(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key)), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def ranked(by_source: DataFrame) -> DataFrame:
+    """by_source with the rank of each source, by code point with null last, from 0: ranks within ranges, after the rows of earlier ranges."""
+    order = F.col("source").asc_nulls_last()
+    parts = durable(by_source.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = parts.groupBy("part").agg(F.count("*").alias("n")).select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("first")
+    return parts.join(F.broadcast(offsets), F.col("part") == F.col("of")).select(*by_source.columns, rank.alias("rank"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE) -> DataFrame:
-    """(source, source_size, weight, target) from (source, size) rows; one row per source is all that is ordered."""
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long")
-    fill = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    spent = F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
-    return (
-        by_source.withColumn("weight", weight)
-        .withColumn("cap", F.col("source_size") * max_rate)
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("level", (F.sum("source_size").over(every) - spent) / left)
-        .withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "level"))).over(every)["level"])
-        .select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
-    )
+    """(source, source_size, weight, target) from (source, size) rows."""
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
+    plan = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_rate)
+    plan = durable(plan.withColumn("ratio", F.col("cap") / F.col("weight")))
+    total, left = plan.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, over = float(total) / float(left) if left else 0.0, 0
+    while True:
+        full = F.col("ratio") < level
+        spent, left, now = plan.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight"))), F.count_if(full)).first()
+        if now == over:
+            break
+        over, level = now, float(total - spent) / float(left) if left else float("inf")
+    return plan.select("source", "source_size", "weight", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_rate: int = MAX_RATE, seed: str = SEED) -> DataFrame:
     """The rows of df as struct `row`, with size, source_size, target, copies and taken (size * copies)."""
     source = named(source_col).cast("string")
-    plan = durable(targets(df.select(source.alias("source"), words(named(text_col)).alias("size")), weights, max_rate))
+    plan = targets(df.select(source.alias("source"), words(named(text_col)).alias("size")), weights, max_rate)
     small = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     plan = plan.select(F.col("source").alias("of"), "source_size", "target")
     rows = df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), source.alias("source"), words(named(text_col)).alias("size"), F.coalesce(named(id_col).cast("string"), F.concat(F.lit("text:"), named(text_col)), F.lit("")).alias("key"))
