@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ancestors
 from ..functions.versions import resolved
+from .storage import stored as stored  # also under this name
 
 MAX_DEPTH = 64
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a table in the folder of spark.checkpoint.dir: cuts the lineage of loops, survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="granary-"))
-    path = f"{context.getCheckpointDir()}/granary-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def root_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """('.', node) for the nodes that no edge points to."""
     return nodes.join(edges.select(F.col("to").alias("node")), "node", "left_anti").select(F.lit(".").alias("from"), F.col("node").alias("to"))
