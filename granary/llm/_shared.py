@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.storage import stored as durable  # noqa: F401
 from ._bytes import LAST_ID
 
 #: `[^\x20\x09-\x0D]+` as a pattern of Java's.
@@ -34,21 +33,6 @@ def id_out(name: str, column: str = "id") -> Column:
     return F.when(F.col(column) != LAST_ID, F.col(column)).alias(name)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, written once as a table in the shared checkpoint folder: later plans read them, and losing an executor loses nothing.
-
-    The folder is the session's spark.checkpoint.dir; where that is unset (tests) a temporary one is set.  Like Spark's own
-    checkpoints the tables stay until the folder is cleared.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="granary-"))
-    path = f"{context.getCheckpointDir()}/granary-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Up to so many ids (8 bytes each) are broadcast to drop their rows; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 
