@@ -47,7 +47,7 @@ def main(args: list[str]) -> int:
         components = sbom_components(merged_dependencies(found.dependencies))
         print(stamp(cyclonedx(components, found.root_id), datetime.now(timezone.utc)) if a.format == "cyclonedx" else spdx(components, found.root_id))
     elif a.command == "tree":
-        parts = {"dependencies": found.dependencies.drop("walk_order"), "reasons": found.reasons, "licenses": found.licenses, "dependency_edges": found.edges.drop("walk_order"), "component_refs": found.references}
+        parts = {"dependencies": found.dependencies.drop("walk_order"), "reasons": found.reasons.drop("walk_order"), "licenses": found.licenses, "dependency_edges": found.edges.drop("walk_order"), "component_refs": found.references}
         print(tree(found.components, found.root_id, {k: v for k, v in parts.items() if k not in settings.omit}))
     else:
         parts = aggregate(spark, found, settings)

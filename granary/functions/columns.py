@@ -144,11 +144,14 @@ def pep503(name: Column) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """A regular expression for a whole path: ** crosses directories, * and ? do not."""
+    """A regular expression for a whole path: ** crosses directories, * and ? do not; a/** is also a itself."""
     out, i = [], 0
     while i < len(glob):
         c = glob[i]
-        if glob.startswith("**/", i):
+        if i and glob[i:] == "/**":
+            out.append("(?:/.*)?")
+            i += 3
+        elif glob.startswith("**/", i):
             out.append("(?:.*/)?")
             i += 3
         elif glob.startswith("**", i):

@@ -19,7 +19,7 @@ def merged_dependencies(deps: DataFrame, *keys: str) -> DataFrame:
         return F.min(F.when(F.coalesce(F.col(column), F.lit("")) != "", F.struct("walk_order", column)))[column]
 
     # Scopes outside the table share a rank; the earliest of them stays.
-    scope = F.max(F.struct(scope_priority(F.col("scope")).alias("p"), (-F.col("walk_order")).alias("w"), F.coalesce("scope", F.lit("")).alias("scope")))["scope"]
+    scope = F.min(F.struct((-scope_priority(F.col("scope"))).alias("p"), "walk_order", F.coalesce("scope", F.lit("")).alias("scope")))["scope"]
     return deps.groupBy(*keys, "type", "name", "version").agg(F.bool_or("direct").alias("direct"), scope.alias("scope"), first_text("source").alias("source"), first_text("license").alias("license"), F.count("*").alias("occurrences"))
 
 

@@ -118,18 +118,23 @@ def content_predicate(text: Column, kind: str, pattern: str = "", path: str = ""
     return build(text, path, value) if build else text.rlike(pattern)
 
 
-def match_content(files: DataFrame, rules: Sequence[dict]) -> DataFrame:
-    """(path, tech, rule_order): the first rule per file and technology whose content predicate holds.
+def content_hits(rules: Sequence[dict]) -> Column:
+    """The rules whose content predicate holds for a file (name, ext, text), as an array of (tech, rule_order).
 
     rules: dicts of tech, rule_order, kind, pattern, path, value and ext or file; text is read only where a rule asks for it.
     """
-    gate = F.col("ext").isin(*{r["ext"] for r in rules if r.get("ext")}) | F.col("name").isin(*{r["file"] for r in rules if r.get("file")})
     cases = []
     for r in sorted(rules, key=lambda r: r["rule_order"]):
         where = F.col("ext") == r["ext"] if r.get("ext") else F.col("name") == r["file"]
         hit = where & content_predicate(F.col("text"), r.get("kind", "regex"), r.get("pattern", ""), r.get("path", ""), r.get("value"))
         cases.append(F.when(hit, F.struct(F.lit(r["tech"]).alias("tech"), F.lit(r["rule_order"]).alias("rule_order"))))
-    rows = files.where(gate).select("path", F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("x"))
+    return F.filter(F.array(*cases), lambda x: x.isNotNull())
+
+
+def match_content(files: DataFrame, rules: Sequence[dict]) -> DataFrame:
+    """(path, tech, rule_order): the first rule per file and technology whose content predicate holds; rules as in content_hits."""
+    gate = F.col("ext").isin(*{r["ext"] for r in rules if r.get("ext")}) | F.col("name").isin(*{r["file"] for r in rules if r.get("file")})
+    rows = files.where(gate).select("path", F.explode(content_hits(rules)).alias("x"))
     return rows.groupBy("path", "x.tech").agg(F.min("x.rule_order").alias("rule_order"))
 
 
@@ -152,23 +157,27 @@ def flags(rows: DataFrame, categories: DataFrame) -> DataFrame:
     )
 
 
-def last_match(paths: DataFrame, patterns: Sequence[tuple[str, bool, bool]]) -> DataFrame:
-    """paths (path, is_dir) with `ignored`, by ordered patterns (glob, negated, directories only): the last match decides.
+def last_match(paths: DataFrame, patterns: Sequence[tuple], above: bool = True) -> DataFrame:
+    """paths (path, is_dir) with `ignored`, by ordered patterns (glob, negated, directories only[, base]): the last match decides.
 
-    A glob is tried on the path from the root and on the last name.  A path below an ignored directory is ignored.
+    A glob is tried on the path from the root and on the last name, of paths below its base (without one, of all).  A path
+    below an ignored directory is ignored; above=False leaves that out, where directories are settled before.
     """
     rel, base = F.regexp_replace("path", "^/", ""), F.regexp_replace("path", "^.*/", "")
 
     def verdict(p: Column, name: Column, is_dir: Column) -> Column:
         out = None
-        for glob, negated, only_dirs in reversed(list(patterns)):
+        for glob, negated, only_dirs, *below in reversed(list(patterns)):
             r = glob_regex(glob)
             hit = p.rlike(r) | name.rlike(r)
             hit = hit & is_dir if only_dirs else hit
+            hit = p.startswith(below[0] + "/") & hit if below and below[0] else hit
             out = F.when(hit, F.lit(not negated)) if out is None else out.when(hit, F.lit(not negated))
         return F.lit(False) if out is None else out.otherwise(F.lit(False))
 
-    parts = F.split(rel, "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    under = F.when(F.size(parts) < 2, F.lit(False)).otherwise(F.exists(above, lambda d: verdict(d, F.regexp_replace(d, "^.*/", ""), F.lit(True))))
-    return paths.withColumn("ignored", under | verdict(rel, base, F.col("is_dir")))
+    ignored = verdict(rel, base, F.col("is_dir"))
+    if above:
+        parts = F.split(rel, "/")
+        folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+        ignored = F.when(F.size(parts) < 2, F.lit(False)).otherwise(F.exists(folders, lambda d: verdict(d, F.regexp_replace(d, "^.*/", ""), F.lit(True)))) | ignored
+    return paths.withColumn("ignored", ignored)

@@ -86,10 +86,14 @@ def detect(files: DataFrame, root: str) -> DataFrame:
 
 def scan(spark: SparkSession, root: str, settings: config.Settings = config.Settings(), rules: rule_source.Rules | None = None) -> Scan:
     rules = rules or rule_source.Rules(only=settings.only_rules)
-    files = S.scan(spark, root, settings.exclude, settings.include)
-    read = S.code_lines(S.with_text(spark, root, files, settings.include))
+    read = S.read(spark, root, settings.exclude, settings.include)
+    later = F.col("path").rlike("|".join((manifests.ANY_MANIFEST, lockgraphs.ANY_LOCK, *(f"(?:{p})" for p, _, _ in DETECTORS)))) | F.col("name").rlike(licenses.NAMES) | F.col("name").rlike(r"\.nuspec$|^\.env\.example$")
+    hits = R.content_hits(rules.content) if rules.content else F.array().cast("array<struct<tech:string,rule_order:int>>")
+    # One pass over the contents: what is counted and matched stays, and the few texts that are parsed below.
+    read = G.stored(S.code_lines(read).withColumn("hits", hits).withColumn("text", F.when(later, F.col("text"))))
+    parsed = read.where("text IS NOT NULL")
     rid = root_id(root, settings)
-    own = G.stored(detect(read, rid))
+    own = G.stored(detect(parsed, rid))
     # The last detector's component of a directory owns the files below it.
     owners = own.groupBy("dir").agg(F.max(F.struct("walk_order", "component_id"))["component_id"].alias("owner"))
     main = spark.createDataFrame([(rid, "main", "", "/", "/", -1)], own.schema)
@@ -97,36 +101,38 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
     root_owner = owners.unionByName(spark.createDataFrame([("/", rid)], "dir string, owner string").join(owners.where("dir = '/'"), "dir", "left_anti"))
     owned = G.stored(G.nearest_ancestor(read.drop("text"), root_owner))
 
-    extracted = G.stored(manifests.extract(read))
-    place = owned.select(F.col("path").alias("o_path"), "owner", "walk_order")
+    extracted = G.stored(manifests.extract(parsed))
+    place = owned.select(F.col("path").alias("o_path"), "owner", F.col("walk_order").alias("o_walk"))
+    turn = lambda k: F.concat("o_walk", F.lit("\x01"), F.lpad(F.col(k).cast("string"), 10, "0"))
     deps = extracted.where("error IS NULL").join(place, F.col("path") == F.col("o_path")).select(
-        F.col("owner").alias("component_id"), "type", "name", "version", "scope", "direct", F.col("path").alias("source"), F.lit("").alias("license"), (F.col("walk_order") + F.col("ord")).alias("walk_order"))
-    edges = lockgraphs.extract_edges(read, settings.graph).join(place.withColumnRenamed("walk_order", "w"), F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "component_type", "from", "to", F.col("path").alias("source"), "scope", "walk_order")
+        F.col("owner").alias("component_id"), "type", "name", "version", "scope", "direct", F.col("path").alias("source"), F.lit("").alias("license"), turn("ord").alias("walk_order"))
+    edges = lockgraphs.extract_edges(parsed, settings.graph).join(place, F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "component_type", "from", "to", F.col("path").alias("source"), "scope", turn("walk_order").alias("walk_order"))
 
-    by_dep = R.match_dependencies(deps.select("component_id", "type", "name").distinct(), rules.exact_table(spark), rules.regexes).select("component_id", "tech", "reason")
-    base = read.select("path", "dir", "name", "ext", "text")
-    hits = [R.match_names(base, rules.names_table(spark), rules.globs, rules.directories)]
+    named = deps.groupBy("component_id", "type", "name").agg(F.min("walk_order").alias("walk_order"))
+    by_dep = R.match_dependencies(named, rules.exact_table(spark), rules.regexes).select("component_id", "tech", "reason", "walk_order")
+    base = owned.select("path", "dir", "name", "ext")
+    found = [R.match_names(base, rules.names_table(spark), rules.globs, rules.directories)]
     if rules.content:
-        hits.append(R.match_content(base, rules.content).select("path", "tech", F.lit("matched content").alias("reason")))
+        found.append(owned.select("path", F.explode("hits").alias("x")).select("path", "x.tech", F.lit("matched content").alias("reason")))
     if rules.variables:
-        lines = base.where("name = '.env.example'").select("path", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) NOT LIKE '#%' AND line LIKE '%=%'")
-        named = lines.select("path", F.trim(F.regexp_extract("line", "^([^=]*)=", 1)).alias("var"))
-        hits.append(R.match_variables(named, rules.variables).select("path", "tech", F.concat_ws(" ", F.lit("matched env:"), "var").alias("reason")))
+        lines = parsed.where("name = '.env.example'").select("path", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) NOT LIKE '#%' AND line LIKE '%=%'")
+        variables = lines.select("path", F.trim(F.regexp_extract("line", "^([^=]*)=", 1)).alias("var"))
+        found.append(R.match_variables(variables, rules.variables).select("path", "tech", F.concat_ws(" ", F.lit("matched env:"), "var").alias("reason")))
     if settings.extension_rules and rules.extensions:
-        hits.append(R.match_extensions(base, spark.createDataFrame(rules.extensions, "tech string, ext string")).select("path", "tech", F.lit("matched extension").alias("reason")))
-    by_file = hits[0]
-    for more in hits[1:]:
+        found.append(R.match_extensions(base, spark.createDataFrame(rules.extensions, "tech string, ext string")).select("path", "tech", F.lit("matched extension").alias("reason")))
+    by_file = found[0]
+    for more in found[1:]:
         by_file = by_file.unionByName(more)
-    by_file = by_file.join(place, F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "tech", "reason")
-    reasons = G.stored(by_dep.unionByName(by_file).distinct())
+    by_file = by_file.join(place, F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "tech", "reason", F.col("o_walk").alias("walk_order"))
+    reasons = G.stored(by_dep.unionByName(by_file).groupBy("component_id", "tech", "reason").agg(F.min("walk_order").alias("walk_order")))
 
     techs = reasons.groupBy("component_id").agg(F.array_sort(F.collect_set("tech")).alias("tech"))
     code = owned.groupBy(F.col("owner").alias("component_id")).agg(F.sum("code").alias("code"), F.count("*").alias("files"))
     full = components.join(techs, "component_id", "left").join(code, "component_id", "left").select(*components.columns, F.coalesce("tech", F.array().cast("array<string>")).alias("tech"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("files", F.lit(0)).alias("files"))
     full = G.stored(K.with_parents(full, rid))
-    settled = G.stored(G.propagate_versions(licenses.harvest(K.settled_dependencies(deps), licenses.from_package_json(read).unionByName(licenses.from_nuspec(read)))))
-    found = licenses.detect_files(read).join(place.select("o_path", "owner"), F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "path", "license", "detection_type", "confidence", "category")
-    return Scan(rid, owned.withColumnRenamed("owner", "component_id"), full, settled, edges, reasons, K.references(settled, full), found, extracted.where("error IS NOT NULL").select("path", "error"))
+    settled = G.stored(G.propagate_versions(licenses.harvest(K.settled_dependencies(deps), licenses.from_package_json(parsed).unionByName(licenses.from_nuspec(parsed)))))
+    licensed = licenses.detect_files(parsed).join(place.select("o_path", "owner"), F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "path", "license", "detection_type", "confidence", "category")
+    return Scan(rid, owned.drop("hits").withColumnRenamed("owner", "component_id"), full, settled, edges, reasons, K.references(settled, full), licensed, extracted.where("error IS NOT NULL").select("path", "error"))
 
 
 def aggregate(spark: SparkSession, s: Scan, settings: config.Settings = config.Settings(), ecosystems: Sequence[dict] = rule_source.ECOSYSTEMS) -> dict[str, DataFrame]:
@@ -137,7 +143,7 @@ def aggregate(spark: SparkSession, s: Scan, settings: config.Settings = config.S
     techs = A.distinct_values(s.components, "tech").withColumnRenamed("value", "tech")
     out = {
         "techs": techs,
-        "reasons": A.reasons_by_tech(s.reasons.withColumn("walk_order", F.xxhash64("component_id"))),
+        "reasons": A.reasons_by_tech(s.reasons),
         "languages": s.files.where("language IS NOT NULL").groupBy("language").agg(F.count("*").alias("files")),
         "licenses": s.licenses.select("license", "category").distinct(),
         "dependencies": A.merged_dependencies(s.dependencies).orderBy("type", "name", "version"),

@@ -218,3 +218,29 @@ def test_windowed_stream_and_cache_sink(spark, tmp_path):
     q = rows.writeStream.foreachBatch(incremental.cache_sink(str(tmp_path / "cache"))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "cache/epoch=0")).count() == src.selectExpr("event_type", "user_id % 5").distinct().count()
+
+
+def test_ignore_files_hold_below_their_directory(spark, tmp_path):
+    """Layers: a directory's patterns hold for what lies below it; .git/info/exclude before them; ignored directories are not entered."""
+    texts = {
+        ".gitignore": "*.log\nnode_modules/\nvendor/**\n!vendor/keep.go\n", "a/.gitignore": "*.txt\n!debug.log\n", ".git/info/exclude": "*.tmp\n!b/kept.log\n", ".git/config": "x",
+        "a/x.txt": "1", "a/debug.log": "1", "a/deep/y.txt": "1", "b/y.txt": "1", "r.txt": "1", "debug.log": "1", "b/kept.log": "1", "b/z.tmp": "1", "b/c/error.log": "1",
+        "node_modules/m/i.js": "1", "b/node_modules/j.js": "1", "b/node_modules/.bin/k": "1", "b/_p/__init__.py": "1", "vendor/keep.go": "1", "vendor/junk.go": "1", "x=1/a.py": "1",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    want = ["/.gitignore", "/r.txt", "/a/.gitignore", "/a/debug.log", "/b/y.txt", "/b/_p/__init__.py", "/x=1/a.py"]
+    kept = files.read(spark, str(tmp_path)).orderBy("walk_order").collect()
+    assert [r.path for r in kept] == want and all(r.text == texts[r.path[1:]] for r in kept)
+    assert sorted(r.path for r in files.scan(spark, str(tmp_path)).collect()) == sorted(want)
+    assert sorted(r.path for r in files.scan(spark, str(tmp_path), include=["b", "a/debug.log"]).collect()) == ["/a/debug.log", "/b/_p/__init__.py", "/b/y.txt"]
+    # A walk by the store's client gives the same as one by the driver's own disk.
+    local, store = files.walk(spark, str(tmp_path), exclude=()), None
+    before = files.os.path.isdir
+    try:
+        files.os.path.isdir = lambda _: False
+        store = files.walk(spark, str(tmp_path), exclude=())
+    finally:
+        files.os.path.isdir = before
+    assert sorted(store.roots) == sorted(local.roots) and sorted(store.hidden) == sorted(local.hidden) and store.patterns == local.patterns
