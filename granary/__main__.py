@@ -40,7 +40,10 @@ def main(args: list[str]) -> int:
     for problem in config.check(layers[0]):
         print(problem, file=sys.stderr)
     settings = config.layered(*layers)
-    spark = SparkSession.builder.appName("granary").getOrCreate()
+    # Where no cluster says otherwise: as many parts as this machine has cores.
+    spark = SparkSession.getActiveSession() or SparkSession.builder.appName("granary").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     rules = Rules(read_rules(a.rules_dir), settings.only_rules) if a.rules_dir else Rules(only=settings.only_rules)
     found = scan(spark, root, settings, rules)
     if a.command == "sbom":

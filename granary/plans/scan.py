@@ -90,7 +90,8 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
     later = F.col("path").rlike("|".join((manifests.ANY_MANIFEST, lockgraphs.ANY_LOCK, *(f"(?:{p})" for p, _, _ in DETECTORS)))) | F.col("name").rlike(licenses.NAMES) | F.col("name").rlike(r"\.nuspec$|^\.env\.example$")
     hits = R.content_hits(rules.content) if rules.content else F.array().cast("array<struct<tech:string,rule_order:int>>")
     # One pass over the contents: what is counted and matched stays, and the few texts that are parsed below.
-    read = G.stored(S.code_lines(read).withColumn("hits", hits).withColumn("text", F.when(later, F.col("text"))))
+    read = S.code_lines(read).withColumn("hits", hits).withColumn("text", F.when(later, F.col("text")))
+    read = G.stored(read.hint("rebalance"))  # as many parts as the rows need, not as the files did
     parsed = read.where("text IS NOT NULL")
     rid = root_id(root, settings)
     own = G.stored(detect(parsed, rid))

@@ -187,7 +187,9 @@ def _binary(spark: SparkSession, kept: Walk, *columns: str) -> DataFrame:
     out = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(kept.roots).select(*columns) if kept.roots else None
     if "content" in columns:
         size = dict(kept.hidden)
-        more = [stored(spark.createDataFrame([(uri, size[uri], raw) for uri, raw in _read_hidden(spark, uris)], "path string, length long, content binary")) for uris in _parts(kept.hidden)]
+        parts = _parts(kept.hidden)
+        more = [spark.createDataFrame([(uri, size[uri], raw) for uri, raw in _read_hidden(spark, uris)], "path string, length long, content binary") for uris in parts[:1]]
+        more += [stored(spark.createDataFrame([(uri, size[uri], raw) for uri, raw in _read_hidden(spark, uris)], "path string, length long, content binary")) for uris in parts[1:]]
     else:
         more = [spark.createDataFrame(kept.hidden, "path string, length long")] if kept.hidden else []
     for rows in more:
