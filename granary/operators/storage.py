@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
@@ -23,3 +25,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{context.getCheckpointDir()}/granary-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Jobs of one plan that run side by side.
+PARALLEL_JOBS = 8
+
+
+def side_by_side(*jobs: Callable[[], object]) -> Sequence:
+    """The results of jobs that do not need each other; small ones leave most of a cluster (or a machine) idle on their own."""
+    with ThreadPoolExecutor(min(PARALLEL_JOBS, max(1, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]

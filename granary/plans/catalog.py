@@ -13,6 +13,7 @@ from ..functions import versions as V
 from ..operators import aggregates as A
 from ..operators import graphs as G
 from ..operators import rules as R
+from . import formats as formats  # registers its queries
 from . import more as more  # registers its queries
 from . import relations as T
 from .registry import QUERIES, SQL, query

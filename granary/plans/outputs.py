@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.versions import bucket, package_system, resolved
+from ..operators.storage import side_by_side
 from ..operators.graphs import upsert_cache, valid_cache
 
 
@@ -49,30 +50,36 @@ def saved_components(spark, path: str) -> DataFrame:
 def full_json(root: str, parts: Mapping[str, DataFrame], omit: Sequence[str] = ()) -> str:
     """One document of a system: its rollups as arrays of objects, null technologies as empty ones."""
     out: dict = {"id": root}
-    for name, df in parts.items():
-        if name not in omit:
-            rows = [r.asDict(recursive=True) for r in df.collect()]
-            out[name] = [{k: ([] if v is None and k in ("tech", "techs") else v) for k, v in r.items()} for r in rows]
+    kept = [name for name in parts if name not in omit]
+    for name, found in zip(kept, side_by_side(*(parts[name].collect for name in kept)), strict=True):
+        rows = [r.asDict(recursive=True) for r in found]
+        out[name] = [{k: ([] if v is None and k in ("tech", "techs") else v) for k, v in r.items()} for r in rows]
     return json.dumps(out, ensure_ascii=False, default=str)
 
 
 def summary(parts: Mapping[str, DataFrame], top: int = 15) -> str:
     """The largest languages, the primary technologies, ecosystems and components as text."""
-    lines = []
+    wanted = {}
     if "code_stats" in parts:
-        total = parts["code_stats"].where("level = 'all' AND language = ''").first()
-        if total:
-            lines.append(f"Files {total['files']:,}  lines {total['lines']:,}  code {total['code']:,}  comments {total['comments']:,}")
-        lines.append("Languages")
-        lines += [f"  {r['language']:<20} {r['lines']:>12,}" for r in parts["code_stats"].where("level = 'all' AND language <> ''").orderBy(F.desc("lines"), "language").limit(top).collect()]
+        every = parts["code_stats"].where("level = 'all'")
+        wanted["total"] = every.where("language = ''").collect
+        wanted["languages"] = every.where("language <> ''").orderBy(F.desc("lines"), "language").limit(top).collect
     if "primary_techs" in parts:
-        primary = sorted(r["tech"] for r in parts["primary_techs"].collect())
-        lines.append("Primary  " + ", ".join(primary))
+        wanted["primary"] = parts["primary_techs"].collect
         if "techs" in parts:
-            also = parts["techs"].join(parts["primary_techs"], "tech", "left_anti").orderBy("tech").limit(top).collect()
-            lines.append("Also     " + ", ".join(r["tech"] for r in also))
+            wanted["also"] = parts["techs"].join(parts["primary_techs"], "tech", "left_anti").orderBy("tech").limit(top).collect
     if "ecosystems" in parts:
-        lines.append("Ecosystems  " + ", ".join(f"{r['ecosystem']} ({r['components']})" for r in parts["ecosystems"].limit(top).collect()))
+        wanted["ecosystems"] = parts["ecosystems"].limit(top).collect
+    found = dict(zip(wanted, side_by_side(*wanted.values()), strict=True))
+    lines = [f"Files {r['files']:,}  lines {r['lines']:,}  code {r['code']:,}  comments {r['comments']:,}" for r in found.get("total", ())]
+    if "languages" in found:
+        lines += ["Languages", *(f"  {r['language']:<20} {r['lines']:>12,}" for r in found["languages"])]
+    if "primary" in found:
+        lines.append("Primary  " + ", ".join(sorted(r["tech"] for r in found["primary"])))
+    if "also" in found:
+        lines.append("Also     " + ", ".join(r["tech"] for r in found["also"]))
+    if "ecosystems" in found:
+        lines.append("Ecosystems  " + ", ".join(f"{r['ecosystem']} ({r['components']})" for r in found["ecosystems"]))
     return "\n".join(lines)
 
 

@@ -14,6 +14,7 @@ from ..operators import aggregates as A
 from ..operators import components as K
 from ..operators import graphs as G
 from ..operators import rules as R
+from ..operators.storage import side_by_side
 from ..sources import config, licenses, lockgraphs, manifests
 from ..sources import files as S
 from ..sources import rules as rule_source
@@ -94,7 +95,7 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
     read = G.stored(read.hint("rebalance"))  # as many parts as the rows need, not as the files did
     parsed = read.where("text IS NOT NULL")
     rid = root_id(root, settings)
-    own = G.stored(detect(parsed, rid))
+    own, extracted = side_by_side(lambda: G.stored(detect(parsed, rid)), lambda: G.stored(manifests.extract(parsed)))
     # The last detector's component of a directory owns the files below it.
     owners = own.groupBy("dir").agg(F.max(F.struct("walk_order", "component_id"))["component_id"].alias("owner"))
     main = spark.createDataFrame([(rid, "main", "", "/", "/", -1)], own.schema)
@@ -102,7 +103,6 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
     root_owner = owners.unionByName(spark.createDataFrame([("/", rid)], "dir string, owner string").join(owners.where("dir = '/'"), "dir", "left_anti"))
     owned = G.stored(G.nearest_ancestor(read.drop("text"), root_owner))
 
-    extracted = G.stored(manifests.extract(parsed))
     place = owned.select(F.col("path").alias("o_path"), "owner", F.col("walk_order").alias("o_walk"))
     turn = lambda k: F.concat("o_walk", F.lit("\x01"), F.lpad(F.col(k).cast("string"), 10, "0"))
     deps = extracted.where("error IS NULL").join(place, F.col("path") == F.col("o_path")).select(
@@ -125,13 +125,14 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
     for more in found[1:]:
         by_file = by_file.unionByName(more)
     by_file = by_file.join(place, F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "tech", "reason", F.col("o_walk").alias("walk_order"))
-    reasons = G.stored(by_dep.unionByName(by_file).groupBy("component_id", "tech", "reason").agg(F.min("walk_order").alias("walk_order")))
+    reasons = by_dep.unionByName(by_file).groupBy("component_id", "tech", "reason").agg(F.min("walk_order").alias("walk_order"))
+    settled = G.propagate_versions(licenses.harvest(K.settled_dependencies(deps), licenses.from_package_json(parsed).unionByName(licenses.from_nuspec(parsed))))
+    reasons, settled = side_by_side(lambda: G.stored(reasons), lambda: G.stored(settled))
 
     techs = reasons.groupBy("component_id").agg(F.array_sort(F.collect_set("tech")).alias("tech"))
     code = owned.groupBy(F.col("owner").alias("component_id")).agg(F.sum("code").alias("code"), F.count("*").alias("files"))
     full = components.join(techs, "component_id", "left").join(code, "component_id", "left").select(*components.columns, F.coalesce("tech", F.array().cast("array<string>")).alias("tech"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("files", F.lit(0)).alias("files"))
     full = G.stored(K.with_parents(full, rid))
-    settled = G.stored(G.propagate_versions(licenses.harvest(K.settled_dependencies(deps), licenses.from_package_json(parsed).unionByName(licenses.from_nuspec(parsed)))))
     licensed = licenses.detect_files(parsed).join(place.select("o_path", "owner"), F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "path", "license", "detection_type", "confidence", "category")
     return Scan(rid, owned.drop("hits").withColumnRenamed("owner", "component_id"), full, settled, edges, reasons, K.references(settled, full), licensed, extracted.where("error IS NOT NULL").select("path", "error"))
 
