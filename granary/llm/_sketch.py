@@ -4,8 +4,10 @@ Each task counts its keys into cells and ships the cells it touched, delta-coded
 and compressed; the cells of a block meet in one task, which folds them one
 after another.  What returns is one bit per cell: "two or more".  A key whose
 true count is two or more always reads as repeated; a key that occurs once may
-read so by collision.  The merged bits have a size fixed by `width`, which is
-bounded by MOST_BITS whatever the input, so they may be broadcast.
+read so by collision.  The merged bits have a size bounded by MOST_BITS whatever
+the input, so they may be broadcast.  Where a corpus has more keys than such a
+sketch tells apart (`crowded`), the keys that pass it are counted exactly by a
+shuffle of keys and places, and texts learn which of their places count.
 """
 
 from __future__ import annotations
@@ -34,6 +36,31 @@ def bits_for(keys: float) -> int:
     return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1.0, keys) * 8))))
 
 
+#: Cells a key below which a sketch lets too much pass.
+LEAST_CELLS = 4
+
+
+def crowded(keys: float) -> bool:
+    """Whether about so many keys fill the largest sketch."""
+    return keys * LEAST_CELLS > 1 << MOST_BITS
+
+
+def with_places(docs: DataFrame, places: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs (id, text, t) with `use`: the numbers k of their places whose key is in the single column of keys.
+
+    places: (a, id, t, k).  A key in very many places is one row of keys, and both sides are dealt by the join itself.
+    """
+    hits = places.join(keys.toDF("key"), F.col("a") == F.col("key")).groupBy("id", "t").agg(F.collect_set("k").alias("use"))
+    return docs.alias("d").join(hits.alias("h"), F.expr("d.id = h.id and d.t = h.t"), "left").select("d.id", "d.text", "d.t", "h.use")
+
+
+def usable(batch: pa.RecordBatch, a: int, b: int, of: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Which places (k of document a + of) are among those that rows [a, b) of a batch from with_places name."""
+    lists = batch.column(3).slice(a, b - a)
+    named = np.repeat(np.arange(b - a), lists.value_lengths().fill_null(0).to_numpy()) << 32 | lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.isin(of << 32 | k, named)
+
+
 def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(keys ^ np.uint64((row + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))) >> np.uint64(64 - bits)).astype(np.int64)
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 from . import _sketch as S
-from ._shared import documents, id_out, keyed
+from ._shared import documents, durable, id_out, keyed
 
 WINDOW = 50
 ANCHOR = 16
@@ -69,26 +69,49 @@ def _anchor_keys(window: int, anchor: int):
     return keys_of
 
 
-def _segments(sketch, window: int, anchor: int):
-    """(a, s1, s2, id, t, at, n) of each segment of n windows over one anchor whose count is estimated at two or more."""
+def _starts(doc: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the segments, the windows over one anchor that follow each other: first window, document, and number in the document."""
+    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (np.diff(at) != 1)])
+    of = doc[at[first]]
+    return first, of, np.arange(len(of)) - np.searchsorted(of, of)
+
+
+def _places(sketch, window: int, anchor: int):
+    """(a, id, t, k): anchors whose count is estimated at two or more, and the segments they stand in."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = sketch.value
         for batch in batches:
             ids, tags = B.ids(batch), batch.column(2).to_numpy(zero_copy_only=False)
             for a, _, data, offsets in B.slices(batch):
+                _, doc, at, grams, place = _anchored(data, offsets, window, anchor)
+                if not len(at):
+                    continue
+                first, of, k = _starts(doc, at, place)
+                keep = sketch.value(grams[first])
+                of = of[keep]
+                yield pa.RecordBatch.from_arrays([B.longs(grams[first[keep]]), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array(k[keep].astype(np.int32))], ["a", "id", "t", "k"])
+
+    return task
+
+
+def _segments(sketch, window: int, anchor: int):
+    """(a, s1, s2, id, t, at, n) of each segment of n windows over one anchor that passes the sketch, or that the rows name."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tags = B.ids(batch), batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in B.slices(batch):
                 hashes, doc, at, grams, place = _anchored(data, offsets, window, anchor)
                 if not len(at):
                     continue
-                first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (np.diff(at) != 1)])
+                first, of, k = _starts(doc, at, place)
                 last = np.r_[first[1:], len(at)] - 1
-                keep = seen(grams[first])
-                first, last = first[keep], last[keep]
+                keep = sketch.value(grams[first]) if sketch else S.usable(batch, a, b, of, k)
+                first, last, of = first[keep], last[keep], of[keep]
                 if not len(first):
                     continue
                 # A segment has fewer than two windows' words: its first and last window hold them all.
                 start = at[first]
-                of = doc[start]
                 n = (last - first + 1).astype(np.uint64)
                 s1, s2 = (B.joined(w[at[first]], w[at[last]] + n, seed) for seed, w in enumerate(_windows_hash(hashes, window)))
                 yield pa.RecordBatch.from_arrays(
@@ -100,15 +123,21 @@ def _segments(sketch, window: int, anchor: int):
 
 
 def _windows(marked, window: int, anchor: int):
-    """(h1, h2, id, t, at) of every window over a marked anchor."""
+    """(h1, h2, id, t, at) of every window over a marked anchor, or in a segment that the rows name."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        differ = marked.value
         for batch in batches:
             ids, tags = B.ids(batch), batch.column(2).to_numpy(zero_copy_only=False)
-            for a, _, data, offsets in B.slices(batch):
-                hashes, doc, at, grams, _ = _anchored(data, offsets, window, anchor)
-                at = at[differ(grams)]
+            for a, b, data, offsets in B.slices(batch):
+                hashes, doc, at, grams, place = _anchored(data, offsets, window, anchor)
+                if not len(at):
+                    continue
+                if marked:
+                    keep = marked.value(grams)
+                else:
+                    first, of, k = _starts(doc, at, place)
+                    keep = np.repeat(S.usable(batch, a, b, of, k), np.diff(np.r_[first, len(at)]))
+                at = at[keep]
                 if not len(at):
                     continue
                 of = doc[at]
@@ -177,10 +206,17 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     share = spark.sparkContext.broadcast
     seen = share(S.repeated(docs, _anchor_keys(window, anchor), expected))
     tagged = docs.withColumn("t", F.hash("text"))
-    segments = tagged.mapInArrow(B.lean(_segments(seen, window, anchor)), "a long, s1 long, s2 int, id long, t int, at int, n int")
+    named = worth = tagged
+    if S.crowded(expected):
+        places = durable(tagged.mapInArrow(B.lean(_places(seen, window, anchor)), "a long, id long, t int, k int"))
+        named, seen = S.with_places(tagged, places, places.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")), None
+    segments = named.mapInArrow(B.lean(_segments(seen, window, anchor)), "a long, s1 long, s2 int, id long, t int, at int, n int")
     differ = segments.groupBy("a").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.min("s2").alias("lo2"), F.max("s2").alias("hi2")).where("lo < hi or lo2 < hi2")
-    marked = share(S.members(differ, "a", expected / 4))
-    rows = tagged.mapInArrow(B.lean(_windows(marked, window, anchor)), "h1 long, h2 int, id long, t int, at int")
+    if seen:
+        marked = share(S.members(differ, "a", expected / 4))
+    else:
+        worth, marked = S.with_places(tagged, places, differ.select("a")), None
+    rows = worth.mapInArrow(B.lean(_windows(marked, window, anchor)), "h1 long, h2 int, id long, t int, at int")
     later = _later(segments, "s1", ["s2"]).select("id", "t", "at", "n").unionByName(_later(rows, "h1", ["h2"]).select("id", "t", "at", F.lit(1).alias("n")))
     again = later.groupBy("id", "t").agg(F.collect_set(F.struct("at", "n")).alias("at"))
     joined = tagged.alias("d").join(again.alias("a"), F.expr("d.id = a.id and d.t = a.t"), "left").select("d.id", "d.text", "a.at")

@@ -3,7 +3,8 @@
 Two equal strings of LENGTH bytes have the same least-hashed run of ANCHOR
 bytes at the same place, so strings are dealt to shards by that anchor:
 consecutive strings over one anchor travel as one segment of bytes, and only
-anchors that a merged count-min sketch estimates to occur twice travel at all.
+anchors that a merged count-min sketch estimates to occur twice travel at all (beyond what
+a sketch tells apart, anchors that a count of keys and places finds twice).
 
 Segments are ordered by (anchor, content, document) over range partitions and
 cut into shards of SHARD_BYTES, so a frequent anchor spreads over many shards.
@@ -121,27 +122,51 @@ def _anchor_keys(length: int, anchor: int):
     return keys_of
 
 
+def _starts(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the segments, the strings over one anchor that follow each other: first string, document, and number in the document."""
+    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (np.diff(at) != 1)])
+    of = np.searchsorted(offsets, at[first], side="right") - 1
+    return first, of, np.arange(len(of)) - np.searchsorted(of, of)
+
+
+def _places(sketch, length: int, anchor: int):
+    """(a, id, t, k): anchors whose count is estimated at two or more, and the segments they stand in."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tags = B.ids(batch), batch.column(2).to_numpy(zero_copy_only=False)
+            for a, _, data, offsets in B.slices(batch, most=SLICE):
+                at, place, grams, _ = _anchored(data, offsets, length, anchor)
+                if not len(at):
+                    continue
+                first, of, k = _starts(data, offsets, at, place)
+                key = grams[place[first]]
+                keep = sketch.value(key)
+                of = of[keep]
+                yield pa.RecordBatch.from_arrays([B.longs(key[keep]), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array(k[keep].astype(np.int32))], ["a", "id", "t", "k"])
+
+    return task
+
+
 _SEGMENT = "a long, s long, id long, t int, at long, n int, seg binary"
 
 
 def _segments(sketch, length: int, anchor: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = sketch.value
         for batch in batches:
             ids, tags = B.ids(batch), batch.column(2).to_numpy(zero_copy_only=False)
-            for a, _, data, offsets in B.slices(batch, most=SLICE):
+            for a, b, data, offsets in B.slices(batch, most=SLICE):
                 at, place, grams, whole = _anchored(data, offsets, length, anchor)
                 if not len(at):
                     continue
-                first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (np.diff(at) != 1)])
+                first, of, k = _starts(data, offsets, at, place)
                 last = np.r_[first[1:], len(at)] - 1
                 key = grams[place[first]]
-                keep = seen(key)
-                first, last, key = first[keep], last[keep], key[keep]
+                keep = sketch.value(key) if sketch else S.usable(batch, a, b, of, k)
+                first, last, key, of = first[keep], last[keep], key[keep], of[keep]
                 if not len(first):
                     continue
                 start, end = at[first], at[last] + length
-                of = np.searchsorted(offsets, start, side="right") - 1
                 # A segment is shorter than two strings: its first and last string hold all its bytes.
                 n = (last - first + 1).astype(np.uint64)
                 s = B.joined(whole[at[first]], whole[at[last]] + n)
@@ -293,7 +318,11 @@ def remove_repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str
     expected = S.text_bytes(docs, "text") / ((length - anchor + 2) / 2)
     seen = spark.sparkContext.broadcast(S.repeated(docs, _anchor_keys(length, anchor), expected))
     tagged = docs.withColumn("t", F.hash("text"))
-    segments = tagged.mapInArrow(B.lean(_segments(seen, length, anchor)), _SEGMENT)
+    named = tagged
+    if S.crowded(expected):
+        places = durable(tagged.mapInArrow(B.lean(_places(seen, length, anchor)), "a long, id long, t int, k int"))
+        named, seen = S.with_places(tagged, places, places.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")), None
+    segments = named.mapInArrow(B.lean(_segments(seen, length, anchor)), _SEGMENT)
     in_order = segments.repartitionByRange("a", "s", "id", "t", "at").sortWithinPartitions("a", "s", "id", "t", "at")
     marks = durable(in_order.mapInArrow(B.lean(_shards(length)), _MARKS))
     edges = marks.where("open").select("h1", "h2", "id", "t", "at")

@@ -282,3 +282,21 @@ def test_classes_of_the_probe(frame):
                 least[y] = x
     want = {i: find(i) for i in range(len(rows))}
     assert dict(tuple(r) for r in minhash_dedup.near_duplicates(frame(rows)).collect()) == want
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_more_keys_than_the_sketch_tells_apart(frame, corpus, odd, full, monkeypatch):
+    """A sketch that counts as full and lets every key pass: keys and places are counted instead, with the same results."""
+    from granary.llm import _sketch
+
+    if full:
+        monkeypatch.setattr(_sketch, "MOST_BITS", 18)
+        monkeypatch.setattr(_sketch, "LEAST_BITS", 18)
+        monkeypatch.setattr(_sketch, "LEAST_CELLS", 1 << 18)
+        monkeypatch.setattr(_sketch.Repeated, "__call__", lambda self, keys: np.ones(len(keys), dtype=bool))
+    assert _sketch.crowded(1000) == full
+    got = [tuple(r) for r in substring_dedup.remove_repeated_windows(frame(corpus)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+    assert sorted(got) == sorted(brute.windows_removed(corpus, 50))
+    got = [tuple(r) for r in suffix_dedup.remove_repeated_strings(frame(corpus)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(got) == sorted(brute.strings_removed(corpus, 100))
+    assert substring_dedup.remove_repeated_windows(frame(odd)).count() == suffix_dedup.remove_repeated_strings(frame(odd)).count() == len(odd)
