@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from datetime import datetime, timezone
 
@@ -35,6 +36,9 @@ def main(args: list[str]) -> int:
         print(info.show(rows, a.format if a.format in ("json", "yaml") else "text"))
         return 0
     root, include = (a.path[0], []) if len(a.path) == 1 else config.common_parent(a.path)
+    if os.path.isfile(root):  # a single file is scanned in its directory
+        root, name = os.path.split(os.path.abspath(root))
+        include = [name]
     options = {"exclude": a.exclude, "include": include, "aggregate": a.aggregate, "only_rules": a.rules, "omit": a.omit, "graph": a.graph}
     layers = [config.read(a.config) if a.config else {}, config.from_environment(), {k: v for k, v in options.items() if v}]
     for problem in config.check(layers[0]):
@@ -48,7 +52,7 @@ def main(args: list[str]) -> int:
     found = scan(spark, root, settings, rules)
     if a.command == "sbom":
         components = sbom_components(merged_dependencies(found.dependencies))
-        print(stamp(cyclonedx(components, found.root_id), datetime.now(timezone.utc)) if a.format == "cyclonedx" else spdx(components, found.root_id))
+        print(stamp(cyclonedx(components, found.root_id, settings.properties), datetime.now(timezone.utc)) if a.format == "cyclonedx" else spdx(components, found.root_id))
     elif a.command == "tree":
         parts = {"dependencies": found.dependencies.drop("walk_order"), "reasons": found.reasons.drop("walk_order"), "licenses": found.licenses, "dependency_edges": found.edges.drop("walk_order"), "component_refs": found.references}
         print(tree(found.components, found.root_id, {k: v for k, v in parts.items() if k not in settings.omit}))

@@ -72,6 +72,14 @@ def normalize(name: Column) -> Column:
     return F.coalesce(_map(KNOWN)[F.lower(plain)], plain)
 
 
+def toml_license(value: Column) -> Column:
+    """The SPDX id of a license as TOML writes it: a quoted text, or a table with a text; other values as they are."""
+    plain = F.trim(value)
+    table = F.regexp_extract(plain, r"\{.*?\btext\s*=\s*(?:\"([^\"]*)\"|'([^']*)').*\}", 1)
+    single = F.regexp_extract(plain, r"\{.*?\btext\s*=\s*'([^']*)'.*\}", 1)
+    return normalize(F.coalesce(F.nullif(table, F.lit("")), F.nullif(single, F.lit("")), plain))
+
+
 def category(spdx: Column) -> Column:
     return F.coalesce(_map(CATEGORY_OF)[F.lower(F.trim(spdx))], F.lit("unknown"))
 

@@ -154,3 +154,12 @@ def lookup(key: Column, table: dict[str, str], default: Column | None = None) ->
 
 def package_system(ecosystem: Column) -> Column:
     return lookup(F.lower(ecosystem), PACKAGE_SYSTEMS)
+
+
+# The Visual Studio of each platform toolset.
+TOOLSETS = {"v100": "VS2010", "v110": "VS2012", "v120": "VS2013", "v140": "VS2015", "v141": "VS2017", "v142": "VS2019", "v143": "VS2022"}
+
+
+def toolset_version(toolset: Column) -> Column:
+    """The Visual Studio of an MSBuild platform toolset, or '' for one that is not known."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in TOOLSETS.items() for x in kv])[toolset], F.lit(""))

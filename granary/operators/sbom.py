@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Mapping
 from datetime import datetime
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +40,20 @@ def transitive_components(deps: DataFrame, edges: DataFrame) -> DataFrame:
     return found.join(known, "purl", "left_anti").groupBy("purl").agg(F.min(F.struct("type", "name", "version")).alias("x")).select("x.type", "x.name", "x.version", "purl")
 
 
-def cyclonedx(components: DataFrame, root: str = "") -> str:
+def user_properties(properties: Mapping[str, object]) -> list[dict[str, str]]:
+    """What users say of a system, as name and value in order of name; only plain values."""
+    plain = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in properties.items() if isinstance(v, str | int | float)}
+    return [{"name": k, "value": plain[k]} for k in sorted(plain)]
+
+
+def cyclonedx(components: DataFrame, root: str = "", properties: Mapping[str, object] = MappingProxyType({})) -> str:
     """A CycloneDX 1.7 document of component rows, ordered by package URL and name.  For one system at a time: it comes to the driver."""
     rows = components.orderBy("purl", "name", "version").collect()
     out: dict = {"$schema": "http://cyclonedx.org/schema/bom-1.7.schema.json", "bomFormat": "CycloneDX", "specVersion": "1.7", "version": 1}
     if root:
         out["metadata"] = {"component": {"type": "application", "name": root}}
+    if user_properties(properties):
+        out.setdefault("metadata", {})["properties"] = user_properties(properties)
     out["components"] = []
     for r in rows:
         one = {"type": "library", "name": r["name"], "version": r["version"], "purl": r["purl"], "scope": r["scope"]}

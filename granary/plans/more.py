@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import versions as V
+from ..functions.licenses import toml_license
+from ..functions.versions import toolset_version
 from ..operators import aggregates as A
 from ..operators import graphs as G
 from ..operators import listings as Z
@@ -143,3 +145,18 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.table(spark, sf_dir, "events")
     rows = e.select(F.col("event_type").alias("system"), F.col("user_id").cast("string").alias("name"), F.col("ts").alias("fetched_at"), "value")
     return G.upsert_cache(rows.limit(0), rows).select(F.col("name").cast("long").alias("user_id"), F.col("system").alias("event_type"), "value")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'MIT' WHEN 1 THEN 'Apache-2.0' WHEN 2 THEN 'GPL-3.0' WHEN 3 THEN 'BSD-2-Clause' ELSE 'Own-' || p_size END AS license FROM part""")
+def toml_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License values of project files in their forms: quoted either way, tables with a text, plain."""
+    forms = F.element_at(F.array(F.lit('"MIT License"'), F.lit("'apache 2.0'"), F.lit('{ text = "gpl v3" }'), F.lit("{text='BSD 2 Clause', x = 1}"), F.concat(F.lit(" Own-"), "p_size")), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return T.table(spark, sf_dir, "part").select("p_partkey", toml_license(forms).alias("license"))
+
+
+@query("""SELECT toolset, count(*) AS n, any_value(CASE toolset WHEN 'v100' THEN 'VS2010' WHEN 'v110' THEN 'VS2012' WHEN 'v120' THEN 'VS2013' WHEN 'v140' THEN 'VS2015' WHEN 'v141' THEN 'VS2017' WHEN 'v142' THEN 'VS2019' WHEN 'v143' THEN 'VS2022' ELSE '' END) AS studio
+FROM (SELECT 'v' || (100 + CASE WHEN p_size < 20 THEN p_size % 5 * 10 ELSE 40 + p_size % 4 END) AS toolset FROM part) GROUP BY toolset""")
+def toolset_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = 100 + F.when(F.col("p_size") < 20, F.col("p_size") % 5 * 10).otherwise(40 + F.col("p_size") % 4)
+    toolsets = T.table(spark, sf_dir, "part").select(F.concat(F.lit("v"), number.cast("string")).alias("toolset"))
+    return toolsets.groupBy("toolset").agg(F.count("*").alias("n")).select("toolset", "n", toolset_version(F.col("toolset")).alias("studio"))

@@ -101,7 +101,7 @@ def currency(deps: DataFrame, cache: DataFrame, now: Column, numeric_maven: bool
         .when(F.coalesce("not_found", F.lit(False)), F.lit("unknown"))
         .otherwise(bucket(F.col("system"), F.col("version"), F.col("latest"), numeric_maven))
     )
-    return found.select("system", "type", "name", "version", "latest", verdict.alias("bucket"))
+    return found.select("system", "type", "name", "version", "latest", verdict.alias("bucket")).orderBy("system", "name", "version")
 
 
 def currency_summary(rows: DataFrame) -> DataFrame:

@@ -244,3 +244,15 @@ def test_ignore_files_hold_below_their_directory(spark, tmp_path):
     finally:
         files.os.path.isdir = before
     assert sorted(store.roots) == sorted(local.roots) and sorted(store.hidden) == sorted(local.hidden) and store.patterns == local.patterns
+
+
+def test_properties_of_users():
+    from granary.operators.sbom import user_properties
+
+    got = user_properties({"team": "core", "a": 3, "on": True, "list": [1], "none": None, "map": {}})
+    assert got == [{"name": "a", "value": "3"}, {"name": "on", "value": "true"}, {"name": "team", "value": "core"}]
+
+
+def test_single_file(spark, tree):
+    got = files.read(spark, tree + "/api", include=["main.py"]).collect()
+    assert [(r.path, r.text) for r in got] == [("/main.py", TREE["api/main.py"])]
