@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ancestors
 from ..functions.versions import resolved
-from .listings import package_key
+from .listings import nearest_versions, package_key
 
 #: Lockfiles, whose versions stand before those that manifests declare.
 LOCKFILES = r"(^|/)(package-lock\.json|pnpm-lock\.yaml|yarn\.lock|poetry\.lock|uv\.lock|Cargo\.lock|Gemfile\.lock|Podfile\.lock|pubspec\.lock|gradle\.lockfile|dependency-list\.txt)$"
@@ -27,18 +27,27 @@ def with_parents(components: DataFrame, root_id: str) -> DataFrame:
     return joined.withColumn("parent_id", parent).withColumn("depth", F.when(F.col("component_id") == root_id, F.lit(0)).otherwise(F.coalesce("n", F.lit(0)).cast("int") + 1)).drop("up", "n")
 
 
-def settled_dependencies(deps: DataFrame) -> DataFrame:
+def settled_dependencies(deps: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """deps (component_id, type, name, version, scope, direct, source, …) with one row per package of a component: the
     locked version, what the manifest declares beside it, and the manifest's scope.
 
     A package that only a lockfile has stays as it is; versions a manifest repeats (two concrete ones) stay apart.
+    A member of an npm workspace has no lockfile beside it: there the nearest one in a directory above speaks; shared: its
+    versions (l_dir, l_name, l_version).
     """
     is_lock = F.col("source").rlike(LOCKFILES)
     lock = deps.where(is_lock)
     manifest = deps.where(~is_lock)
     keys = ["component_id", "type", "name"]
     locked = lock.groupBy(*keys).agg(F.min(F.struct("walk_order", "version"))["version"].alias("l_version"))
-    declared = manifest.join(locked, keys, "left").withColumn("declared", F.when(F.col("l_version").isNotNull() & (F.col("l_version") != F.col("version")), F.col("version"))).withColumn("version", F.coalesce("l_version", "version")).drop("l_version")
+    if shared is None:
+        manifest = manifest.withColumn("near", F.lit(None).cast("string"))
+    else:
+        up = F.regexp_replace("source", "/[^/]*$", "")
+        folder = F.when(up == "", F.lit("/")).otherwise(up)
+        places = manifest.where("type = 'npm'").select(folder.alias("dir")).distinct()
+        manifest = nearest_versions(manifest.withColumn("dir", F.when(F.col("type") == "npm", folder)), places, shared).drop("dir")
+    declared = manifest.join(locked, keys, "left").withColumn("l_version", F.coalesce("l_version", "near")).drop("near").withColumn("declared", F.when(F.col("l_version").isNotNull() & (F.col("l_version") != F.col("version")), F.col("version"))).withColumn("version", F.coalesce("l_version", "version")).drop("l_version")
     rest = lock.join(manifest.select(*keys).distinct(), keys, "left_anti").withColumn("declared", F.lit(None).cast("string"))
     return declared.unionByName(rest).select(*deps.columns, "declared")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import dependency_type
 from .sizing import small_side
 
 # Languages that are no surprise anywhere.
@@ -99,6 +100,72 @@ def nearest_values(places: DataFrame, values: DataFrame, most: int = 12) -> Data
     return hit.groupBy("dir", "key").agg(F.max(F.struct(F.col("x.depth").alias("depth"), "value"))["value"].alias("value"))
 
 
+def nearest_versions(rows: DataFrame, places: DataFrame, listed: DataFrame, name: Column | None = None, most: int = 12) -> DataFrame:
+    """rows (dir, name, ...) with `near`, the version that the nearest directory with a list, at most `most` levels up, gives the name.
+
+    places: the dirs that ask; listed: (l_dir, l_name, l_version), each name of a directory once.  Only the nearest list is
+    asked: null where it has not the name, as for rows whose dir is null.
+    """
+    lists = listed.select(F.col("l_dir").alias("v_dir"), F.lit("").alias("key"), F.col("l_dir").alias("value")).distinct()
+    near = nearest_values(places, lists, most).select(F.col("dir").alias("n_place"), F.col("value").alias("n_dir"))
+    given = near.join(listed, F.col("n_dir") == F.col("l_dir")).select("n_place", "l_name", F.col("l_version").alias("near"))
+    name = F.col("name") if name is None else name
+    return rows.join(given, (F.col("dir") == F.col("n_place")) & (name == F.col("l_name")), "left").drop("n_place", "l_name")
+
+
+#: A reference to a property, ${name} or $name.
+REFERENCE = r"\$\{?([A-Za-z_][\w.]*)\}?"
+
+
+def filled(value: Column, properties: Column, rounds: int = 3) -> Column:
+    """value with references looked up in a map, those inside replacements too, some rounds deep; unknown ones stay."""
+    for _ in range(rounds):
+        known = lambda ref: F.try_element_at(properties, F.regexp_extract(ref, REFERENCE, 1))
+        value = F.aggregate(F.regexp_extract_all(value, F.lit(REFERENCE), F.lit(0)), value, lambda v, ref: F.replace(v, ref, F.coalesce(known(ref), ref)))
+    return value
+
+
+def with_properties(rows: DataFrame, places: DataFrame, values: DataFrame, most: int = 12) -> DataFrame:
+    """rows (dir, version, ...) with the references in their versions filled from the nearest directory above that sets each.
+
+    places: the dirs that ask; values: (v_dir, key, value); rows whose dir is null stay as they are.
+    """
+    maps = nearest_values(places, values, most).groupBy(F.col("dir").alias("p_dir")).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("granary_known"))
+    joined = rows.join(maps, F.col("dir") == F.col("p_dir"), "left")
+    version = F.when(F.col("granary_known").isNull(), F.col("version")).otherwise(filled(F.col("version"), F.col("granary_known")))
+    return joined.withColumn("version", version).select(*rows.columns)
+
+
+def source_index(components: DataFrame) -> DataFrame:
+    """(ecosystem, coordinate, paths): where each package is built, in every ecosystem whose names are packages; components: (type, name, path)."""
+    kind = dependency_type(F.col("type"))
+    rows = components.select(kind.alias("ecosystem"), package_key(kind, F.col("name")).alias("coordinate"), "path").where("ecosystem <> ''")
+    return rows.groupBy("ecosystem", "coordinate").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+
+
+def vendored(path: Column) -> Column:
+    """Whether a path lies in a directory of code brought from elsewhere, and not below a hidden one at the top."""
+    rel = F.regexp_replace(path, "^/", "")
+    return rel.rlike(r"(^|/)(node_modules|vendor|third[-_]party|bower_components|Godeps|Pods|Carthage)/") & ~rel.startswith(".")
+
+
+#: What a lookup may come to.
+OUTCOMES = ("cached", "fetched", "missing", "denied", "failed")
+
+
+def resolver_counts(lookups: DataFrame) -> DataFrame:
+    """lookups (source, outcome) by source, a column for each outcome; sums, so snapshots may be taken at any time."""
+    return lookups.groupBy("source").agg(F.count("*").alias("lookups"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])
+
+
+def resolver_delta(now: DataFrame, before: DataFrame) -> DataFrame:
+    """What resolver_counts has grown by since an earlier snapshot."""
+    columns = ["lookups", *OUTCOMES]
+    old = before.select(F.col("source").alias("b_source"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    joined = now.join(old, F.col("source") == F.col("b_source"), "left")
+    return joined.select("source", *[(F.col(c) - F.coalesce(F.col(f"b_{c}"), F.lit(0))).alias(c) for c in columns])
+
+
 def merged_properties(rows: DataFrame, concatenate: tuple[str, ...] = ("docker", "terraform")) -> DataFrame:
     """rows (component_id, key, value array, walk_order): arrays of some keys are joined end to end, of others the last stays."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("walk_order", "value"))), lambda x: x["value"])

@@ -58,6 +58,14 @@ def match_names(files: DataFrame, exact: DataFrame, globs: Sequence[tuple[str, s
     return out.distinct()
 
 
+def match_late_names(files: DataFrame, exact: DataFrame, first: DataFrame) -> DataFrame:
+    """The same of equal names only, for technologies that the first pass (path, tech) has not found in the file's directory."""
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    seen = first.select(folder.alias("s_dir"), F.col("tech").alias("s_tech")).distinct()
+    found = match_names(files, exact).withColumn("granary_dir", folder)
+    return found.join(seen, (F.col("granary_dir") == F.col("s_dir")) & (F.col("tech") == F.col("s_tech")), "left_anti").drop("granary_dir")
+
+
 def match_extensions(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, tech) by extension; rules: (tech, ext), with or without the dot.  Off in a scan unless asked for."""
     small = small_side(rules.select("tech", F.concat(F.lit("."), F.regexp_replace(F.lower("ext"), r"^\.", "")).alias("r_ext")).distinct())

@@ -12,6 +12,8 @@ from ..functions.versions import toolset_version
 from ..operators import aggregates as A
 from ..operators import graphs as G
 from ..operators import listings as Z
+from ..operators import rules as R
+from ..sources import files
 from . import relations as T
 from .registry import query
 
@@ -160,3 +162,81 @@ def toolset_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = 100 + F.when(F.col("p_size") < 20, F.col("p_size") % 5 * 10).otherwise(40 + F.col("p_size") % 4)
     toolsets = T.table(spark, sf_dir, "part").select(F.concat(F.lit("v"), number.cast("string")).alias("toolset"))
     return toolsets.groupBy("toolset").agg(F.count("*").alias("n")).select("toolset", "n", toolset_version(F.col("toolset")).alias("studio"))
+
+
+_FOLDER = "'/a' || (p_partkey % 3) || '/b' || (p_partkey % 5)"
+
+
+def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as packages in directories of two levels."""
+    k = F.col("p_partkey")
+    folder = F.concat(F.lit("/a"), (k % 3).cast("string"), F.lit("/b"), (k % 5).cast("string"))
+    return T.table(spark, sf_dir, "part").select("p_partkey", folder.alias("dir"), F.col("p_brand").alias("name"), "p_size")
+
+
+@query(f"""WITH r AS (SELECT p_partkey, {_FOLDER} AS dir, p_brand AS name FROM part),
+l AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN '/a0' ELSE '/a1/b2' END AS l_dir, p_brand AS l_name, min(p_size)::VARCHAR AS l_version FROM part WHERE p_partkey % 7 < 2 GROUP BY 1, 2)
+SELECT p_partkey, dir, l_version AS near FROM r LEFT JOIN l ON l_name = name AND l_dir = CASE WHEN dir = '/a1/b2' THEN '/a1/b2' WHEN dir LIKE '/a0/%' THEN '/a0' END""")
+def nearest_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _folders(spark, sf_dir)
+    listed = rows.where("p_partkey % 7 < 2").withColumn("l_dir", F.when(F.col("p_partkey") % 2 == 0, "/a0").otherwise("/a1/b2")).groupBy("l_dir", F.col("name").alias("l_name")).agg(F.min("p_size").cast("string").alias("l_version"))
+    return Z.nearest_versions(rows, rows.select("dir").distinct(), listed).select("p_partkey", "dir", "near")
+
+
+@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '1.' || CASE WHEN dir LIKE '/a2/%' THEN 'two' ELSE 'one' END WHEN p_partkey % 4 = 1 THEN 'one-${{unknown}}' WHEN p_partkey % 4 = 2 AND dir LIKE '/a2/%' THEN 'two.x' WHEN p_partkey % 4 = 2 THEN '$deep.x' ELSE p_size::VARCHAR END AS version
+FROM (SELECT p_partkey, p_size, {_FOLDER} AS dir FROM part)""")
+def filled_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = spark.createDataFrame([("/", "own", "one"), ("/", "base", "one"), ("/a2", "own", "two"), ("/a2", "deep", "${own}"), ("/elsewhere", "unknown", "x")], "v_dir string, key string, value string")
+    rows = _folders(spark, sf_dir)
+    forms = F.element_at(F.array(F.lit("1.$own"), F.lit("${base}-${unknown}"), F.lit("${deep}.x"), F.col("p_size").cast("string")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    forms = F.when((F.col("p_partkey") % 4 == 2) & ~F.col("dir").startswith("/a2/"), F.lit("$deep.x")).otherwise(forms)
+    return Z.with_properties(rows.withColumn("version", forms), rows.select("dir").distinct(), values).select("p_partkey", "version")
+
+
+@query("""SELECT ecosystem, coordinate, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM (SELECT CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' END AS ecosystem,
+CASE p_partkey % 3 WHEN 1 THEN lower(replace(p_brand, '_', '-')) ELSE p_brand END AS coordinate, '/d' || (p_partkey % 20) || '/manifest' AS path FROM part WHERE p_partkey % 3 < 2) GROUP BY 1, 2""")
+def source_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(F.lit("nodejs"), F.lit("python"), F.lit("terraform-root")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    built = T.table(spark, sf_dir, "part").select(kind.alias("type"), F.col("p_brand").alias("name"), F.concat(F.lit("/d"), (F.col("p_partkey") % 20).cast("string"), F.lit("/manifest")).alias("path"))
+    return Z.source_index(built).withColumn("paths", F.array_join("paths", ","))
+
+
+@query("""SELECT dir, count(*) AS files FROM (SELECT 'd' || (p_partkey % 9) || '/' || CASE p_partkey % 4 WHEN 0 THEN 'vendor' WHEN 1 THEN 'node_modules' WHEN 2 THEN 'third-party' ELSE 'vendors' END AS dir, p_partkey FROM part)
+WHERE dir NOT LIKE '%vendors' AND p_partkey % 9 <> 5 GROUP BY 1 HAVING count(*) >= 5 ORDER BY files DESC, dir LIMIT 5""")
+def vendored_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    top = F.concat(F.when(k % 9 == 5, F.lit("/.d")).otherwise(F.lit("/d")), (k % 9).cast("string"), F.lit("/"))
+    path = F.concat(top, F.element_at(F.array(F.lit("vendor"), F.lit("node_modules"), F.lit("third-party"), F.lit("vendors")), (k % 4 + 1).cast("int")), F.lit("/x.c"))
+    return A.directory_counts(T.table(spark, sf_dir, "part").select(path.alias("path")), Z.vendored(F.col("path")))
+
+
+_OUTCOME = "CASE WHEN value IS NULL OR value < 20 THEN 'cached' WHEN value < 60 THEN 'fetched' WHEN value < 80 THEN 'missing' WHEN value < 90 THEN 'denied' ELSE 'failed' END"
+
+
+@query(f"""SELECT event_type AS source, count(*) AS lookups, {', '.join(f"count(*) FILTER (o = '{o}') AS {o}" for o in Z.OUTCOMES)} FROM (SELECT event_type, {_OUTCOME} AS o, event_id FROM events WHERE event_id % 3 <> 0) GROUP BY 1""")
+def resolver_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the counters have grown by between two snapshots."""
+    rows = T.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.expr(_OUTCOME).alias("outcome"), "event_id")
+    return Z.resolver_delta(Z.resolver_counts(rows), Z.resolver_counts(rows.where("event_id % 3 = 0")))
+
+
+@query("""WITH f AS (SELECT p_partkey, '/d' || (p_partkey % 50) || '/' || CASE p_partkey % 3 WHEN 0 THEN 'tool.lock' WHEN 1 THEN 'tool.toml' ELSE 'other' || p_partkey END AS path FROM part),
+hit AS (SELECT DISTINCT '/d' || (p_partkey % 50) AS dir FROM part WHERE p_partkey % 3 = 1 AND p_partkey % 50 < 25)
+SELECT DISTINCT path FROM f WHERE path LIKE '%/tool.lock' AND replace(path, '/tool.lock', '') NOT IN (SELECT dir FROM hit)""")
+def late_file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second pass over names: only where the first has not found the technology in the directory."""
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.lit("tool.lock")).when(k % 3 == 1, F.lit("tool.toml")).otherwise(F.concat(F.lit("other"), k.cast("string")))
+    files = T.table(spark, sf_dir, "part").select(k.alias("k"), F.concat(F.lit("/d"), (k % 50).cast("string"), F.lit("/"), name).alias("path"), name.alias("name"), F.concat(F.lit("/d"), (k % 50).cast("string")).alias("dir"))
+    rules = lambda x: spark.createDataFrame([("tool", x)], "tech string, pattern string")
+    first = R.match_names(files.where("k % 50 < 25"), rules("tool.toml"))
+    return R.match_late_names(files, rules("tool.lock"), first).select("path")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'SQL' WHEN doc_id % 3 = 1 THEN NULL ELSE 'Text' END AS language, CASE WHEN doc_id % 3 = 0 THEN 'data' WHEN doc_id % 3 = 1 THEN 'generated' ELSE 'prose' END AS language_type FROM documents""")
+def reclassified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages after rules on paths: the first that matches; one with a type only leaves the language empty."""
+    path = F.concat(F.lit("/"), F.element_at(F.array(F.lit("db/x/"), F.lit("gen/"), F.lit("doc/")), (F.col("doc_id") % 3 + 1).cast("int")), F.col("doc_id").cast("string"), F.lit(".txt"))
+    rows = T.table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.lit("Text").alias("language"), F.lit("prose").alias("language_type"))
+    rules = [{"match": "db/**/*.txt", "language": "SQL"}, {"match": "gen/*", "type": "generated"}, {"match": "{db,gen}/**", "language": "Go"}]
+    return files.reclassified(rows, rules).select("doc_id", "language", "language_type")

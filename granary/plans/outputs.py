@@ -108,6 +108,34 @@ def currency_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), *[F.count_if(F.col("bucket") == b).alias(b) for b in BUCKETS])
 
 
+def currency_document(rows: DataFrame, generated_at: str, ttl_hours: int = 24, endpoint: str = "") -> str:
+    """The report of one system: how many packages are how far behind, and each direct one."""
+    total, found = side_by_side(currency_summary(rows).first, rows.collect)
+    counts = total.asDict()
+    counts["resolved"] = sum(counts[b] for b in ("up_to_date", "patch", "minor", "major"))
+    out = {"generated_at": generated_at, "source_endpoint": endpoint, "ttl_hours": ttl_hours, "scope": "direct", "summary": counts}
+    out["dependencies"] = [{"system": r["system"] or "", "type": r["type"], "name": r["name"], "installed": r["version"], **({"latest": r["latest"]} if r["latest"] else {}), "currency": r["bucket"], "direct": True} for r in found]
+    return json.dumps(out, ensure_ascii=False)
+
+
+def saved_dependencies(spark, path: str) -> DataFrame:
+    """The dependencies (type, name, version, scope, direct) of a saved aggregate, as arrays or as objects."""
+    text = spark.read.text(path, wholetext=True).select(F.try_variant_get(F.try_parse_json("value"), "$.dependencies", "array<variant>").alias("d"))
+    return read_wire(text.select(F.explode("d").alias("x")).select(F.to_json("x").alias("wire")))
+
+
+#: The cache of latest versions where there is none yet.
+CACHE_SCHEMA = "system string, name string, latest string, not_found boolean, fetched_at long, ttl_seconds long"
+
+
+def companions(output: str, sbom_format: str = "cyclonedx") -> dict[str, str]:
+    """The names of the documents that are written beside a scan's own."""
+    import os
+
+    base, ext = os.path.splitext(output)
+    return {"aggregate": f"{base}-agg{ext}", "sbom": f"{base}.{'spdx' if sbom_format == 'spdx' else 'cdx'}{ext}", "currency": f"{base}.currency.json"}
+
+
 def refresh(cache: DataFrame, wanted: DataFrame, fetch, now: int, ttl: int = 86_400, parallel: int = 10) -> DataFrame:
     """The cache with what fetch(system, name) answers for wanted (system, name): (latest, found); errors leave old rows.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,7 @@ from ..functions import columns as C
 from ..operators import aggregates as A
 from ..operators import components as K
 from ..operators import graphs as G
+from ..operators import listings as L
 from ..operators import rules as R
 from ..operators.storage import side_by_side
 from ..sources import config, licenses, lockgraphs, manifests
@@ -85,10 +86,32 @@ def detect(files: DataFrame, root: str) -> DataFrame:
     return best.select(C.component_id(F.lit(root), name, F.col("path")).alias("component_id"), name.alias("name"), "type", "path", "dir", "walk_order")
 
 
-def scan(spark: SparkSession, root: str, settings: config.Settings = config.Settings(), rules: rule_source.Rules | None = None) -> Scan:
+def filled_versions(deps: DataFrame, parsed: DataFrame) -> DataFrame:
+    """deps (type, name, version, source, ...) with versions that stand in files of directories above: gradle.properties for
+    references in Gradle versions, the nearest Directory.Packages.props for NuGet packages without a version."""
+    up = F.regexp_replace("source", "/[^/]*$", "")
+    folder = F.when(up == "", F.lit("/")).otherwise(up)
+    pair = r"^\s*([\w.]+)\s*[=:]\s*(.*?)\s*$"
+    lines = parsed.where("name = 'gradle.properties'").select(F.col("dir").alias("v_dir"), F.posexplode(F.split("text", r"\r?\n")).alias("k", "line")).where(F.col("line").rlike(pair))
+    values = lines.groupBy("v_dir", F.regexp_extract("line", pair, 1).alias("key")).agg(F.max(F.struct("k", F.regexp_extract("line", pair, 2).alias("value")))["value"].alias("value"))
+    builds = parsed.where(F.col("name").rlike(r"^build\.gradle(\.kts)?$")).select("dir").distinct()
+    deps = L.with_properties(deps.withColumn("dir", F.when(F.col("type").startswith("gradle"), folder)), builds, values)
+    items = parsed.where("name = 'Directory.Packages.props'").select(F.col("dir").alias("l_dir"), F.explode(F.regexp_extract_all("text", F.lit(r"<PackageVersion\s[^>]*>"), F.lit(0))).alias("item"))
+    items = items.select("l_dir", F.lower(F.regexp_extract("item", r'\sInclude\s*=\s*"([^"]+)"', 1)).alias("l_name"), F.regexp_extract("item", r'\sVersion\s*=\s*"([^"]+)"', 1).alias("l_version")).where("l_name <> '' AND l_version <> ''")
+    listed = items.groupBy("l_dir", "l_name").agg(F.min("l_version").alias("l_version"))
+    projects = parsed.where(F.col("name").rlike(r"\.(cs|vb|fs)proj$")).select("dir").distinct()
+    open_ = (F.col("type") == "nuget") & (F.col("version") == "latest")
+    deps = L.nearest_versions(deps.withColumn("dir", F.when(open_, folder)), projects, listed, F.lower("name"))
+    return deps.withColumn("version", F.coalesce("near", "version")).drop("near", "dir")
+
+
+def scan(spark: SparkSession, root: str, settings: config.Settings = config.Settings(), rules: rule_source.Rules | None = None, report: Callable | None = None) -> Scan:
+    """Scan a tree; `report` is called with each event (plans/progress.py) and what is known of it."""
     rules = rules or rule_source.Rules(only=settings.only_rules)
-    read = S.read(spark, root, settings.exclude, settings.include)
-    later = F.col("path").rlike("|".join((manifests.ANY_MANIFEST, lockgraphs.ANY_LOCK, *(f"(?:{p})" for p, _, _ in DETECTORS)))) | F.col("name").rlike(licenses.NAMES) | F.col("name").rlike(r"\.nuspec$|^\.env\.example$")
+    report = report or (lambda event, **about: None)
+    report("scan_start", root=root)
+    read = S.read(spark, root, settings.exclude, settings.include, settings.reclassify)
+    later = F.col("path").rlike("|".join((manifests.ANY_MANIFEST, lockgraphs.ANY_LOCK, *(f"(?:{p})" for p, _, _ in DETECTORS)))) | F.col("name").rlike(licenses.NAMES) | F.col("name").rlike(r"\.nuspec$|^\.env\.example$|^gradle\.properties$|^Directory\.Packages\.props$")
     hits = R.content_hits(rules.content) if rules.content else F.array().cast("array<struct<tech:string,rule_order:int>>")
     # One pass over the contents: what is counted and matched stays, and the few texts that are parsed below.
     read = S.code_lines(read).withColumn("hits", hits).withColumn("text", F.when(later, F.col("text")))
@@ -98,6 +121,7 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
     own, extracted = side_by_side(lambda: G.stored(detect(parsed, rid)), lambda: G.stored(manifests.extract(parsed)))
     # The last detector's component of a directory owns the files below it.
     owners = own.groupBy("dir").agg(F.max(F.struct("walk_order", "component_id"))["component_id"].alias("owner"))
+    report("components", found=own, files=read)
     main = spark.createDataFrame([(rid, "main", "", "/", "/", -1)], own.schema)
     components = own.unionByName(main)
     root_owner = owners.unionByName(spark.createDataFrame([("/", rid)], "dir string, owner string").join(owners.where("dir = '/'"), "dir", "left_anti"))
@@ -107,12 +131,15 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
     turn = lambda k: F.concat("o_walk", F.lit("\x01"), F.lpad(F.col(k).cast("string"), 10, "0"))
     deps = extracted.where("error IS NULL").join(place, F.col("path") == F.col("o_path")).select(
         F.col("owner").alias("component_id"), "type", "name", "version", "scope", "direct", F.col("path").alias("source"), F.lit("").alias("license"), turn("ord").alias("walk_order"))
+    deps = filled_versions(deps, parsed)
     edges = lockgraphs.extract_edges(parsed, settings.graph).join(place, F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "component_type", "from", "to", F.col("path").alias("source"), "scope", turn("walk_order").alias("walk_order"))
 
     named = deps.groupBy("component_id", "type", "name").agg(F.min("walk_order").alias("walk_order"))
     by_dep = R.match_dependencies(named, rules.exact_table(spark), rules.regexes).select("component_id", "tech", "reason", "walk_order")
     base = owned.select("path", "dir", "name", "ext")
     found = [R.match_names(base, rules.names_table(spark), rules.globs, rules.directories)]
+    if rules.late_names:
+        found.append(R.match_late_names(base, rules.late_table(spark), found[0]))
     if rules.content:
         found.append(owned.select("path", F.explode("hits").alias("x")).select("path", "x.tech", F.lit("matched content").alias("reason")))
     if rules.variables:
@@ -126,7 +153,7 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
         by_file = by_file.unionByName(more)
     by_file = by_file.join(place, F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "tech", "reason", F.col("o_walk").alias("walk_order"))
     reasons = by_dep.unionByName(by_file).groupBy("component_id", "tech", "reason").agg(F.min("walk_order").alias("walk_order"))
-    settled = G.propagate_versions(licenses.harvest(K.settled_dependencies(deps), licenses.from_package_json(parsed).unionByName(licenses.from_nuspec(parsed))))
+    settled = G.propagate_versions(licenses.harvest(K.settled_dependencies(deps, manifests.shared_versions(parsed)), licenses.from_package_json(parsed).unionByName(licenses.from_nuspec(parsed))))
     reasons, settled = side_by_side(lambda: G.stored(reasons), lambda: G.stored(settled))
 
     techs = reasons.groupBy("component_id").agg(F.array_sort(F.collect_set("tech")).alias("tech"))
@@ -134,6 +161,7 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
     full = components.join(techs, "component_id", "left").join(code, "component_id", "left").select(*components.columns, F.coalesce("tech", F.array().cast("array<string>")).alias("tech"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("files", F.lit(0)).alias("files"))
     full = G.stored(K.with_parents(full, rid))
     licensed = licenses.detect_files(parsed).join(place.select("o_path", "owner"), F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "path", "license", "detection_type", "confidence", "category")
+    report("scan_complete", root_id=rid)
     return Scan(rid, owned.drop("hits").withColumnRenamed("owner", "component_id"), full, settled, edges, reasons, K.references(settled, full), licensed, extracted.where("error IS NOT NULL").select("path", "error"))
 
 

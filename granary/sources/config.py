@@ -23,6 +23,7 @@ class Settings:
     primary_threshold: float = 0.05
     extension_rules: bool = False
     omit: tuple[str, ...] = ()
+    reclassify: tuple[dict, ...] = ()
     properties: Mapping[str, object] = field(default_factory=dict)
 
 
@@ -65,6 +66,7 @@ def check(values: Mapping[str, object]) -> list[str]:
     out = [f"unknown setting {k}" for k in values if k not in known]
     if values.get("graph", "off") not in ("off", "direct", "full"):
         out.append("graph is one of off, direct, full")
+    out += [f"reclassify {k}: no match, or neither language nor type" for k, r in enumerate(values.get("reclassify") or ()) if not (isinstance(r, Mapping) and r.get("match") and (r.get("language") or r.get("type")))]
     return out
 
 

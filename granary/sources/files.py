@@ -234,10 +234,26 @@ def ignore_patterns(texts: Sequence[tuple[str, str]], extra: Sequence[str] = ())
     return out
 
 
-def _kept(files: DataFrame, patterns: Sequence[tuple[str, bool, bool, str]]) -> DataFrame:
+def reclassified(files: DataFrame, rules: Sequence[dict]) -> DataFrame:
+    """files (path, language, language_type) after rules (match, language, type): the first whose glob matches the path from the root.
+
+    A rule without a language leaves it empty, so the file counts by its type only.
+    """
+    kinds = dict(LANGUAGES.values())
+    language, kind = F.col("language"), F.col("language_type")
+    for r in reversed(list(rules)):
+        hit = F.regexp_replace("path", "^/", "").rlike(glob_regex(r["match"]))
+        own = r.get("language") or None
+        language = F.when(hit, F.lit(own)).otherwise(language)
+        kind = F.when(hit, F.lit(r.get("type") or kinds.get(own, "unknown"))).otherwise(kind)
+    return files.withColumns({"language": language, "language_type": kind}) if rules else files
+
+
+def _kept(files: DataFrame, patterns: Sequence[tuple[str, bool, bool, str]], rules: Sequence[dict] = ()) -> DataFrame:
     """files that the patterns keep (their directories are settled), with language, kind and place in the walk."""
     kept = last_match(files.withColumn("is_dir", F.lit(False)), patterns, above=False).where("NOT ignored").drop("ignored", "is_dir")
-    return kept.withColumns({"language": _of_file(0), "language_type": F.coalesce(_of_file(1), F.lit("unknown")), "walk_order": walk_key(F.col("dir"), F.col("name"))})
+    kept = kept.withColumns({"language": _of_file(0), "language_type": F.coalesce(_of_file(1), F.lit("unknown")), "walk_order": walk_key(F.col("dir"), F.col("name"))})
+    return reclassified(kept, rules)
 
 
 def scan(spark: SparkSession, root: str, exclude: Sequence[str] = (), include: Sequence[str] = ()) -> DataFrame:
@@ -246,10 +262,10 @@ def scan(spark: SparkSession, root: str, exclude: Sequence[str] = (), include: S
     return _kept(_listed(_binary(spark, kept, "path", "length"), root), kept.patterns)
 
 
-def read(spark: SparkSession, root: str, exclude: Sequence[str] = (), include: Sequence[str] = ()) -> DataFrame:
+def read(spark: SparkSession, root: str, exclude: Sequence[str] = (), include: Sequence[str] = (), reclassify: Sequence[dict] = ()) -> DataFrame:
     """The same with text, byte-order marks settled: one read of each kept file, without a join."""
     kept = walk(spark, root, include, exclude)
-    return _kept(_listed(_binary(spark, kept, "path", "length", "content"), root), kept.patterns).withColumn("text", utf8(F.col("content"))).drop("content")
+    return _kept(_listed(_binary(spark, kept, "path", "length", "content"), root), kept.patterns, reclassify).withColumn("text", utf8(F.col("content"))).drop("content")
 
 
 def with_text(spark: SparkSession, root: str, files: DataFrame, include: Sequence[str] = ()) -> DataFrame:

@@ -127,6 +127,28 @@ def yarn_lock(text: str, manifest: str = "") -> Iterator[Dep]:
             yield Dep("npm", name, version, wanted.get(name, "prod"), name in wanted)
 
 
+#: Lockfiles that hold the versions of a whole npm workspace.
+SHARED_LOCKS = r"(^|/)(package-lock\.json|pnpm-lock\.yaml|yarn\.lock)$"
+
+
+def shared_lock(path: str, text: str) -> Iterator[tuple[str, str, str]]:
+    """(directory, name, version) that a lockfile gives to the members of its workspace; pnpm keeps a list for each member."""
+    top = path.rpartition("/")[0]
+    if path.endswith("package-lock.json"):
+        for place, entry in _section(_object(text), "packages").items():
+            if place.startswith("node_modules/") and place.count("node_modules/") == 1 and entry.get("version"):
+                yield top or "/", _node_name(place), entry["version"]
+    elif path.endswith("pnpm-lock.yaml"):
+        for member, entry in _section(_yaml(text), "importers").items():
+            for key, _ in _NPM_SCOPES:
+                for name, found in _section(entry, key).items():
+                    version = found.get("version", "") if isinstance(found, dict) else found
+                    yield (top if member == "." else f"{top}/{member}") or "/", name, str(version).partition("(")[0].partition("_")[0]
+    else:
+        for keys, version, _ in yarn_entries(text):
+            yield top or "/", keys[0].rpartition("@")[0], version
+
+
 def deno_lock(text: str) -> Iterator[Dep]:
     for url, digest in _section(_object(text), "remote").items():
         yield Dep("deno", url, digest)
@@ -695,6 +717,29 @@ def _task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in _OUT.split(", ")])
 
 
+def _shared_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            try:
+                rows += list(shared_lock(path, text or ""))
+            except (ValueError, KeyError, TypeError, AttributeError):
+                continue  # extract reports what does not parse
+            except Exception as e:  # yaml's own error classes, where yaml is installed
+                if not type(e).__module__.startswith("yaml"):
+                    raise
+        cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["l_dir", "l_name", "l_version"])
+
+
+def shared_versions(files: DataFrame) -> DataFrame:
+    """(l_dir, l_name, l_version), each name of a directory once: what npm lockfiles among files (path, text) give to workspaces."""
+    from pyspark.sql import functions as F
+
+    rows = files.where(F.col("path").rlike(SHARED_LOCKS)).select("path", "text").mapInArrow(_shared_task, "l_dir string, l_name string, l_version string")
+    return rows.groupBy("l_dir", "l_name").agg(F.min("l_version").alias("l_version"))
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Dependency rows of files (path, text); a file that does not parse gives one row with an error."""
     from pyspark.sql import functions as F

@@ -25,17 +25,28 @@ def windowed_counts(events: DataFrame, time: str, key: str, size: str = "10 minu
 
 
 def cache_sink(path: str):
-    """A function for foreachBatch that folds batches of cache rows into a table at path, the latest row per key."""
+    """A function for foreachBatch that folds batches of cache rows into tables path/epoch=N, the latest row per key.
+
+    Each call reads the last complete table and writes the next one, under the batch's number or a later one.  So a stream
+    that starts over (its numbers begin at 0 again) goes on from what is held, and a batch that runs twice adds nothing.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = f"{path}/epoch={epoch - 1}"
-        try:
-            held = spark.read.schema(batch.schema).parquet(old) if epoch else batch.limit(0)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            held = batch.limit(0)
-        upsert_cache(held, batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        last = last_epoch(batch.sparkSession, path)
+        held = batch.limit(0) if last is None else batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/epoch={last}")
+        at = epoch if last is None else max(epoch, last + 1)
+        upsert_cache(held, batch).write.mode("overwrite").parquet(f"{path}/epoch={at}")
 
     return write
+
+
+def last_epoch(spark: SparkSession, path: str) -> int | None:
+    """The number of the last table below path whose write was finished; None without one."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(top):
+        return None
+    names = [s.getPath().getName() for s in store.listStatus(top)]
+    done = [int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch=") and n.removeprefix("epoch=").isdigit() and store.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return max(done, default=None)
