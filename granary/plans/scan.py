@@ -86,6 +86,10 @@ def detect(files: DataFrame, root: str) -> DataFrame:
     return best.select(C.component_id(F.lit(root), name, F.col("path")).alias("component_id"), name.alias("name"), "type", "path", "dir", "walk_order")
 
 
+#: Names of files that give versions to the directories below them.
+SHARED_FILES = ("gradle.properties", "Directory.Packages.props", "package-lock.json", "pnpm-lock.yaml", "yarn.lock")
+
+
 def filled_versions(deps: DataFrame, parsed: DataFrame) -> DataFrame:
     """deps (type, name, version, source, ...) with versions that stand in files of directories above: gradle.properties for
     references in Gradle versions, the nearest Directory.Packages.props for NuGet packages without a version."""
@@ -131,7 +135,9 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
     turn = lambda k: F.concat("o_walk", F.lit("\x01"), F.lpad(F.col(k).cast("string"), 10, "0"))
     deps = extracted.where("error IS NULL").join(place, F.col("path") == F.col("o_path")).select(
         F.col("owner").alias("component_id"), "type", "name", "version", "scope", "direct", F.col("path").alias("source"), F.lit("").alias("license"), turn("ord").alias("walk_order"))
-    deps = filled_versions(deps, parsed)
+    # Files that speak for directories below them, by name: trees without any need none of the joins.
+    shared = {r["name"] for r in parsed.where(F.col("name").isin(*SHARED_FILES)).select("name").distinct().collect()}
+    deps = filled_versions(deps, parsed) if shared & set(SHARED_FILES[:2]) else deps
     edges = lockgraphs.extract_edges(parsed, settings.graph).join(place, F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "component_type", "from", "to", F.col("path").alias("source"), "scope", turn("walk_order").alias("walk_order"))
 
     named = deps.groupBy("component_id", "type", "name").agg(F.min("walk_order").alias("walk_order"))
@@ -153,7 +159,7 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
         by_file = by_file.unionByName(more)
     by_file = by_file.join(place, F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "tech", "reason", F.col("o_walk").alias("walk_order"))
     reasons = by_dep.unionByName(by_file).groupBy("component_id", "tech", "reason").agg(F.min("walk_order").alias("walk_order"))
-    settled = G.propagate_versions(licenses.harvest(K.settled_dependencies(deps, manifests.shared_versions(parsed)), licenses.from_package_json(parsed).unionByName(licenses.from_nuspec(parsed))))
+    settled = G.propagate_versions(licenses.harvest(K.settled_dependencies(deps, manifests.shared_versions(parsed) if shared & set(SHARED_FILES[2:]) else None), licenses.from_package_json(parsed).unionByName(licenses.from_nuspec(parsed))))
     reasons, settled = side_by_side(lambda: G.stored(reasons), lambda: G.stored(settled))
 
     techs = reasons.groupBy("component_id").agg(F.array_sort(F.collect_set("tech")).alias("tech"))
