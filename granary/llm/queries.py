@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, minhash_dedup, quality_rules, secret_scan, source_mixing, substring_dedup, suffix_dedup, toxicity
+from . import decontaminate, fill_in_middle, language_id, license_scan, minhash_dedup, period_runs, piece_encoding, quality_rules, secret_scan, source_mixing, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secret_scan.op8_secret_scan,
         "op9_language_id": language_id.op9_language_id,
         "op10_source_mixing": source_mixing.op10_source_mixing,
+        "op11_period_runs": period_runs.op11_period_runs,
+        "op12_piece_encoding": piece_encoding.op12_piece_encoding,
+        "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.OP1_SQL, "op6_substring_dedup": substring_dedup.OP6_SQL, "op10_source_mixing": source_mixing.OP10_SQL}
+    return {"op1_quality_rules": quality_rules.OP1_SQL, "op6_substring_dedup": substring_dedup.OP6_SQL, "op10_source_mixing": source_mixing.OP10_SQL, "op13_fill_in_middle": fill_in_middle.OP13_SQL}

@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pytest
 
-from granary.llm import decontaminate, language_id, license_scan, minhash_dedup, quality_rules, queries, secret_scan, source_mixing, substring_dedup, suffix_dedup, toxicity
+from granary.llm import decontaminate, fill_in_middle, language_id, license_scan, minhash_dedup, period_runs, piece_encoding, quality_rules, queries, secret_scan, source_mixing, substring_dedup, suffix_dedup, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -30,10 +30,13 @@ def operators(model, bench):
         "secrets": secret_scan.secret_scan,
         "language": lambda df: language_id.identify(df, model),
         "mix": source_mixing.mix,
+        "runs": period_runs.period_runs,
+        "pieces": piece_encoding.encode,
+        "middle": fill_in_middle.transform,
     }
 
 
-NAMES = ["quality", "license", "minhash", "tiling", "toxicity", "windows", "strings", "secrets", "language", "mix"]
+NAMES = ["quality", "license", "minhash", "tiling", "toxicity", "windows", "strings", "secrets", "language", "mix", "runs", "pieces", "middle"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -90,5 +93,5 @@ def test_ids_tie_no_texts_together(spark, frame):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
     assert queries.oracle_sql().keys() <= queries.queries().keys()
