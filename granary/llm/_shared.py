@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.storage import stored as durable  # noqa: F401
@@ -24,19 +24,16 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only (id, text), whatever else the table holds; a null id counts as the last id."""
-    return df.select(F.coalesce(named(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), named(text_col).cast("string").alias("text"))
+def keyed(df: DataFrame, id_col: str, text_col: str, row_hash: str | None = None) -> DataFrame:
+    """Only (id, text), whatever else the table holds, and the row's hash as x if its column is named; a null id counts as the last id."""
+    more = [named(row_hash).alias("x")] if row_hash else []
+    return df.select(F.coalesce(named(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), named(text_col).cast("string").alias("text"), *more)
 
 
 def id_out(name: str, column: str = "id") -> Column:
     return F.when(F.col(column) != LAST_ID, F.col(column)).alias(name)
 
 
-#: Up to so many ids (8 bytes each) are broadcast to drop their rows; more are joined by a shuffle.
-BROADCAST_IDS = 200_000
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have in any case of letters."""
     have = {c.lower() for c in df.columns}
@@ -45,27 +42,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(df: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """df without the rows whose id is in the single column of `gone` (null is an id like any other)."""
-    name = fresh(df, "gone")
-    gone = gone.toDF(name).distinct()
-    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return df.join(gone, named(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")
-
-
-def one_row_per_id(df: DataFrame, id_col: str, text_col: str, nulls: bool = True) -> DataFrame:
-    """Of the rows that share an id, the one with the least text; other rows are not shuffled.  Without nulls, rows without an id all stay."""
-    key, turn = fresh(df, "key"), fresh(df, "turn")
-    twice = durable(df.select(named(id_col).alias(key)).groupBy(key).agg(F.count("*").alias(turn)).where((F.col(turn) > 1) & (F.lit(nulls) | F.col(key).isNotNull())).select(key))
-    if twice.isEmpty():
-        return df
-    same = named(id_col).eqNullSafe(F.col(key))
-    order = Window.partitionBy(named(id_col)).orderBy(named(text_col), F.hash(*[named(c) for c in df.columns if c not in (id_col, text_col)]))
-    some = df.join(twice, same, "left_semi").withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).drop(turn)
-    return df.join(twice, same, "left_anti").unionByName(some)
-
-
 def over_rows(df: DataFrame, text_col: str, task: Callable, finish: Callable) -> DataFrame:
     """Run a task on (row, text) beside whole rows, without a join; finish(batch, result) makes the rows that go on.
 

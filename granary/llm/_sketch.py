@@ -45,18 +45,42 @@ def crowded(keys: float) -> bool:
     return keys * LEAST_CELLS > 1 << MOST_BITS
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """docs (id, text) with 128 bits of the text (t, u), which tell rows apart that share an id; rows of one id and text are one."""
+    return docs.withColumns({"t": F.xxhash64("text"), "u": F.xxhash64(F.lit("u"), "text")})
+
+
+_TAG = np.dtype([("t", np.int64), ("u", np.int64)])
+
+
+def packed_tags(t: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Both halves of each row's tag as one value, to be compared as a whole."""
+    out = np.empty(len(t), dtype=_TAG)
+    out["t"], out["u"] = t, u
+    return out
+
+
+def tags(batch: pa.RecordBatch) -> np.ndarray:
+    """The tags of a batch of `tagged` rows."""
+    return packed_tags(batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False))
+
+
+def tag_columns(tags: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    return pa.array(np.ascontiguousarray(tags["t"])), pa.array(np.ascontiguousarray(tags["u"]))
+
+
 def with_places(docs: DataFrame, places: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs (id, text, t) with `use`: the numbers k of their places whose key is in the single column of keys.
+    """docs (id, text, t, u) with `use`: the numbers k of their places whose key is in the single column of keys.
 
-    places: (a, id, t, k).  A key in very many places is one row of keys, and both sides are dealt by the join itself.
+    places: (a, id, t, u, k).  A key in very many places is one row of keys, and both sides are dealt by the join itself.
     """
-    hits = places.join(keys.toDF("key"), F.col("a") == F.col("key")).groupBy("id", "t").agg(F.collect_set("k").alias("use"))
-    return docs.alias("d").join(hits.alias("h"), F.expr("d.id = h.id and d.t = h.t"), "left").select("d.id", "d.text", "d.t", "h.use")
+    hits = places.join(keys.toDF("key"), F.col("a") == F.col("key")).groupBy("id", "t", "u").agg(F.collect_set("k").alias("use"))
+    return docs.alias("d").join(hits.alias("h"), F.expr("d.id = h.id and d.t = h.t and d.u = h.u"), "left").select("d.id", "d.text", "d.t", "d.u", "h.use")
 
 
 def usable(batch: pa.RecordBatch, a: int, b: int, of: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Which places (k of document a + of) are among those that rows [a, b) of a batch from with_places name."""
-    lists = batch.column(3).slice(a, b - a)
+    lists = batch.column(4).slice(a, b - a)
     named = np.repeat(np.arange(b - a), lists.value_lengths().fill_null(0).to_numpy()) << 32 | lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     return np.isin(of << 32 | k, named)
 

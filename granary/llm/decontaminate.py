@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._shared import documents, id_out, keyed
+from ._shared import documents, id_out, keyed, over_rows
 
 MIN_MATCH = 4
 COVERAGE = 0.5
@@ -186,24 +187,46 @@ def _match(block, least: int, coverage: float):
     return task
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = MIN_MATCH, coverage: float = COVERAGE, short_items: bool = False) -> DataFrame:
-    """One row per document and benchmark item whose coverage reaches the threshold, with the tiles (in words)."""
-    spark = df.sparkSession
-    docs, items = keyed(df, id_col, text_col), keyed(benchmark, item_id, item_text).where("text IS NOT NULL")
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, least: int, short_items: bool) -> Iterator[_Items]:
+    """The items in blocks of BLOCK_BYTES, one at a time on the driver."""
+    items = keyed(benchmark, item_id, item_text).where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    out = None
     for k in range(n_blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k).collect() if n_blocks > 1 else items.collect()
         raw = [r["text"].encode() for r in rows]
         hashes, item = _words(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
-        block = _Items(np.array([r["id"] for r in rows], dtype=np.int64), hashes, item, least, short_items)
-        if not block and not (out is None and k == n_blocks - 1):
-            continue
-        found = docs.mapInArrow(B.lean(_match(spark.sparkContext.broadcast(block), least, coverage)), _OUT) if block else spark.createDataFrame([], _OUT)
-        out = found if out is None else out.unionByName(found)
+        yield _Items(np.array([r["id"] for r in rows], dtype=np.int64), hashes, item, least, short_items)
+
+
+def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = MIN_MATCH, coverage: float = COVERAGE, short_items: bool = False) -> DataFrame:
+    """One row per document and benchmark item whose coverage reaches the threshold, with the tiles (in words)."""
+    spark, docs = df.sparkSession, keyed(df, id_col, text_col)
+    found = [docs.mapInArrow(B.lean(_match(spark.sparkContext.broadcast(block), least, coverage)), _OUT) for block in _blocks(benchmark, item_id, item_text, least, short_items) if block]
+    out = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _OUT)
     return out.select(id_out(id_col), id_out(item_id, "item"), "n_item_words", "n_tiles", "n_matched", "coverage", "tiles")
 
 
+def keep_clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = MIN_MATCH, coverage: float = COVERAGE, short_items: bool = False) -> DataFrame:
+    """The rows of df, all columns, that cover too little of every item: each row is decided by its own text, whatever its id."""
+
+    def finish(batch: pa.RecordBatch, result: pa.RecordBatch) -> pa.RecordBatch:
+        clean = np.ones(batch.num_rows, dtype=bool)
+        clean[result.column(0).to_numpy()] = False
+        return batch.filter(pa.array(clean))
+
+    def rows_of(match):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([i for found in match(iter([batch])) for i in found.column(0).to_pylist()], pa.int64())], ["row"])
+
+        return task
+
+    for block in _blocks(benchmark, item_id, item_text, least, short_items):
+        if block:
+            df = over_rows(df, text_col, rows_of(_match(df.sparkSession.sparkContext.broadcast(block), least, coverage)), finish)
+    return df
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("tiles")

@@ -5,8 +5,8 @@ probability of a word is the sum over every way to cut it into pieces, by the
 forward algorithm; a text's is the product over its words (runs of letters,
 ASCII lower-cased, each after a space).  The distributions are fitted by
 expectation maximisation over the same sums, on a bounded sample of labelled
-documents: about PER_LANGUAGE a language, drawn by a hash of id and text, whole
-texts; of more than MOST_LANGUAGES values those with the most documents are
+documents: about PER_LANGUAGE different texts a language, drawn by a hash of the
+text, all of them where there are no more; whole texts; of more than MOST_LANGUAGES values those with the most documents are
 learnt.  Every document is then scored whole; words are scored once per slice of
 texts and looked up from there.
 
@@ -254,20 +254,22 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def is_drawn(have: Column, per_language: int, *key: Column) -> Column:
-    """Whether a row of a language with `have` rows is in the sample of about per_language of them, by a hash of its key."""
+    """Whether a text of a language with `have` different ones is in the sample of about per_language of them, by a hash of its key."""
     draw = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *key), 1).cast("double") / float(1 << 63)
     return draw < F.lit(float(per_language)) / have
 
 
-def train(df: DataFrame, key: str, lang_col: str, text_col: str, path: str = VOCABULARY, per_language: int = PER_LANGUAGE) -> tuple[list[str], Pieces, np.ndarray]:
+def train(df: DataFrame, lang_col: str, text_col: str, path: str = VOCABULARY, per_language: int = PER_LANGUAGE) -> tuple[list[str], Pieces, np.ndarray]:
     """The languages, the vocabulary and a column of piece probabilities per language.
 
-    The sample whose word counts come to the driver has about per_language documents a language, whatever the size of df.
+    The sample whose word counts come to the driver has about per_language different texts a language, whatever the size of df
+    and however often a text is repeated.
     """
-    labelled = df.select(named(lang_col).cast("string").alias("lang"), named(text_col).cast("string").alias("text"), named(key).cast("string").alias("key")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("have")).orderBy(F.desc("have"), "lang").limit(MOST_LANGUAGES).collect()
-    sizes = F.broadcast(df.sparkSession.createDataFrame([(r["lang"], r["have"]) for r in sizes], "of string, have long"))
-    drawn = labelled.join(sizes, F.col("lang") == F.col("of")).where(is_drawn(F.col("have"), per_language, F.col("key"), F.col("text"))).select("lang", "text")
+    labelled = df.select(named(lang_col).cast("string").alias("lang"), named(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL").withColumns({"t": F.xxhash64("text"), "u": F.xxhash64(F.lit("u"), "text")})
+    sizes = labelled.groupBy("lang", "t", "u").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("have"), F.count("*").alias("texts")).orderBy(F.desc("have"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = F.broadcast(df.sparkSession.createDataFrame([(r["lang"], r["texts"]) for r in sizes], "of string, texts long"))
+    drawn = labelled.join(sizes, F.col("lang") == F.col("of")).where(is_drawn(F.col("texts"), per_language, F.col("t"), F.col("u")))
+    drawn = drawn.groupBy("lang", "t", "u").agg(F.first("text").alias("text")).select("lang", "text")  # copies of a drawn text count once
     counts = drawn.mapInArrow(B.lean(_word_counts), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     pieces = Pieces(vocabulary(path))
     languages = sorted(counts["lang"].unique().tolist(), key=lambda x: x.encode())
@@ -329,7 +331,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(docs: DataFrame, path: str = VOCABULARY):
-    return train(docs.where(~held_out()), "doc_id", "lang", "text", path)
+    return train(docs.where(~held_out()), "lang", "text", path)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

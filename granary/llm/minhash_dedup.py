@@ -43,11 +43,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import _bytes as B
 from . import _sketch as S
 from ._graph import components
-from ._shared import documents, durable, id_out, keyed
+from ._shared import documents, durable, fresh, id_out, keyed, named
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -152,9 +153,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signed: list[bytes | None] = [None] * (b - a)
             for k, at in enumerate(some.tolist()):
                 signed[at] = raw[k * 2 * K : (k + 1) * 2 * K]
+            more = batch.columns[2:]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[a:b]), *(pa.array(digest[:, k].copy().view(np.int64), mask=none) for k in (0, 1)), pa.array(signed, pa.binary())],
-                ["id", "d1", "d2", "sig"],
+                [pa.array(ids[a:b]), *(pa.array(digest[:, k].copy().view(np.int64), mask=none) for k in (0, 1)), pa.array(signed, pa.binary()), *(c.slice(a, b - a) for c in more)],
+                ["id", "d1", "d2", "sig", *batch.schema.names[2:]],
             )
 
 
@@ -361,10 +363,13 @@ def _missed(first: DataFrame, found: DataFrame, bags: DataFrame, similarity: flo
     return cells.groupBy("key", "i", "j").applyInArrow(_links(similarity), "u long, v long").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of df: id_col and class_id, the least id of its text's class."""
-    docs = keyed(df, id_col, text_col)
-    signed = durable(docs.mapInArrow(B.lean(_sign), "id long, d1 long, d2 long, sig binary"))
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (d1, d2, class, first, rows, component) of the texts that occur in several rows or have links.
+
+    docs: (id, text, and what signed rows keep beside).  class: the least id of the text's class; first: that of the text;
+    component: what texts of one class have in common, null without links.
+    """
+    signed = durable(docs.mapInArrow(B.lean(_sign), "id long, d1 long, d2 long, sig binary" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema[2:])))
     # A text is known by a key of its own from here on: ids may be null or shared.
     reps = signed.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("sig").alias("sig"))
     reps = durable(reps.withColumn("rid", F.monotonically_increasing_id()))
@@ -410,10 +415,69 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = durable(found.join(reps.select("rid", "id"), F.col("node") == F.col("rid")).groupBy(F.col("least").alias("of")).agg(F.min("id").alias("class")))
     # Texts that occur once and have no link are their own class: they need no join.
     classes = reps.select("rid", "d1", "d2", F.col("id").alias("first"), "rows").join(found, F.col("rid") == F.col("node"), "left").where("rows > 1 OR node IS NOT NULL")
-    classes = durable(classes.join(least, F.col("least") == F.col("of"), "left").select("d1", "d2", F.coalesce("class", "first").alias("class")))
+    return signed, durable(classes.join(least, F.col("least") == F.col("of"), "left").select("d1", "d2", F.coalesce("class", "first").alias("class"), "first", "rows", F.col("least").alias("component")))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of df: id_col and class_id, the least id of its text's class."""
+    signed, classes = _classes(keyed(df, id_col, text_col), similarity)
+    classes = classes.select("d1", "d2", "class")
     out = signed.select("id", "d1", "d2").join(classes, ["d1", "d2"], "left").select("id", F.coalesce("class", "id").alias("class"))
     return out.select(id_out(id_col), id_out("class_id", "class"))
 
 
+#: Texts up to which what becomes of them is broadcast (50 bytes each); more are joined by a shuffle.
+BROADCAST_TEXTS = 200_000
+
+
+def _with_digest(schema: StructType, at: int):
+    """Whole rows, and the 128 bits of their words after them (null without words)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some, digests = [], []
+            for a, b, data, offsets in B.slices(batch, at):
+                start, end, doc = B.words(data, offsets)
+                size = np.bincount(doc, minlength=b - a)
+                hashes, last = B.word_hashes(data, start, end), np.cumsum(size)
+                some.append(size > 0)
+                digests.append(np.stack([B.spans_hash(hashes, last - size, last, seed) for seed in (0, 1)], axis=1) if len(hashes) else np.zeros((b - a, 2), np.uint64))
+            none, digest = ~np.concatenate(some), np.concatenate(digests)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(digest[:, k].copy().view(np.int64), mask=none) for k in (0, 1))], schema.names)
+
+    return task
+
+
+def one_of_each_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of df, all columns, without near-duplicates: of each class of texts one row stays, that of the least id.
+
+    Classes are of texts, so rows without an id, or of one id, stay when their texts are like no other.  Of equal texts under
+    the least id the row with the least hash of all its columns stays; rows without words are like no other.
+    """
+    x, d1, d2, t1, t2, stay, one = (fresh(df, c) for c in ("row_hash", "d1", "d2", "t1", "t2", "stays", "one"))
+    hashed = df.withColumn(x, F.xxhash64(*[named(f.name) for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]))
+    signed, classes = _classes(keyed(hashed, id_col, text_col, x), similarity)
+    keep = classes.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("first", "d1", "d2")).alias("k"))
+    stays = F.coalesce((F.col("d1") == F.col("k.d1")) & (F.col("d2") == F.col("k.d2")), F.lit(True))
+    decided = classes.join(keep, "component", "left").select("d1", "d2", "rows", stays.alias("stays"))
+    # Which of the rows of an equal text: the least (id, hash), and whether rows agree in both.
+    several = decided.where("stays AND rows > 1").select(F.col("d1").alias("s1"), F.col("d2").alias("s2"))
+    same = (F.col("d1") == F.col("s1")) & (F.col("d2") == F.col("s2"))
+    rows = signed.join(several, same, "left_semi").groupBy("d1", "d2", "id", "x").agg(F.count("*").alias("n")).groupBy("d1", "d2").agg(F.min(F.struct("id", "x", "n")).alias("one"))
+    decided = durable(decided.join(rows, ["d1", "d2"], "left").select(F.col("d1").alias(t1), F.col("d2").alias(t2), F.col("stays").alias(stay), F.col("one").alias(one)))
+    known = F.broadcast(decided) if decided.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else decided
+    schema = StructType([*hashed.schema.fields, StructField(d1, LongType()), StructField(d2, LongType())])
+    digested = hashed.mapInArrow(B.lean(_with_digest(schema, hashed.columns.index(text_col))), schema)
+    joined = digested.join(known, (F.col(d1) == F.col(t1)) & (F.col(d2) == F.col(t2)), "left")
+    own = (F.coalesce(named(id_col).cast("long"), F.lit(B.LAST_ID)) == F.col(f"{one}.id")) & (F.col(x) == F.col(f"{one}.x"))
+    kept = joined.where(F.col(stay).isNull() | (F.col(stay) & F.coalesce(own, F.lit(True))))
+    columns = [named(c) for c in df.columns]
+    if decided.where(f"{one}.n > 1").isEmpty():
+        return kept.select(*columns)
+    twice = F.coalesce(F.col(f"{one}.n"), F.lit(1)) > 1
+    rest = kept.where(twice).groupBy(d1, d2).agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
+    return kept.where(~twice).select(*columns).unionByName(rest)
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

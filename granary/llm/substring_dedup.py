@@ -14,7 +14,8 @@ passage), a second set of bits marks it and its windows are grouped one by one.
 
 Results for odd input: a null text has no words; a null id counts as greater
 than any other id and is returned as null; rows that share an id are one
-document as far as "smaller id" goes and each has its own result; texts under
+document as far as "smaller id" goes and each has its own result (128 bits of the text tell
+them apart); texts under
 the window's length lose nothing; an empty table gives no rows.  Other columns
 are not read.
 """
@@ -77,11 +78,11 @@ def _starts(doc: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndar
 
 
 def _places(sketch, window: int, anchor: int):
-    """(a, id, t, k): anchors whose count is estimated at two or more, and the segments they stand in."""
+    """(a, id, t, u, k): anchors whose count is estimated at two or more, and the segments they stand in."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = B.ids(batch), batch.column(2).to_numpy(zero_copy_only=False)
+            ids, tags = B.ids(batch), S.tags(batch)
             for a, _, data, offsets in B.slices(batch):
                 _, doc, at, grams, place = _anchored(data, offsets, window, anchor)
                 if not len(at):
@@ -89,17 +90,17 @@ def _places(sketch, window: int, anchor: int):
                 first, of, k = _starts(doc, at, place)
                 keep = sketch.value(grams[first])
                 of = of[keep]
-                yield pa.RecordBatch.from_arrays([B.longs(grams[first[keep]]), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array(k[keep].astype(np.int32))], ["a", "id", "t", "k"])
+                yield pa.RecordBatch.from_arrays([B.longs(grams[first[keep]]), pa.array(ids[a + of]), *S.tag_columns(tags[a + of]), pa.array(k[keep].astype(np.int32))], ["a", "id", "t", "u", "k"])
 
     return task
 
 
 def _segments(sketch, window: int, anchor: int):
-    """(a, s1, s2, id, t, at, n) of each segment of n windows over one anchor that passes the sketch, or that the rows name."""
+    """(a, s1, s2, id, t, u, at, n) of each segment of n windows over one anchor that passes the sketch, or that the rows name."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = B.ids(batch), batch.column(2).to_numpy(zero_copy_only=False)
+            ids, tags = B.ids(batch), S.tags(batch)
             for a, b, data, offsets in B.slices(batch):
                 hashes, doc, at, grams, place = _anchored(data, offsets, window, anchor)
                 if not len(at):
@@ -115,19 +116,19 @@ def _segments(sketch, window: int, anchor: int):
                 n = (last - first + 1).astype(np.uint64)
                 s1, s2 = (B.joined(w[at[first]], w[at[last]] + n, seed) for seed, w in enumerate(_windows_hash(hashes, window)))
                 yield pa.RecordBatch.from_arrays(
-                    [B.longs(grams[first]), B.longs(s1), _half(s2), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array((start - np.searchsorted(doc, of)).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
-                    ["a", "s1", "s2", "id", "t", "at", "n"],
+                    [B.longs(grams[first]), B.longs(s1), _half(s2), pa.array(ids[a + of]), *S.tag_columns(tags[a + of]), pa.array((start - np.searchsorted(doc, of)).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
+                    ["a", "s1", "s2", "id", "t", "u", "at", "n"],
                 )
 
     return task
 
 
 def _windows(marked, window: int, anchor: int):
-    """(h1, h2, id, t, at) of every window over a marked anchor, or in a segment that the rows name."""
+    """(h1, h2, id, t, u, at) of every window over a marked anchor, or in a segment that the rows name."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = B.ids(batch), batch.column(2).to_numpy(zero_copy_only=False)
+            ids, tags = B.ids(batch), S.tags(batch)
             for a, b, data, offsets in B.slices(batch):
                 hashes, doc, at, grams, place = _anchored(data, offsets, window, anchor)
                 if not len(at):
@@ -143,8 +144,8 @@ def _windows(marked, window: int, anchor: int):
                 of = doc[at]
                 h1, h2 = (w[at] for w in _windows_hash(hashes, window))
                 yield pa.RecordBatch.from_arrays(
-                    [B.longs(h1), _half(h2), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array((at - np.searchsorted(doc, of)).astype(np.int32))],
-                    ["h1", "h2", "id", "t", "at"],
+                    [B.longs(h1), _half(h2), pa.array(ids[a + of]), *S.tag_columns(tags[a + of]), pa.array((at - np.searchsorted(doc, of)).astype(np.int32))],
+                    ["h1", "h2", "id", "t", "u", "at"],
                 )
 
     return task
@@ -205,21 +206,21 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
     expected = S.text_bytes(docs, "text") / 6 / ((window - anchor + 2) / 2)
     share = spark.sparkContext.broadcast
     seen = share(S.repeated(docs, _anchor_keys(window, anchor), expected))
-    tagged = docs.withColumn("t", F.hash("text"))
+    tagged = S.tagged(docs)
     named = worth = tagged
     if S.crowded(expected):
-        places = durable(tagged.mapInArrow(B.lean(_places(seen, window, anchor)), "a long, id long, t int, k int"))
+        places = durable(tagged.mapInArrow(B.lean(_places(seen, window, anchor)), "a long, id long, t long, u long, k int"))
         named, seen = S.with_places(tagged, places, places.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")), None
-    segments = named.mapInArrow(B.lean(_segments(seen, window, anchor)), "a long, s1 long, s2 int, id long, t int, at int, n int")
+    segments = named.mapInArrow(B.lean(_segments(seen, window, anchor)), "a long, s1 long, s2 int, id long, t long, u long, at int, n int")
     differ = segments.groupBy("a").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.min("s2").alias("lo2"), F.max("s2").alias("hi2")).where("lo < hi or lo2 < hi2")
     if seen:
         marked = share(S.members(differ, "a", expected / 4))
     else:
         worth, marked = S.with_places(tagged, places, differ.select("a")), None
-    rows = worth.mapInArrow(B.lean(_windows(marked, window, anchor)), "h1 long, h2 int, id long, t int, at int")
-    later = _later(segments, "s1", ["s2"]).select("id", "t", "at", "n").unionByName(_later(rows, "h1", ["h2"]).select("id", "t", "at", F.lit(1).alias("n")))
-    again = later.groupBy("id", "t").agg(F.collect_set(F.struct("at", "n")).alias("at"))
-    joined = tagged.alias("d").join(again.alias("a"), F.expr("d.id = a.id and d.t = a.t"), "left").select("d.id", "d.text", "a.at")
+    rows = worth.mapInArrow(B.lean(_windows(marked, window, anchor)), "h1 long, h2 int, id long, t long, u long, at int")
+    later = _later(segments, "s1", ["s2"]).select("id", "t", "u", "at", "n").unionByName(_later(rows, "h1", ["h2"]).select("id", "t", "u", "at", F.lit(1).alias("n")))
+    again = later.groupBy("id", "t", "u").agg(F.collect_set(F.struct("at", "n")).alias("at"))
+    joined = tagged.alias("d").join(again.alias("a"), F.expr("d.id = a.id and d.t = a.t and d.u = a.u"), "left").select("d.id", "d.text", "a.at")
     out = joined.mapInArrow(B.lean(_cut(window)), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:int,end:int>>")
     return out.select(id_out(id_col), "n_words", "n_removed", "kept_sha256", "kept_text", "removed")
 

@@ -130,11 +130,11 @@ def _starts(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, place: np.nda
 
 
 def _places(sketch, length: int, anchor: int):
-    """(a, id, t, k): anchors whose count is estimated at two or more, and the segments they stand in."""
+    """(a, id, t, u, k): anchors whose count is estimated at two or more, and the segments they stand in."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = B.ids(batch), batch.column(2).to_numpy(zero_copy_only=False)
+            ids, tags = B.ids(batch), S.tags(batch)
             for a, _, data, offsets in B.slices(batch, most=SLICE):
                 at, place, grams, _ = _anchored(data, offsets, length, anchor)
                 if not len(at):
@@ -143,18 +143,18 @@ def _places(sketch, length: int, anchor: int):
                 key = grams[place[first]]
                 keep = sketch.value(key)
                 of = of[keep]
-                yield pa.RecordBatch.from_arrays([B.longs(key[keep]), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array(k[keep].astype(np.int32))], ["a", "id", "t", "k"])
+                yield pa.RecordBatch.from_arrays([B.longs(key[keep]), pa.array(ids[a + of]), *S.tag_columns(tags[a + of]), pa.array(k[keep].astype(np.int32))], ["a", "id", "t", "u", "k"])
 
     return task
 
 
-_SEGMENT = "a long, s long, id long, t int, at long, n int, seg binary"
+_SEGMENT = "a long, s long, id long, t long, u long, at long, n int, seg binary"
 
 
 def _segments(sketch, length: int, anchor: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = B.ids(batch), batch.column(2).to_numpy(zero_copy_only=False)
+            ids, tags = B.ids(batch), S.tags(batch)
             for a, b, data, offsets in B.slices(batch, most=SLICE):
                 at, place, grams, whole = _anchored(data, offsets, length, anchor)
                 if not len(at):
@@ -172,32 +172,33 @@ def _segments(sketch, length: int, anchor: int):
                 s = B.joined(whole[at[first]], whole[at[last]] + n)
                 raw = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [B.longs(key), B.longs(s), pa.array(ids[a + of]), pa.array(tags[a + of]), pa.array(start - offsets[of]), pa.array((last - first + 1).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())],
-                    ["a", "s", "id", "t", "at", "n", "seg"],
+                    [B.longs(key), B.longs(s), pa.array(ids[a + of]), *S.tag_columns(tags[a + of]), pa.array(start - offsets[of]), pa.array((last - first + 1).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())],
+                    ["a", "s", "id", "t", "u", "at", "n", "seg"],
                 )
 
     return task
 
 
-_MARKS = "open boolean, h1 long, h2 long, id long, t int, at long, n int"
+_MARKS = "open boolean, h1 long, h2 long, id long, t long, u long, at long, n int"
 
 
 def _marks(h: tuple[np.ndarray, np.ndarray] | None, id: np.ndarray, t: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     """Strings to remove, n from `at` on; or, with digests, earliest strings that other shards may hold too."""
     none = pa.nulls(len(id), pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(id), h is not None)), *([B.longs(h[0]), B.longs(h[1])] if h else [none, none]), pa.array(id), pa.array(t), pa.array(at), pa.array(n.astype(np.int32))],
-        ["open", "h1", "h2", "id", "t", "at", "n"],
+        [pa.array(np.full(len(id), h is not None)), *([B.longs(h[0]), B.longs(h[1])] if h else [none, none]), pa.array(id), *S.tag_columns(t), pa.array(at), pa.array(n.astype(np.int32))],
+        ["open", "h1", "h2", "id", "t", "u", "at", "n"],
     )
 
 
 def shard_marks(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    """The marks of one shard, whose segments are in order of (a, s, id, t, at).
+    """The marks of one shard, whose segments are in order of (a, s, id, t, u, at).
 
     Equal anchors and equal hashes of the whole segments, 128 bits, are equal segments.
     """
-    a, s, id, t, at, n = (table.column(k).to_numpy() for k in range(6))
-    raw, offsets = B.text_buffers(table.column(6).combine_chunks())
+    a, s, id, t, u, at, n = (table.column(k).to_numpy() for k in range(7))
+    t = S.packed_tags(t, u)
+    raw, offsets = B.text_buffers(table.column(7).combine_chunks())
     new = np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])]
     first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
     later = (id != id[first]) | (t != t[first]) | (at != at[first])  # not the first itself, as repeated rows are
@@ -221,7 +222,7 @@ def shard_marks(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     group = np.cumsum(shared < length)
     place = np.flatnonzero(whole[order])
     group, here = group[place], order[place]
-    _, doc = np.unique(np.stack([id, t]), axis=1, return_inverse=True)
+    _, doc = np.unique(np.stack([id, t["t"], t["u"]]), axis=1, return_inverse=True)
     by = np.lexsort((at[of[here]] + inner[here], doc.reshape(-1)[of[here]], group))
     group, here = group[by], here[by]
     later = np.r_[False, group[1:] == group[:-1]]
@@ -251,7 +252,7 @@ def _shards(length: int):
                 part = batch.slice(a, SHARD_ROWS)
                 a += part.num_rows
                 held.append(part)
-                size += int(pc.sum(pc.binary_length(part.column(6))).as_py())
+                size += int(pc.sum(pc.binary_length(part.column(7))).as_py())
                 if size >= SHARD_BYTES:
                     yield from shard_marks(pa.Table.from_batches(held), length)
                     held, size = [], 0
@@ -262,10 +263,11 @@ def _shards(length: int):
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by (h1, h2, id, t, at): of each equal run, found by binary search, all but the first string go."""
+    """Rows come ordered by (h1, h2, id, t, u, at): of each equal run, found by binary search, all but the first string go."""
     last = None  # of the run that may go on: its digest and its first string
     for batch in batches:
-        h1, h2, id, t, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        h1, h2, id, t, u, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        t = S.packed_tags(t, u)
         if not len(h1):
             continue
         digest = h1.astype(object) * 2**64 + h2 if (h1[1:] == h1[:-1]).any() and (h2[1:][h1[1:] == h1[:-1]] != h2[:-1][h1[1:] == h1[:-1]]).any() else h1
@@ -275,7 +277,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             id1[first == 0], t1[first == 0], at1[first == 0] = last[1]
         later = (id != id1) | (t != t1) | (at != at1)
         last = (h1[-1], h2[-1]), (id1[-1], t1[-1], at1[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(id[later]), pa.array(t[later]), pa.array(at[later]), pa.array(np.ones(int(later.sum()), dtype=np.int32))], ["id", "t", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(id[later]), *S.tag_columns(t[later]), pa.array(at[later]), pa.array(np.ones(int(later.sum()), dtype=np.int32))], ["id", "t", "u", "at", "n"])
 
 
 def _cut(length: int):
@@ -317,19 +319,19 @@ def remove_repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str
     docs = keyed(df, id_col, text_col)
     expected = S.text_bytes(docs, "text") / ((length - anchor + 2) / 2)
     seen = spark.sparkContext.broadcast(S.repeated(docs, _anchor_keys(length, anchor), expected))
-    tagged = docs.withColumn("t", F.hash("text"))
+    tagged = S.tagged(docs)
     named = tagged
     if S.crowded(expected):
-        places = durable(tagged.mapInArrow(B.lean(_places(seen, length, anchor)), "a long, id long, t int, k int"))
+        places = durable(tagged.mapInArrow(B.lean(_places(seen, length, anchor)), "a long, id long, t long, u long, k int"))
         named, seen = S.with_places(tagged, places, places.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")), None
     segments = named.mapInArrow(B.lean(_segments(seen, length, anchor)), _SEGMENT)
-    in_order = segments.repartitionByRange("a", "s", "id", "t", "at").sortWithinPartitions("a", "s", "id", "t", "at")
+    in_order = segments.repartitionByRange("a", "s", "id", "t", "u", "at").sortWithinPartitions("a", "s", "id", "t", "u", "at")
     marks = durable(in_order.mapInArrow(B.lean(_shards(length)), _MARKS))
-    edges = marks.where("open").select("h1", "h2", "id", "t", "at")
-    merged = edges.repartitionByRange("h1").sortWithinPartitions("h1", "h2", "id", "t", "at").mapInArrow(_merge, "id long, t int, at long, n int")
-    later = marks.where("not open").select("id", "t", "at", "n").unionByName(merged)
-    again = later.groupBy("id", "t").agg(F.collect_set(F.struct("at", "n")).alias("marks"))  # repeated rows mark the same
-    joined = tagged.alias("d").join(again.alias("a"), F.expr("d.id = a.id and d.t = a.t"), "left").select("d.id", "d.text", "a.marks")
+    edges = marks.where("open").select("h1", "h2", "id", "t", "u", "at")
+    merged = edges.repartitionByRange("h1").sortWithinPartitions("h1", "h2", "id", "t", "u", "at").mapInArrow(_merge, "id long, t long, u long, at long, n int")
+    later = marks.where("not open").select("id", "t", "u", "at", "n").unionByName(merged)
+    again = later.groupBy("id", "t", "u").agg(F.collect_set(F.struct("at", "n")).alias("marks"))  # repeated rows mark the same
+    joined = tagged.alias("d").join(again.alias("a"), F.expr("d.id = a.id and d.t = a.t and d.u = a.u"), "left").select("d.id", "d.text", "a.marks")
     out = joined.mapInArrow(B.lean(_cut(length)), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary, removed array<struct<start:long,end:long>>")
     return out.select(id_out(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "removed")
 

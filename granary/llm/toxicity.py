@@ -135,6 +135,7 @@ def train(df: DataFrame, labels: DataFrame, categories: Sequence, id_col: str =
     """labels: id_col and what `categories` (columns of 0 and 1, in the order of the chain) are made from."""
     y = F.array(*[c.cast("int") for c in categories])
     known = labels.select(named(id_col).cast("long").alias("of"), y.alias("y")).where("of IS NOT NULL").where(~F.exists("y", lambda v: v.isNull())).distinct()
+    known = known.join(keyed(df, id_col, text_col).select("id"), F.col("of") == F.col("id"), "left_semi")  # labels of other ids teach nothing
     drawn = known.withColumn("draw", F.xxhash64("of", "y")).orderBy("draw", "of").limit(sample)
     # At most `sample` rows: small enough to broadcast whatever the tables hold.
     rows = keyed(df, id_col, text_col).join(F.broadcast(drawn), F.col("id") == F.col("of"))

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import language_id as L
 
@@ -67,8 +68,6 @@ def test_fitting_on_long_words(model):
 
 
 def test_sample_of_any_count(spark):
-    from pyspark.sql import functions as F
-
     rows = spark.range(200_000)
     for have, least, most in ((200_000, 300, 500), (100, 200_000, 200_000)):
         n = rows.where(L.is_drawn(F.lit(have), 400, F.col("id").cast("string"))).count()
@@ -83,5 +82,16 @@ def test_sample_of_any_count(spark):
 def test_more_languages_than_are_learnt(spark, monkeypatch):
     monkeypatch.setattr(L, "MOST_LANGUAGES", 2)
     rows = [(k, "hello there my friend", "en") for k in range(3)] + [(9, "guten tag", "de"), (10, "bonjour", "fr"), (11, "guten morgen", "de")]
-    languages, _, p = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "lang", "text")
+    languages, _, p = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", "text")
     assert languages == ["de", "en"] and p.shape[1] == 2
+
+
+def test_repeated_rows_neither_hide_nor_fill_a_language(spark):
+    """A language of one text many times over is learnt, from that text once, beside one of many texts."""
+    one = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("der eine satz den alle kennen").alias("text"), F.lit("de").alias("lang"))
+    two = spark.range(3_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("una frase sola").alias("text"), F.lit("es").alias("lang"))
+    many = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("the word number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    languages, pieces, p = L.train(one.unionByName(two).unionByName(many), "lang", "text")
+    assert languages == ["de", "en", "es"]
+    same = L.train(one.limit(1).unionByName(two.limit(1)).unionByName(many), "lang", "text")[2]
+    assert np.allclose(p, same)

@@ -8,6 +8,7 @@ import time
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_exact import brute_tiles
 
 from granary.llm import _bytes, decontaminate, license_scan, minhash_dedup, quality_rules, secret_scan, source_mixing, substring_dedup, suffix_dedup, toxicity
@@ -300,3 +301,13 @@ def test_more_keys_than_the_sketch_tells_apart(frame, corpus, odd, full, monkeyp
     got = [tuple(r) for r in suffix_dedup.remove_repeated_strings(frame(corpus)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     assert sorted(got) == sorted(brute.strings_removed(corpus, 100))
     assert substring_dedup.remove_repeated_windows(frame(odd)).count() == suffix_dedup.remove_repeated_strings(frame(odd)).count() == len(odd)
+
+
+def test_labels_of_other_ids_do_not_fill_the_sample(spark):
+    rows = [(k, ("vile nasty words " if k % 2 else "kind gentle words ") + f"text {k}") for k in range(200)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(200)], "doc_id long, quality int, toxic int")
+    more = spark.range(10_000, 60_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, labels.unionByName(more), [1 - F.col("quality"), F.col("toxic")], sample=300)
+    got = {r.doc_id: r.toxic for r in toxicity.classify(docs, model, ["low_quality", "toxic"]).collect()}
+    assert got == {k: bool(k % 2) for k, _ in rows}
