@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import decontaminate, language_id, minhash_dedup, secret_scan, source_mixing
-from granary.llm._shared import documents, durable, one_row_per_id, without
+from granary.llm._shared import documents, durable
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,21 +18,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each class of near-duplicates; of rows that share an id, one.
-
-    That one is settled before classes are, so a document is dropped only for a text that stays.  Rows without an id stand
-    for no other document; as one document they go together when one of them is a near-duplicate of a row with an id.
-    """
-    docs = one_row_per_id(docs, "doc_id", "text", nulls=False)
-    classes = durable(minhash_dedup.near_duplicates(docs))
-    gone = classes.where("NOT (doc_id <=> class_id)").select("doc_id")
-    return one_row_per_id(without(docs, "doc_id", gone), "doc_id", "text")
+    """Keep one row of each class of near-duplicate texts, that of the least id; a text like no other stays, whatever its id."""
+    return minhash_dedup.one_of_each_class(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that cover enough of a benchmark item."""
-    found = durable(decontaminate.contaminated(docs, documents(spark, sf_dir, "benchmark")).select("doc_id"))
-    return without(docs, "doc_id", found)
+    """Drop rows whose text covers enough of a benchmark item."""
+    return decontaminate.keep_clean(docs, documents(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
