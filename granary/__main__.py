@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.aggregates import merged_dependencies
-from .operators.sbom import cyclonedx, sbom_components, spdx, stamp
 from .operators.components import tree
+from .operators.documents import cyclonedx, spdx
+from .operators.sbom import sbom_components, stamp
 from .plans import info, outputs, progress
 from .plans.scan import aggregate, scan
 from .sources import config

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ancestors
 from ..functions.versions import resolved
+from .documents import tree_documents
 from .listings import nearest_versions, package_key
 
 #: Lockfiles, whose versions stand before those that manifests declare.
@@ -71,19 +71,9 @@ def unresolved(deps: DataFrame) -> DataFrame:
 def tree(components: DataFrame, root_id: str, parts: Mapping[str, DataFrame]) -> str:
     """The nested document of one system: each component with its rows of `parts` (by component_id) and its children.
 
-    Rows of a single system come to the driver; a corpus of many is written in long form instead.
+    Put together by executors (documents.py, for many systems at once); its one row comes to the driver.
     """
-    nodes = {r["component_id"]: {k: v for k, v in r.asDict(recursive=True).items() if v is not None} for r in components.orderBy("dir", "name").collect()}
-    for name, df in parts.items():
-        for r in df.collect():
-            row = r.asDict(recursive=True)
-            if (owner := row.pop("component_id")) in nodes:
-                nodes[owner].setdefault(name, []).append(row)
-    for key, node in nodes.items():
-        node.setdefault("tech", [])
-        if key != root_id:
-            nodes[node.get("parent_id", root_id)].setdefault("children", []).append(node)
-    for node in nodes.values():
-        for drop in ("parent_id", "depth", "walk_order"):
-            node.pop(drop, None)
-    return json.dumps(nodes[root_id], ensure_ascii=False, default=str)
+    tech = F.coalesce("tech", F.array().cast("array<string>")) if "tech" in components.columns else F.array().cast("array<string>")
+    root = F.lit(root_id).alias("root_id")
+    nodes = components.withColumn("tech", tech).withColumn("parent_id", F.when(F.col("component_id") != root_id, F.coalesce("parent_id", F.lit(root_id)))).select("*", root)
+    return tree_documents(nodes, {name: rows.select("*", root) for name, rows in parts.items()}).first()["document"]

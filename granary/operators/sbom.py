@@ -6,7 +6,6 @@ import json
 import uuid
 from collections.abc import Mapping
 from datetime import datetime
-from types import MappingProxyType
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,24 +45,6 @@ def user_properties(properties: Mapping[str, object]) -> list[dict[str, str]]:
     return [{"name": k, "value": plain[k]} for k in sorted(plain)]
 
 
-def cyclonedx(components: DataFrame, root: str = "", properties: Mapping[str, object] = MappingProxyType({})) -> str:
-    """A CycloneDX 1.7 document of component rows, ordered by package URL and name.  For one system at a time: it comes to the driver."""
-    rows = components.orderBy("purl", "name", "version").collect()
-    out: dict = {"$schema": "http://cyclonedx.org/schema/bom-1.7.schema.json", "bomFormat": "CycloneDX", "specVersion": "1.7", "version": 1}
-    if root:
-        out["metadata"] = {"component": {"type": "application", "name": root}}
-    if user_properties(properties):
-        out.setdefault("metadata", {})["properties"] = user_properties(properties)
-    out["components"] = []
-    for r in rows:
-        one = {"type": "library", "name": r["name"], "version": r["version"], "purl": r["purl"], "scope": r["scope"]}
-        one = {k: v for k, v in one.items() if v}
-        if r["license"]:
-            one["licenses"] = [{"license": {"id": r["license"]}}]
-        out["components"].append(one)
-    return json.dumps(out, ensure_ascii=False)
-
-
 def stamp(document: str, now: datetime) -> str:
     """The document with a serial number and a time, which differ from run to run."""
     out = json.loads(document)
@@ -72,22 +53,7 @@ def stamp(document: str, now: datetime) -> str:
     return json.dumps(out, ensure_ascii=False)
 
 
-def spdx_packages(components: DataFrame) -> DataFrame:
-    """(spdx_id, name, version, purl), one per id; licenses are not asserted."""
+def spdx_packages(components: DataFrame, *keys: str) -> DataFrame:
+    """(keys, spdx_id, name, version, purl), one per id; licenses are not asserted."""
     key = F.concat(F.lit("SPDXRef-Package-"), digest(16, F.coalesce(F.nullif("purl", F.lit("")), F.concat_ws("@", "name", "version"))))
-    return components.select(key.alias("spdx_id"), "name", "version", "purl").groupBy("spdx_id").agg(F.min(F.struct("name", "version", "purl")).alias("x")).select("spdx_id", "x.*")
-
-
-def spdx(components: DataFrame, root: str) -> str:
-    """An SPDX 2.3 document: the document describes the root package, which contains the others."""
-    rows = spdx_packages(components).orderBy("spdx_id").collect()
-    none = "NOASSERTION"
-    packages = [{"SPDXID": "SPDXRef-RootPackage", "name": root, "downloadLocation": none, "licenseConcluded": none, "licenseDeclared": none}]
-    relations = [{"spdxElementId": "SPDXRef-DOCUMENT", "relationshipType": "DESCRIBES", "relatedSpdxElement": "SPDXRef-RootPackage"}]
-    for r in rows:
-        one = {"SPDXID": r["spdx_id"], "name": r["name"], "versionInfo": r["version"], "downloadLocation": none, "licenseConcluded": none, "licenseDeclared": none}
-        if r["purl"]:
-            one["externalRefs"] = [{"referenceCategory": "PACKAGE-MANAGER", "referenceType": "purl", "referenceLocator": r["purl"]}]
-        packages.append(one)
-        relations.append({"spdxElementId": "SPDXRef-RootPackage", "relationshipType": "CONTAINS", "relatedSpdxElement": r["spdx_id"]})
-    return json.dumps({"spdxVersion": "SPDX-2.3", "dataLicense": "CC0-1.0", "SPDXID": "SPDXRef-DOCUMENT", "name": root, "packages": packages, "relationships": relations}, ensure_ascii=False)
+    return components.select(*keys, key.alias("spdx_id"), "name", "version", "purl").groupBy(*keys, "spdx_id").agg(F.min(F.struct("name", "version", "purl")).alias("x")).select(*keys, "spdx_id", "x.*")

@@ -15,6 +15,7 @@ from ..operators import graphs as G
 from ..operators import rules as R
 from . import formats as formats  # registers its queries
 from . import more as more  # registers its queries
+from . import resolution as resolution  # registers its queries
 from . import relations as T
 from .registry import QUERIES, SQL, query
 
@@ -446,9 +447,8 @@ def cyclic_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.closure(c.select(F.col("parent").alias("from"), F.col("child").alias("to")), spark.createDataFrame([("g1",)], "node string"), 200)
 
 
-@query(None)
+@query(f"SELECT name, version, depth FROM ({resolution.mediation_sql(f'SELECT *, [] AS excluded FROM ({T.CHILD_PACKAGES})', "SELECT 'p' AS project, * FROM (VALUES ('g1', 'v1', 0, []), ('g2', 'v2', 1, [])) t(name, version, ord, excluded)")})")
 def nearest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mediation depends on what earlier levels chose, level by level: held against a plain Python form in the tests."""
     return G.nearest_wins(T.child_packages(spark, sf_dir), spark.createDataFrame([("g1", "v1", 0), ("g2", "v2", 1)], "name string, version string, ord int"))
 
 

@@ -138,7 +138,8 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
     # Files that speak for directories below them, by name: trees without any need none of the joins.
     shared = {r["name"] for r in parsed.where(F.col("name").isin(*SHARED_FILES)).select("name").distinct().collect()}
     deps = filled_versions(deps, parsed) if shared & set(SHARED_FILES[:2]) else deps
-    edges = lockgraphs.extract_edges(parsed, settings.graph).join(place, F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "component_type", "from", "to", F.col("path").alias("source"), "scope", turn("walk_order").alias("walk_order"))
+    graph = lockgraphs.edges_and_errors(parsed, settings.graph)
+    edges = graph.where("error IS NULL").join(place, F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "component_type", "from", "to", F.col("path").alias("source"), "scope", turn("walk_order").alias("walk_order"))
 
     named = deps.groupBy("component_id", "type", "name").agg(F.min("walk_order").alias("walk_order"))
     by_dep = R.match_dependencies(named, rules.exact_table(spark), rules.regexes).select("component_id", "tech", "reason", "walk_order")
@@ -168,7 +169,7 @@ def scan(spark: SparkSession, root: str, settings: config.Settings = config.Sett
     full = G.stored(K.with_parents(full, rid))
     licensed = licenses.detect_files(parsed).join(place.select("o_path", "owner"), F.col("path") == F.col("o_path")).select(F.col("owner").alias("component_id"), "path", "license", "detection_type", "confidence", "category")
     report("scan_complete", root_id=rid)
-    return Scan(rid, owned.drop("hits").withColumnRenamed("owner", "component_id"), full, settled, edges, reasons, K.references(settled, full), licensed, extracted.where("error IS NOT NULL").select("path", "error"))
+    return Scan(rid, owned.drop("hits").withColumnRenamed("owner", "component_id"), full, settled, edges, reasons, K.references(settled, full), licensed, extracted.where("error IS NOT NULL").select("path", "error").unionByName(graph.where("error IS NOT NULL").select("path", "error")).distinct())
 
 
 def aggregate(spark: SparkSession, s: Scan, settings: config.Settings = config.Settings(), ecosystems: Sequence[dict] = rule_source.ECOSYSTEMS) -> dict[str, DataFrame]:

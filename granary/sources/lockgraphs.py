@@ -412,18 +412,27 @@ ANY_LOCK = "|".join(f"(?:{p})" for p, _, _ in GRAPHS)
 MANIFEST_OF = {"yarn.lock": "package.json", "poetry.lock": "pyproject.toml", "composer.lock": "composer.json"}
 
 
-def edges_of(path: str, text: str, manifest: str = "", mode: str = "full") -> tuple[str, list[Edge]]:
+def edges_of(path: str, text: str, manifest: str = "", mode: str = "full") -> tuple[str, list[Edge], str]:
+    """The component type, the edges and the error ('' if none) of one file; what a broken file makes a parser raise is its error."""
     for pattern, kind, f in GRAPHS:
         if re.search(pattern, path):
             try:
-                return kind, list(f(text, manifest, mode))
-            except (ValueError, KeyError, TypeError, AttributeError, IndexError):
-                return kind, []
-    return "", []
+                return kind, list(f(text, manifest, mode)), ""
+            except Exception as e:
+                return kind, [], f"{type(e).__name__}: {e}"[:200]
+    return "", [], ""
 
 
 def extract_edges(files: DataFrame, mode: str = "full") -> DataFrame:
-    """(path, component_type, from, to, scope, walk_order) of the lockfiles among files (path, text); mode "off" gives none."""
+    """(path, component_type, from, to, scope, walk_order) of the lockfiles among files (path, text) that parse; mode "off" gives none."""
+    return edges_and_errors(files, mode).where("error IS NULL").drop("error")
+
+
+def edges_and_errors(files: DataFrame, mode: str = "full") -> DataFrame:
+    """(path, component_type, from, to, scope, walk_order, error) of the lockfiles among files (path, text); mode "off" gives none.
+
+    A file that does not parse is one row with its error and no edge.
+    """
     from pyspark.sql import functions as F
 
     locks = files.where(F.col("path").rlike(ANY_LOCK)).select("path", "text", F.regexp_replace("path", "/[^/]*$", "").alias("dir"))
@@ -435,9 +444,11 @@ def extract_edges(files: DataFrame, mode: str = "full") -> DataFrame:
         for batch in batches:
             rows = []
             for path, text, manifest in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                kind, edges = edges_of(path, text or "", manifest or "", mode)
-                rows += [(path, kind, *e, k) for k, e in enumerate(edges)]
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string()] * 5 + [pa.int64()], strict=True)], ["path", "component_type", "from", "to", "scope", "walk_order"])
-
-    return (joined.limit(0) if mode == "off" else joined).mapInArrow(task, "path string, component_type string, `from` string, `to` string, scope string, walk_order long")
+                kind, edges, error = edges_of(path, text or "", manifest or "", mode)
+                rows += [(path, kind, *e, k, None) for k, e in enumerate(edges)]
+                if error:
+                    rows.append((path, kind, None, None, None, None, error))
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(7)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.string()] * 5 + [pa.int64(), pa.string()], strict=True)], ["path", "component_type", "from", "to", "scope", "walk_order", "error"])
+
+    return (joined.limit(0) if mode == "off" else joined).mapInArrow(task, "path string, component_type string, `from` string, `to` string, scope string, walk_order long, error string")

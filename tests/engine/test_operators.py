@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.operators import aggregates as A
+from granary.operators import documents
 from granary.operators import graphs as G
 from granary.operators import rules as R
 from granary.operators import sbom
@@ -206,12 +207,12 @@ def test_bills_of_materials(spark):
 
     d = spark.createDataFrame([("c", "npm", "@s/a", "1.0.0", "prod", True, "", "MIT", 1), ("c", "maven", "g:bom", "1", "import", True, "", "", 2), ("c", "delphi", "x", "1", "", True, "", "", 3), ("c", "hex", "h", "1", "optional", False, "", "", 4)], DEPS)
     comps = sbom.sbom_components(d)
-    doc = json.loads(sbom.cyclonedx(comps, "root"))
+    doc = json.loads(documents.cyclonedx(comps, "root"))
     assert [(c["name"], c.get("purl"), c.get("scope")) for c in doc["components"]] == [("h", None, "optional"), ("@s/a", "pkg:npm/%40s/a@1.0.0", "required")]
     assert doc["metadata"]["component"]["name"] == "root" and doc["components"][1]["licenses"][0]["license"]["id"] == "MIT"
     assert json.loads(sbom.stamp(json.dumps(doc), datetime(2024, 1, 2)))["metadata"]["timestamp"] == "2024-01-02T00:00:00Z"
     assert len(rows(sbom.sbom_components(d, direct_only=True))) == 1
     e = spark.createDataFrame([("nodejs", ".", "@s/a@1.0.0"), ("nodejs", "@s/a@1.0.0", "b@2"), ("dotnet", ".", "n@1"), ("nodejs", ".", "broken")], "component_type string, `from` string, `to` string")
     assert rows(sbom.transitive_components(d, e)) == [("npm", "b", "2", "pkg:npm/b@2")]
-    out = json.loads(sbom.spdx(comps, "root"))
+    out = json.loads(documents.spdx(comps, "root"))
     assert len(out["packages"]) == 3 and [r["relationshipType"] for r in out["relationships"]] == ["DESCRIBES", "CONTAINS", "CONTAINS"]

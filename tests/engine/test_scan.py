@@ -256,3 +256,15 @@ def test_properties_of_users():
 def test_single_file(spark, tree):
     got = files.read(spark, tree + "/api", include=["main.py"]).collect()
     assert [(r.path, r.text) for r in got] == [("/main.py", TREE["api/main.py"])]
+
+
+def test_broken_files_are_errors_and_the_scan_goes_on(spark, tmp_path):
+    deep = '{"a":' * 3000 + "1" + "}" * 3000
+    texts = {"a/pnpm-lock.yaml": "lockfileVersion: '9.0'\npackages: {unclosed: [", "b/package-lock.json": deep, "c/Cargo.lock": 'version = 3\n[[package]]\nname = "x"\nversion = "1.0.0"\ndependencies = ["y"]\n[[package]]\nname = "y"\nversion = "2.0.0"\n', "d/poetry.lock": "[[package]\nname=", "e/package.json": '{"dependencies": {"react": "18.0.0"}}'}
+    for path, text in texts.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(text)
+    s = scan(spark, str(tmp_path), config.Settings(graph="full"))
+    assert ("x@1.0.0", "y@2.0.0") in {(r["from"], r["to"]) for r in s.edges.collect()}
+    assert {"/a/pnpm-lock.yaml", "/d/poetry.lock"} <= {r.path for r in s.errors.collect()}
+    assert "react" in {r.name for r in s.dependencies.collect()}
