@@ -2,7 +2,9 @@
 
 A walk over the directories settles which of them are kept, as ignore files are
 layered by directory; Spark then lists and reads the kept ones only, each file
-once, and patterns on files are a filter on that read.
+once, and patterns on files are a filter on that read.  Trees of more directories
+than DRIVER_DIRECTORIES are walked and read by executors (tree.py), with the same
+result.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import glob_regex, utf8
 from ..operators.graphs import stored
 from ..operators.rules import last_match
+from . import tree
 
 # The extension (or whole name) of a file, and its language and kind.
 LANGUAGES = {
@@ -37,6 +40,8 @@ BRANCHES = r"\b(if|for|while|case|catch|elif|except|when|match)\b|&&|\|\|"
 MOST_LICENSE_BYTES = 512 * 1024
 #: Bytes of hidden files' contents that the driver holds at a time: each part is written as a table before the next is read.
 PART_BYTES = 32 << 20
+#: Directories up to which the driver walks a tree: for few, a round of tasks per level takes longer.
+DRIVER_DIRECTORIES = 2000
 
 
 def _of_file(part: int) -> Column:
@@ -98,8 +103,8 @@ def _excluded(patterns: Sequence[tuple[str, bool, bool, str]], path: str, name:
     return False
 
 
-def walk(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] | None = None) -> Walk:
-    """Walk the directories of a tree; without `exclude` only .git is left out, else what ignore files and `exclude` name.
+def walk(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: Sequence[str] | None = None, most: int | None = None) -> Walk | None:
+    """Walk the directories of a tree, None if they are more than `most`; without `exclude` only .git is left out, else what ignore files and `exclude` name.
 
     `.git` and `exclude` come first, then .git/info/exclude, then each directory's .gitignore for what lies below it.  An
     ignored directory is not entered.  Directories whose whole subtree is kept are listed by Spark from their top.
@@ -128,6 +133,8 @@ def walk(spark: SparkSession, root: str, include: Sequence[str] = (), exclude: S
             me = len(folders)
             name = path.rpartition("/")[2]
             folders.append((uri, parent, _left_out(name)))
+            if most is not None and len(folders) > most:
+                return None
             whole.append(inside(path))
             visible.append([])
             found = entries(uri)
@@ -258,14 +265,36 @@ def _kept(files: DataFrame, patterns: Sequence[tuple[str, bool, bool, str]], rul
 
 def scan(spark: SparkSession, root: str, exclude: Sequence[str] = (), include: Sequence[str] = ()) -> DataFrame:
     """The files of a tree that its ignore files keep: listing columns, language and kind; no content is read."""
-    kept = walk(spark, root, include, exclude)
+    kept = _few(spark, root, include, exclude)
+    if kept is None:
+        return _kept(_by_executors(tree.walked(spark, tree.absolute(root), include, exclude), root), [])
     return _kept(_listed(_binary(spark, kept, "path", "length"), root), kept.patterns)
 
 
 def read(spark: SparkSession, root: str, exclude: Sequence[str] = (), include: Sequence[str] = (), reclassify: Sequence[dict] = ()) -> DataFrame:
     """The same with text, byte-order marks settled: one read of each kept file, without a join."""
-    kept = walk(spark, root, include, exclude)
-    return _kept(_listed(_binary(spark, kept, "path", "length", "content"), root), kept.patterns, reclassify).withColumn("text", utf8(F.col("content"))).drop("content")
+    kept = _few(spark, root, include, exclude)
+    if kept is None:
+        top = tree.absolute(root)
+        files = _kept(_by_executors(tree.contents(spark, top, tree.walked(spark, top, include, exclude)), root), [], reclassify)
+    else:
+        files = _kept(_listed(_binary(spark, kept, "path", "length", "content"), root), kept.patterns, reclassify)
+    return files.withColumn("text", utf8(F.col("content"))).drop("content")
+
+
+def _few(spark: SparkSession, root: str, include: Sequence[str], exclude: Sequence[str]) -> Walk | None:
+    """The driver's walk, or None where executors are to walk: trees of many directories that they open themselves."""
+    kept = walk(spark, root, include, exclude, DRIVER_DIRECTORIES)
+    return kept if kept or tree.opens(spark, tree.absolute(root)) else walk(spark, root, include, exclude)
+
+
+def _by_executors(files: DataFrame, root: str) -> DataFrame:
+    """Files (path from the root, length and maybe content) with the columns of a listing."""
+    path = F.concat(F.lit("/"), "path")
+    up, name = F.regexp_replace(path, "/[^/]*$", ""), F.regexp_replace("path", "^.*/", "")
+    ext = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
+    more = [c for c in files.columns if c != "path"]
+    return files.select(F.concat(F.lit(tree.absolute(root).rstrip("/")), path).alias("uri"), path.alias("path"), F.when(up == "", F.lit("/")).otherwise(up).alias("dir"), name.alias("name"), ext.alias("ext"), *more)
 
 
 def with_text(spark: SparkSession, root: str, files: DataFrame, include: Sequence[str] = ()) -> DataFrame:

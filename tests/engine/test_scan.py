@@ -220,7 +220,7 @@ def test_windowed_stream_and_cache_sink(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "cache/epoch=0")).count() == src.selectExpr("event_type", "user_id % 5").distinct().count()
 
 
-def test_ignore_files_hold_below_their_directory(spark, tmp_path):
+def test_ignore_files_hold_below_their_directory(spark, tmp_path, monkeypatch):
     """Layers: a directory's patterns hold for what lies below it; .git/info/exclude before them; ignored directories are not entered."""
     texts = {
         ".gitignore": "*.log\nnode_modules/\nvendor/**\n!vendor/keep.go\n", "a/.gitignore": "*.txt\n!debug.log\n", ".git/info/exclude": "*.tmp\n!b/kept.log\n", ".git/config": "x",
@@ -235,6 +235,16 @@ def test_ignore_files_hold_below_their_directory(spark, tmp_path):
     assert [r.path for r in kept] == want and all(r.text == texts[r.path[1:]] for r in kept)
     assert sorted(r.path for r in files.scan(spark, str(tmp_path)).collect()) == sorted(want)
     assert sorted(r.path for r in files.scan(spark, str(tmp_path), include=["b", "a/debug.log"]).collect()) == ["/a/debug.log", "/b/_p/__init__.py", "/b/y.txt"]
+    # Executors that walk and read give the same.
+    monkeypatch.setattr(files, "DRIVER_DIRECTORIES", 3)
+    assert files.walk(spark, str(tmp_path), exclude=(), most=3) is None
+    walked = files.read(spark, str(tmp_path)).orderBy("walk_order").collect()
+    columns = [c for c in kept[0].asDict() if c != "uri"]
+    assert [[r[c] for c in columns] for r in walked] == [[r[c] for c in columns] for r in kept]
+    assert sorted(r.path for r in files.scan(spark, str(tmp_path)).collect()) == sorted(want)
+    assert sorted(r.path for r in files.scan(spark, str(tmp_path), include=["b", "a/debug.log"]).collect()) == ["/a/debug.log", "/b/_p/__init__.py", "/b/y.txt"]
+    assert sorted(r.path for r in files.scan(spark, str(tmp_path), exclude=["*.py", "!b/c/error.log"]).collect()) == sorted(p for p in want if not p.endswith(".py"))
+    monkeypatch.undo()
     # A walk by the store's client gives the same as one by the driver's own disk.
     local, store = files.walk(spark, str(tmp_path), exclude=()), None
     before = files.os.path.isdir
@@ -268,3 +278,17 @@ def test_broken_files_are_errors_and_the_scan_goes_on(spark, tmp_path):
     assert ("x@1.0.0", "y@2.0.0") in {(r["from"], r["to"]) for r in s.edges.collect()}
     assert {"/a/pnpm-lock.yaml", "/d/poetry.lock"} <= {r.path for r in s.errors.collect()}
     assert "react" in {r.name for r in s.dependencies.collect()}
+
+
+def test_executors_walk_deep_trees_with_odd_names(spark, tmp_path, monkeypatch):
+    """More levels than tables are kept apart, blanks and marks in names, empty directories and files, a UTF-16 text."""
+    deep = "/".join(f"d{k}" for k in range(11))
+    texts = {f"{deep}/end.txt": b"deep", "a b/c%20d#.py": b"x = 1\n", "_x/.hidden/__init__.py": b"", "é/ü.md": "# ü".encode("utf-16"), ".git/config": b"x", "z.txt": b""}
+    for name, raw in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    (tmp_path / "empty").mkdir()
+    monkeypatch.setattr(files, "DRIVER_DIRECTORIES", 1)
+    got = {r.path: (r.length, r.text) for r in files.read(spark, str(tmp_path)).collect()}
+    assert got == {f"/{n}": (len(raw), "# ü" if n.endswith(".md") else raw.decode()) for n, raw in texts.items() if not n.startswith(".git/")}
+    assert files.read(spark, str(tmp_path / "empty")).count() == 0
