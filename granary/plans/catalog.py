@@ -16,6 +16,7 @@ from ..operators import rules as R
 from . import formats as formats  # registers its queries
 from . import more as more  # registers its queries
 from . import resolution as resolution  # registers its queries
+from . import sourcecode as sourcecode  # registers its queries
 from . import relations as T
 from .registry import QUERIES, SQL, query
 

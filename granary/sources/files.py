@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import glob_regex, utf8
+from ..functions.lexer import line_counts
 from ..operators.graphs import stored
 from ..operators.rules import last_match
 from . import tree
@@ -32,10 +33,6 @@ LANGUAGES = {
     ".html": ("HTML", "markup"), ".css": ("CSS", "markup"), ".scss": ("SCSS", "markup"), ".vue": ("Vue", "markup"), ".md": ("Markdown", "prose"), ".rst": ("reStructuredText", "prose"), ".txt": ("Text", "prose"),
     "Dockerfile": ("Dockerfile", "programming"), "Makefile": ("Makefile", "programming"), "Gemfile": ("Ruby", "programming"),
 }
-# How a comment begins, by language; C-like ones first.
-LINE_COMMENT = {"Python": "#", "Ruby": "#", "Shell": "#", "YAML": "#", "TOML": "#", "Perl": "#", "R": "#", "Elixir": "#", "HCL": "#", "Dockerfile": "#", "Makefile": "#", "SQL": "--", "HTML": "<!--", "XML": "<!--", "Markdown": "<!--"}
-#: Words that branch: what complexity counts.
-BRANCHES = r"\b(if|for|while|case|catch|elif|except|when|match)\b|&&|\|\|"
 #: Files that may hold licenses are read up to this size.
 MOST_LICENSE_BYTES = 512 * 1024
 #: Bytes of hidden files' contents that the driver holds at a time: each part is written as a table before the next is read.
@@ -304,26 +301,5 @@ def with_text(spark: SparkSession, root: str, files: DataFrame, include: Sequenc
 
 
 def code_lines(files: DataFrame) -> DataFrame:
-    """files (language, text) with lines, blanks, comments, code and complexity.
-
-    A line counts as a comment if it begins with its language's mark, or stands in a /* */ block that a line began.
-    """
-    mark = F.coalesce(F.create_map(*[F.lit(x) for kv in LINE_COMMENT.items() for x in kv])[F.col("language")], F.lit("//"))
-    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n$", "")
-    lines = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
-    state = F.aggregate(
-        "line_list",
-        F.struct(F.lit(False).alias("inside"), F.lit(0).cast("long").alias("n")),
-        lambda s, x: F.struct(
-            F.when(s["inside"], ~x.contains("*/")).otherwise(F.ltrim(x).startswith("/*") & ~x.contains("*/")).alias("inside"),
-            (s["n"] + F.when(s["inside"] | F.ltrim(x).startswith("/*") | F.ltrim(x).startswith(F.col("mark")), F.lit(1)).otherwise(F.lit(0))).cast("long").alias("n"),
-        ),
-    )
-    out = files.withColumn("mark", mark).withColumn("line_list", lines)
-    out = out.withColumns({
-        "lines": F.size("line_list").cast("long"),
-        "blanks": F.size(F.filter("line_list", lambda x: F.trim(x) == "")).cast("long"),
-        "comments": state["n"],
-        "complexity": F.regexp_count("text", F.lit(BRANCHES)).cast("long"),
-    })
-    return out.withColumn("code", F.greatest(F.lit(0), F.col("lines") - F.col("blanks") - F.col("comments"))).drop("line_list", "mark")
+    """files (language, text) with lines, blanks, comments, code and complexity."""
+    return line_counts(files)
