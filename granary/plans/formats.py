@@ -147,17 +147,17 @@ EDGES_BESIDE = {"maven_tree": [("direct", ".", "org.acme:end@1", "prod"), ("full
 
 #: name: (path, text, component type, SQL of the name)
 DETECTED: dict[str, tuple[str, str, str, str]] = {
-    "nodejs": ("package.json", '{"name": "@acme/app$o", "version": "1.0.0"}', "nodejs", "'@acme/app' || o"),
-    "python": ("pyproject.toml", '[project]\nversion = "1"\nname = "app$o"\n', "python", "'app' || o"),
+    "nodejs": ("package.json", '{"author": {"name": "Bob"}, "scripts": {"name": "x"}, "name": "@acme/app$o", "version": "1.0.0"}', "nodejs", "'@acme/app' || o"),
+    "python": ("pyproject.toml", '[build-system]\nname = "no"\n[project]\nauthors = [{name = "Bob"}]\nversion = "1"\nname = "app$o"\n[tool.x]\nname = "tool"\n', "python", "'app' || o"),
     "python_requirements": ("requirements.txt", "django==4.2\n", "python", "'c' || o"),
-    "python_setup": ("setup.py", "from setuptools import setup\nsetup(name='app$o')\n", "python", "'app' || o"),
-    "maven": ("pom.xml", "<project><parent><artifactId>up</artifactId></parent><groupId>g</groupId><artifactId>app$o</artifactId></project>", "maven", "'app' || o"),
+    "python_setup": ("setup.py", "from setuptools import setup\nauthor_name = 'Bob'\nname = 'no'\nsetup(version='1', name='app$o')\n", "python", "'app' || o"),
+    "maven": ("pom.xml", "<project><!-- <artifactId>no</artifactId> --><parent><artifactId>up</artifactId></parent><dependencies><dependency><artifactId>dep</artifactId></dependency></dependencies><groupId>g</groupId><artifactId>app$o</artifactId></project>", "maven", "'app' || o"),
     "gradle": ("build.gradle.kts", 'plugins { id("java") }\n', "gradle", "'c' || o"),
-    "dotnet": ("x.csproj", "<Project><PropertyGroup><AssemblyName>App$o</AssemblyName></PropertyGroup></Project>", "dotnet", "'App' || o"),
+    "dotnet": ("x.csproj", "<Project><PropertyGroup><!-- <AssemblyName>No</AssemblyName> --><AssemblyName>App$o</AssemblyName></PropertyGroup></Project>", "dotnet", "'App' || o"),
     "golang": ("go.mod", "module example.com/app$o\n\ngo 1.22\n", "golang", "'example.com/app' || o"),
     "golang_main": ("main.go", "package main\n", "golang", "'c' || o"),
-    "rust": ("Cargo.toml", '[package]\nedition = "2021"\nname = "app$o"\n', "rust", "'app' || o"),
-    "php": ("composer.json", '{"name": "acme/app$o"}', "php", "'acme/app' || o"),
+    "rust": ("Cargo.toml", '[[bin]]\nname = "tool"\n[package]\nedition = "2021"\nname = "app$o"\n[lib]\nname = "lib"\n', "rust", "'app' || o"),
+    "php": ("composer.json", '{"authors": [{"name": "Bob"}], "name": "acme/app$o"}', "php", "'acme/app' || o"),
     "ruby": ("Gemfile", "source 'x'\n", "ruby", "'c' || o"),
     "cplusplus": ("conanfile.py", "class X(ConanFile):\n    name = 'app$o'\n", "cplusplus", "'app' || o"),
     "msbuild_cpp": ("x.vcxproj", "<Project><ProjectName>App$o</ProjectName></Project>", "msbuild-cpp", "'App' || o"),

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -20,31 +21,72 @@ from ..sources import config, licenses, lockgraphs, manifests
 from ..sources import files as S
 from ..sources import rules as rule_source
 
-#: Manifests that make a component: pattern on the path, component type and the regular expression of its name ('' for the directory's).
-DETECTORS: list[tuple[str, str, str]] = [
-    (r"(^|/)package\.json$", "nodejs", r'"name"\s*:\s*"([^"]+)"'),
-    (r"(^|/)pyproject\.toml$", "python", r'(?m)^name\s*=\s*"([^"]+)"'),
+
+def _json_name(text: Column) -> Column:
+    """The top-level name of a JSON object, not one of an author's or a script's."""
+    return F.get_json_object(text, "$.name")
+
+
+def _toml_name(*sections: str) -> Callable[[Column], Column]:
+    """The name in the first of some TOML sections that has one; a section ends where the next begins."""
+
+    def name(text: Column) -> Column:
+        bodies = [F.regexp_extract(text, rf"(?m)^[ \t]*\[{re.escape(s)}\][ \t]*(?:#[^\n]*)?\r?$([\s\S]*?)(?=^[ \t]*\[|\z)", 1) for s in sections]
+        return F.coalesce(*[F.nullif(F.regexp_extract(b, r"""(?m)^[ \t]*name[ \t]*=[ \t]*["']([^"']+)["']""", 1), F.lit("")) for b in bodies])
+
+    return name
+
+
+def _without_remarks(text: Column) -> Column:
+    return F.regexp_replace(text, r"<!--[\s\S]*?-->", "")
+
+
+#: Elements of a POM that hold artifacts of others.
+_OTHERS = r"<(parent|dependencies|dependencyManagement|build|profiles|reporting|distributionManagement)\b[^>]*>[\s\S]*?</\1\s*>"
+
+
+def _pom_name(text: Column) -> Column:
+    return F.regexp_extract(F.regexp_replace(_without_remarks(text), _OTHERS, ""), r"<artifactId>\s*([^<\s]+)\s*</artifactId>", 1)
+
+
+def _element(tag: str) -> Callable[[Column], Column]:
+    return lambda text: F.regexp_extract(_without_remarks(text), rf"<{tag}>\s*([^<]*?)\s*</{tag}>", 1)
+
+
+def _nx_name(text: Column) -> Column:
+    return F.when(F.get_json_object(text, "$.projectType").isin("library", "application"), _json_name(text))
+
+
+def _deno_name(text: Column) -> Column:
+    """With comments it is no JSON: then the first name at the start of a line or of the object."""
+    return F.coalesce(_json_name(text), F.when(F.get_json_object(text, "$").isNull(), F.regexp_extract(text, r'(?m)(?:^|\{)[ \t]*"name"\s*:\s*"([^"]+)"', 1)))
+
+
+#: Manifests that make a component: pattern on the path, component type, and its name by a function of the text or a regular expression ('' for the directory's).
+DETECTORS: list[tuple[str, str, str | Callable[[Column], Column]]] = [
+    (r"(^|/)package\.json$", "nodejs", _json_name),
+    (r"(^|/)pyproject\.toml$", "python", _toml_name("project", "tool.poetry")),
     (r"(^|/)requirements\.txt$", "python", ""),
-    (r"(^|/)setup\.py$", "python", r"name\s*=\s*['\"]([^'\"]+)['\"]"),
-    (r"(^|/)pom\.xml$", "maven", r"(?s)<project[^>]*>(?:(?!<parent>|<dependenc|<build>).|<parent>.*?</parent>)*?<artifactId>([^<]+)</artifactId>"),
+    (r"(^|/)setup\.py$", "python", r"\bsetup\s*\([\s\S]*?\bname\s*=\s*['\"]([^'\"]+)['\"]"),
+    (r"(^|/)pom\.xml$", "maven", _pom_name),
     (r"(^|/)build\.gradle(\.kts)?$", "gradle", ""),
-    (r"\.(cs|vb|fs)proj$", "dotnet", r"<AssemblyName>([^<]+)</AssemblyName>"),
+    (r"\.(cs|vb|fs)proj$", "dotnet", _element("AssemblyName")),
     (r"(^|/)go\.mod$", "golang", r"(?m)^module\s+(\S+)"),
     (r"(^|/)main\.go$", "golang", ""),
-    (r"(^|/)Cargo\.toml$", "rust", r'(?s)\[package\].*?name\s*=\s*"([^"]+)"'),
-    (r"(^|/)composer\.json$", "php", r'"name"\s*:\s*"([^"]+)"'),
+    (r"(^|/)Cargo\.toml$", "rust", _toml_name("package")),
+    (r"(^|/)composer\.json$", "php", _json_name),
     (r"(^|/)Gemfile$", "ruby", ""),
     (r"(^|/)conanfile\.py$", "cplusplus", r"name\s*=\s*['\"]([^'\"]+)['\"]"),
-    (r"\.vcxproj$", "msbuild-cpp", r"<ProjectName>([^<]+)</ProjectName>"),
+    (r"\.vcxproj$", "msbuild-cpp", _element("ProjectName")),
     (r"(^|/)Podfile$|\.podspec$", "cocoapods", r"\.name\s*=\s*['\"]([^'\"]+)['\"]"),
     (r"(^|/)pubspec\.yaml$", "dart", r"(?m)^name:\s*(\S+)"),
     (r"(^|/)mix\.exs$", "elixir", r"app:\s*:(\w+)"),
     (r"(^|/)Package\.swift$", "swift", r'name:\s*"([^"]+)"'),
     (r"(^|/)cpanfile$", "perl", ""),
     (r"(^|/)renv\.lock$", "r", ""),
-    (r"(^|/)deno\.jsonc?$", "deno", r'"name"\s*:\s*"([^"]+)"'),
+    (r"(^|/)deno\.jsonc?$", "deno", _deno_name),
     (r"\.dproj$", "delphi", r"<MainSource>([^<.]+)"),
-    (r"(^|/)project\.json$", "nx", r'(?s)^(?=.*"projectType"\s*:\s*"(?:library|application)").*?"name"\s*:\s*"([^"]+)"'),
+    (r"(^|/)project\.json$", "nx", _nx_name),
 ]
 
 
@@ -76,7 +118,9 @@ def root_id(root: str, settings: config.Settings) -> str:
 
 def detect(files: DataFrame, root: str) -> DataFrame:
     """(component_id, name, type, path, dir, walk_order) of the manifests among files (path, dir, text)."""
-    cases = [F.when(F.col("path").rlike(p), F.struct(F.lit(kind).alias("type"), F.lit(k).alias("rank"), (F.regexp_extract("text", n, 1) if n else F.lit("")).alias("own"), F.lit(bool(n) and kind == "nx").alias("named"))) for k, (p, kind, n) in enumerate(DETECTORS)]
+    text = F.coalesce("text", F.lit(""))
+    own = lambda n: F.coalesce(n(text) if callable(n) else F.regexp_extract(text, n, 1) if n else F.lit(""), F.lit(""))
+    cases = [F.when(F.col("path").rlike(p), F.struct(F.lit(kind).alias("type"), F.lit(k).alias("rank"), own(n).alias("own"), F.lit(bool(n) and kind == "nx").alias("named"))) for k, (p, kind, n) in enumerate(DETECTORS)]
     found = files.where(F.col("path").rlike("|".join(f"(?:{p})" for p, _, _ in DETECTORS))).withColumn("x", F.coalesce(*cases))
     found = found.where("NOT (x.named AND x.own = '')").select("path", "dir", "x.type", "x.rank", "x.own")
     # One component per directory and type: the manifest that the detectors list first.

@@ -292,3 +292,18 @@ def test_executors_walk_deep_trees_with_odd_names(spark, tmp_path, monkeypatch):
     got = {r.path: (r.length, r.text) for r in files.read(spark, str(tmp_path)).collect()}
     assert got == {f"/{n}": (len(raw), "# ü" if n.endswith(".md") else raw.decode()) for n, raw in texts.items() if not n.startswith(".git/")}
     assert files.read(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_names_of_components_are_their_own(spark):
+    """Names of authors, tools, parents and remarks are no component's; without one the directory's stands."""
+    texts = {
+        "/a/package.json": ('{"author":{"name":"Bob"},"name":"app"}', "app"), "/b/package.json": ('{"author":{"name":"Bob"}}', "b"), "/c/package.json": ("broken {", "c"),
+        "/d/composer.json": ('{"authors":[{"name":"Bob"}],"name":"x/y"}', "x/y"), "/e/Cargo.toml": ('[package]\nversion = "1"\n[[bin]]\nname = "tool"\n', "e"), "/f/Cargo.toml": ("[lib]\nname = 'l'\n [package] # it\nname = 'own'\n", "own"),
+        "/g/pyproject.toml": ('[tool.black]\nname = "no"\n[tool.poetry]\nname = "po"\n', "po"), "/h/pyproject.toml": ('[tool.poetry]\nname = "po"\n[project]\nname = "pro"\n', "pro"),
+        "/i/pom.xml": ("<project><build><plugins><plugin><artifactId>p</artifactId></plugin></plugins></build>" + "<!-- x -->" * 5000 + "<artifactId> own </artifactId></project>", "own"),
+        "/j/project.json": ('{"targets":{"name":"t"},"name":"lib","projectType":"library"}', "lib"), "/k/project.json": ('{"name":"other"}', None), "/l/deno.jsonc": ('{ // c\n "name": "d" }', "d"), "/m/setup.py": ("name = 'no'\n", "m"),
+    }
+    files_ = spark.createDataFrame([(p, p.rsplit("/", 1)[0], t) for p, (t, _) in texts.items()], "path string, dir string, text string")
+    from granary.plans.scan import detect
+
+    assert {r.path: r["name"] for r in detect(files_, "root").collect()} == {p: n for p, (_, n) in texts.items() if n}
