@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,81 +86,84 @@ def severity(of: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])[of]
 
 
-def normal(name: str) -> str:
-    plain = name.strip().strip("\"'")
-    return KNOWN.get(plain.lower(), plain)
+_OPERATORS = ("OR", "AND", "WITH")
+_JUDGED = "struct<category:string,severity:int,text:string,names:array<string>>"
 
 
-_TOKEN = re.compile(r"\(|\)|[^\s()]+")
+def _plain(expression: Column) -> Column:
+    """Without outer white space; null as empty."""
+    return F.regexp_replace(F.coalesce(expression, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
-def parse(text: str):
-    """An expression as a name or (operator, left, right); OR binds loosest, WITH tightest.
+def _spelled(expression: Column) -> Column:
+    """With the operators as words."""
+    return F.replace(F.replace(expression, F.lit("||"), F.lit(" OR ")), F.lit("&&"), F.lit(" AND "))
 
-    What does not parse to its end is one name as it stands.
-    """
-    tokens = _TOKEN.findall(text.replace("||", " OR ").replace("&&", " AND "))
-    at = 0
-
-    def peek() -> str:
-        return tokens[at].upper() if at < len(tokens) else ""
-
-    def atom():
-        nonlocal at
-        if at >= len(tokens):
-            return None
-        token = tokens[at]
-        at += 1
-        if token == "(":
-            inner = level(0)
-            if peek() == ")":
-                at += 1
-            return inner
-        return token
-
-    def level(k: int):
-        nonlocal at
-        if k == 3:
-            return atom()
-        left = level(k + 1)
-        while left is not None and peek() == ("OR", "AND", "WITH")[k]:
-            at += 1
-            right = level(k + 1)
-            if right is None:
-                return left
-            left = (("OR", "AND", "WITH")[k], left, right)
-        return left
-
-    found = level(0)
-    return found if at == len(tokens) and found is not None else text.strip()
-
-
-def expression_category(expression) -> str:
-    """AND takes the more severe side, OR the less severe one, the left of equals; WITH is judged by its license."""
-    if isinstance(expression, str):
-        return CATEGORY_OF.get(normal(expression).lower(), "unknown")
-    op, left, right = expression
-    a, b = expression_category(left), expression_category(right)
-    if op == "WITH":
-        return a
-    return (a if SEVERITY[a] >= SEVERITY[b] else b) if op == "AND" else (a if SEVERITY[a] <= SEVERITY[b] else b)
-
-
-def names(text: str) -> list[str]:
-    """The licenses an expression names, normalised, each once, in order."""
-    words = re.split(r"\s+(?:OR|AND|WITH)\s+|[()]", text.replace("||", " OR ").replace("&&", " AND "), flags=re.I)
-    return list(dict.fromkeys(normal(w) for w in words if w.strip() and w.strip().upper() not in ("OR", "AND", "WITH")))
 
+def _judged(name: Column) -> Column:
+    of = category(normalize(name))
+    return F.struct(of.alias("category"), severity(of).cast("int").alias("severity"), name.alias("text"), F.array(name).alias("names"))
 
-def analyze(expression: Column) -> Column:
-    """struct(licenses, category) of license expressions; batches of Arrow, as the grammar is recursive."""
 
-    @F.pandas_udf("struct<licenses: array<string>, category: string>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        texts = texts.fillna("")
-        return pd.DataFrame({"licenses": [names(t) for t in texts], "category": [expression_category(parse(t)) if t.strip() else "unknown" for t in texts]})
+def _both(op: str, a: Column, b: Column) -> Column:
+    """Two sides under an operator, a missing one left out; the left one of equals decides."""
+    left = a["severity"] >= b["severity"] if op == "AND" else a["severity"] <= b["severity"]
+    pick = lambda field: F.when(left, a[field]).otherwise(b[field])
+    joined = F.struct(pick("category").alias("category"), pick("severity").alias("severity"), F.concat(F.lit("("), a["text"], F.lit(f" {op} "), b["text"], F.lit(")")).alias("text"), F.concat(a["names"], b["names"]).alias("names"))
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(joined)
+
+
+def _frame(ors: Column, ands: Column, last: Column) -> Column:
+    return F.struct(ors.alias("ors"), ands.alias("ands"), last.alias("last"))
+
+
+def _with_operand(frame: Column, x: Column) -> Column:
+    """The frame after an operand: its last one, or the exception of the last one."""
+    last = frame["last"]
+    excepted = F.struct(last["category"].alias("category"), last["severity"].alias("severity"), F.concat(last["text"], F.lit(" WITH "), x["text"]).alias("text"), last["names"].alias("names"))
+    return _frame(frame["ors"], frame["ands"], F.when(last.isNull(), x).when(x.isNull(), last).otherwise(excepted))
+
 
-    return run(expression)
+def _closed(frame: Column) -> Column:
+    return _both("OR", frame["ors"], _both("AND", frame["ands"], frame["last"]))
+
+
+def _token_step(s: Column, token: Column) -> Column:
+    """One token on a stack of frames, one frame an open bracket: what OR, then AND, has gathered, and the last operand."""
+    frames, wanted, x = s["frames"], s["wanted"], token["upper"]
+    nothing = F.lit(None).cast(_JUDGED)
+    top, up, n = F.element_at(frames, -1), F.try_element_at(frames, F.lit(-2)), F.size(frames)
+    below = F.slice(frames, F.lit(1), n - 1)
+    opens, operator, closes = wanted & (x == "("), ~wanted & x.isin(*_OPERATORS), ~wanted & (x == ")") & (n > 1)
+    ands = _both("AND", top["ands"], top["last"])
+    after = F.when(x == "OR", _frame(_closed(top), nothing, nothing)).when(x == "AND", _frame(top["ors"], ands, nothing)).otherwise(top)
+    moved = (
+        F.when(opens, F.concat(frames, F.array(_frame(nothing, nothing, nothing))))
+        .when(wanted, F.concat(below, F.array(_with_operand(top, token["judged"]))))
+        .when(operator, F.concat(below, F.array(after)))
+        .when(closes, F.concat(F.slice(frames, F.lit(1), F.greatest(n - 2, F.lit(0))), F.array(_with_operand(up, _closed(top)))))
+        .otherwise(frames)
+    )
+    return F.struct(moved.alias("frames"), (opens | operator).alias("wanted"), (s["failed"] | ~(wanted | operator | closes)).alias("failed"))
+
+
+def analyze(expression: Column) -> Column:
+    """struct(licenses, category, canonical) of a license expression, as a fold over its tokens in column functions.
+
+    OR binds loosest, WITH tightest.  AND takes the more severe side, OR the less severe one, WITH its license.  An operator
+    without a right side and a bracket that stays open end where the text does; what does not parse to its end is one name.
+    Licenses are normalised, each once, in order, without exceptions.  Null and empty texts name none: category unknown, canonical null.
+    The work is by row, so one text of half the rows needs no shuffle.
+    """
+    plain = _plain(expression)
+    none = F.lit(None).cast(_JUDGED)
+    words = F.regexp_extract_all(_spelled(plain), F.lit(r"(?U)\(|\)|[^\s()]+"), F.lit(0))
+    tokens = F.transform(words, lambda x: F.struct(F.upper(x).alias("upper"), _judged(x).alias("judged")))
+    start = F.struct(F.array(_frame(none, none, none)).alias("frames"), F.lit(True).alias("wanted"), F.lit(False).alias("failed"))
+    unwind = lambda s: F.when(~s["failed"], F.aggregate(F.reverse(s["frames"]), none, lambda x, frame: _closed(_with_operand(frame, x))))
+    found = F.coalesce(F.aggregate(tokens, start, _token_step, unwind), F.when(plain != "", _judged(plain)))
+    names = F.filter(F.coalesce(found["names"], F.array().cast("array<string>")), lambda x: ~F.upper(x).isin(*_OPERATORS))
+    return F.struct(F.array_distinct(F.transform(names, normalize)).alias("licenses"), F.coalesce(found["category"], F.lit("unknown")).alias("category"), found["text"].alias("canonical"))
 
 
 def is_spdx_like(name: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import glob_regex
+from ..functions.markup import has_element
 from .sizing import small_side
 
 # Dependency types that are matched by each other's rules.
@@ -82,13 +83,14 @@ def json_predicate(text: Column, path: str, value: str | None) -> Column:
 
 
 def xml_predicate(text: Column, path: str, value: str | None) -> Column:
-    """The same of an element path from the root; a /regex/ is a substring here."""
+    """The same of an element path from the root; a /regex/ is a substring here.
+
+    The value of an element is its text up to the first element that ends.  See functions/markup.py for what counts as an element.
+    """
     steps = [p for p in path.removeprefix("$.").replace("/", ".").split(".") if p]
-    inner = r"(?s)" + "".join(f"<{s}(?:\\s[^>]*)?>.*?" for s in steps[:-1]) + f"<{steps[-1]}(?:\\s[^>]*)?>([^<]*)"
     if value is None or value == "":
-        return text.rlike(inner)
-    got = F.trim(F.regexp_extract(text, inner, 1))
-    return text.rlike(inner) & (got.contains(value[1:-1]) if is_regex(value) else got == value)
+        return has_element(text, steps)
+    return has_element(text, steps, lambda got: got.contains(value[1:-1]) if is_regex(value) else F.trim(got) == value.strip())
 
 
 def yaml_predicate(text: Column, path: str, value: str | None) -> Column:

@@ -14,6 +14,7 @@ from ..operators import aggregates as A
 from ..operators import graphs as G
 from ..operators import rules as R
 from . import formats as formats  # registers its queries
+from . import matching as matching  # registers its queries
 from . import more as more  # registers its queries
 from . import resolution as resolution  # registers its queries
 from . import sourcecode as sourcecode  # registers its queries

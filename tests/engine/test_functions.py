@@ -1,3 +1,7 @@
+import json
+import random
+
+import brute_licenses as B
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,14 +100,37 @@ def test_utf8(spark):
     assert [r[0] for r in df.select(C.utf8(F.col("content"))).collect()] == [t for _, t in texts]
 
 
-def test_license_expressions():
-    assert L.parse("MIT OR Apache-2.0 AND BSD") == ("OR", "MIT", ("AND", "Apache-2.0", "BSD"))
-    assert L.parse("(MIT OR GPL-2.0) AND ISC") == ("AND", ("OR", "MIT", "GPL-2.0"), "ISC")
-    assert L.parse("GPL-2.0 WITH Classpath") == ("WITH", "GPL-2.0", "Classpath")
-    assert L.parse("MIT and more words here") == "MIT and more words here"
+def test_license_expressions_by_brute_force():
+    assert B.parse("MIT OR Apache-2.0 AND BSD") == ("OR", "MIT", ("AND", "Apache-2.0", "BSD"))
+    assert B.parse("(MIT OR GPL-2.0) AND ISC") == ("AND", ("OR", "MIT", "GPL-2.0"), "ISC")
+    assert B.parse("GPL-2.0 WITH Classpath") == ("WITH", "GPL-2.0", "Classpath")
+    assert B.parse("MIT and more words here") == "MIT and more words here"
+
+
+def test_license_expressions(spark):
     cases = {"MIT": "notice", "MIT OR GPL-3.0": "notice", "MIT AND GPL-3.0": "restricted", "MIT OR weird": "unknown", "MIT AND weird": "notice", "GPL-2.0 WITH X": "restricted", "(MPL-2.0 OR MIT) AND Unlicense": "notice", "WTFPL": "forbidden", "WTFPL-2.0": "permissive"}
-    assert {k: L.expression_category(L.parse(k)) for k in cases} == cases
-    assert L.names("mit || (gplv3 && ISC)") == ["MIT", "GPL-3.0", "ISC"]
+    assert ask(spark, [(k,) for k in cases], L.analyze(F.col("c0"))["category"]) == [(v,) for v in cases.values()]
+    assert ask(spark, [("mit || (gplv3 && ISC)",)], L.analyze(F.col("c0"))["licenses"]) == [(["MIT", "GPL-3.0", "ISC"],)]
+    canonical = {"a or b and c with d": "(a OR (b AND c WITH d))", "a AND (b OR c": "(a AND (b OR c))", "a OR": "a", "a b": "a b", "": None, "((": "((", "()": ")"}
+    assert ask(spark, [(k,) for k in canonical], L.analyze(F.col("c0"))["canonical"]) == [(v,) for v in canonical.values()]
+    assert ask(spark, [(None,), ("MIT",)], F.to_json(L.analyze(F.col("c0")))) == [('{"licenses":[],"category":"unknown"}',), ('{"licenses":["MIT"],"category":"notice","canonical":"MIT"}',)]
+
+
+def canonical(tree) -> str:
+    if isinstance(tree, str):
+        return tree
+    op, a, b = tree[0], canonical(tree[1]), canonical(tree[2])
+    return f"{a} WITH {b}" if op == "WITH" else f"({a} {op} {b})"
+
+
+def test_license_expressions_against_descent(spark):
+    rng = random.Random(5)
+    words = ["(", ")", "AND", "or", "With", "MIT", "gplv3", "MPL-2.0", "unlicense", "odd", "||", "WTFPL-2.0", '"ISC"']
+    texts = list({" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(3000)}) + ["(" * 60 + "MIT" + ")" * 60, " OR ".join(["MIT"] * 500)]
+    got = ask(spark, [(t,) for t in texts], F.to_json(L.analyze(F.col("c0"))))
+    for t, (x,) in zip(texts, got, strict=True):
+        tree, x = B.parse(t), json.loads(x)
+        assert (x["licenses"], x["category"], x["canonical"]) == (B.names(t), B.expression_category(tree), canonical(tree)), t
 
 
 def test_license_columns(spark):
