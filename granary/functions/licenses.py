@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -105,8 +106,17 @@ def _judged(name: Column) -> Column:
     return F.struct(of.alias("category"), severity(of).cast("int").alias("severity"), name.alias("text"), F.array(name).alias("names"))
 
 
+def _let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def _both(op: str, a: Column, b: Column) -> Column:
     """Two sides under an operator, a missing one left out; the left one of equals decides."""
+    return _let(F.struct(a.alias("a"), b.alias("b")), lambda x: _both_of(op, x["a"], x["b"]))
+
+
+def _both_of(op: str, a: Column, b: Column) -> Column:
     left = a["severity"] >= b["severity"] if op == "AND" else a["severity"] <= b["severity"]
     pick = lambda field: F.when(left, a[field]).otherwise(b[field])
     joined = F.struct(pick("category").alias("category"), pick("severity").alias("severity"), F.concat(F.lit("("), a["text"], F.lit(f" {op} "), b["text"], F.lit(")")).alias("text"), F.concat(a["names"], b["names"]).alias("names"))
@@ -119,6 +129,10 @@ def _frame(ors: Column, ands: Column, last: Column) -> Column:
 
 def _with_operand(frame: Column, x: Column) -> Column:
     """The frame after an operand: its last one, or the exception of the last one."""
+    return _let(F.struct(frame.alias("frame"), x.alias("x")), lambda y: _with_operand_of(y["frame"], y["x"]))
+
+
+def _with_operand_of(frame: Column, x: Column) -> Column:
     last = frame["last"]
     excepted = F.struct(last["category"].alias("category"), last["severity"].alias("severity"), F.concat(last["text"], F.lit(" WITH "), x["text"]).alias("text"), last["names"].alias("names"))
     return _frame(frame["ors"], frame["ands"], F.when(last.isNull(), x).when(x.isNull(), last).otherwise(excepted))
@@ -130,9 +144,13 @@ def _closed(frame: Column) -> Column:
 
 def _token_step(s: Column, token: Column) -> Column:
     """One token on a stack of frames, one frame an open bracket: what OR, then AND, has gathered, and the last operand."""
+    return _let(F.element_at(s["frames"], -1), lambda top: _moved(s, token, top))
+
+
+def _moved(s: Column, token: Column, top: Column) -> Column:
     frames, wanted, x = s["frames"], s["wanted"], token["upper"]
     nothing = F.lit(None).cast(_JUDGED)
-    top, up, n = F.element_at(frames, -1), F.try_element_at(frames, F.lit(-2)), F.size(frames)
+    up, n = F.try_element_at(frames, F.lit(-2)), F.size(frames)
     below = F.slice(frames, F.lit(1), n - 1)
     opens, operator, closes = wanted & (x == "("), ~wanted & x.isin(*_OPERATORS), ~wanted & (x == ")") & (n > 1)
     ands = _both("AND", top["ands"], top["last"])
@@ -162,8 +180,12 @@ def analyze(expression: Column) -> Column:
     start = F.struct(F.array(_frame(none, none, none)).alias("frames"), F.lit(True).alias("wanted"), F.lit(False).alias("failed"))
     unwind = lambda s: F.when(~s["failed"], F.aggregate(F.reverse(s["frames"]), none, lambda x, frame: _closed(_with_operand(frame, x))))
     found = F.coalesce(F.aggregate(tokens, start, _token_step, unwind), F.when(plain != "", _judged(plain)))
-    names = F.filter(F.coalesce(found["names"], F.array().cast("array<string>")), lambda x: ~F.upper(x).isin(*_OPERATORS))
-    return F.struct(F.array_distinct(F.transform(names, normalize)).alias("licenses"), F.coalesce(found["category"], F.lit("unknown")).alias("category"), found["text"].alias("canonical"))
+
+    def result(x: Column) -> Column:
+        names = F.filter(F.coalesce(x["names"], F.array().cast("array<string>")), lambda y: ~F.upper(y).isin(*_OPERATORS))
+        return F.struct(F.array_distinct(F.transform(names, normalize)).alias("licenses"), F.coalesce(x["category"], F.lit("unknown")).alias("category"), x["text"].alias("canonical"))
+
+    return _let(found, result)
 
 
 def is_spdx_like(name: Column) -> Column:

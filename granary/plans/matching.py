@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.licenses import analyze
+from ..operators import rule_index as I
 from ..operators import rules as R
 from . import relations as T
 from .registry import query
@@ -73,3 +74,23 @@ def xml_structural_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.table(spark, sf_dir, "pages").select("page_id", h.alias("h"))
     at = lambda path, value=None: R.xml_predicate(F.col("h"), path, value)
     return rows.select("page_id", at("html.head.title").alias("has_title"), at("html.head.title", "/the/").alias("title_the"), at("html.body.title").alias("in_body"), at("html.head.title", "/&/").alias("title_and"))
+
+
+_EDGE = "(?:^|[^A-Za-z])", "(?:[^A-Za-z]|$)"
+
+
+@query(f"""WITH f AS ({T.FILES}), w AS (SELECT doc_id, regexp_extract(text, '[A-Za-z]{{6,}}') AS word FROM documents),
+r AS (SELECT word, min(doc_id) AS rule_order FROM w WHERE word <> '' GROUP BY word),
+t AS (SELECT DISTINCT path, ext, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM f),
+h AS (SELECT path, ext, rule_order FROM t JOIN r ON t.word = r.word UNION ALL SELECT path, ext, rule_order FROM t JOIN r ON lower(t.word) = lower(r.word) WHERE rule_order % 3 = 1)
+SELECT path, 't' || (rule_order % 50) AS tech, min(rule_order)::BIGINT AS rule_order FROM h WHERE rule_order % 5 <> 0 OR ext = '.py' GROUP BY path, tech""")
+def indexed_content_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule of each document's first long word, in three forms, one in five for one kind of file, over all documents by an index."""
+    word = F.regexp_extract("text", "[A-Za-z]{6,}", 0)
+    words = T.table(spark, sf_dir, "documents").select("doc_id", word.alias("word")).where("word <> ''").groupBy("word").agg(F.min("doc_id").cast("long").alias("rule_order"))
+    k = F.col("rule_order") % 3
+    plain = F.concat(F.lit(_EDGE[0]), "word", F.lit(_EDGE[1]))
+    pattern = F.when(k == 0, plain).when(k == 1, F.concat(F.lit("(?i)"), plain)).otherwise(F.concat(F.lit("no such words|"), plain))
+    tech = F.concat(F.lit("t"), (F.col("rule_order") % 50).cast("string"))
+    rules = words.select(tech.alias("tech"), "rule_order", pattern.alias("pattern"), F.when(F.col("rule_order") % 5 == 0, F.lit(".py")).alias("ext"), F.lit(None).cast("string").alias("file"))
+    return I.match(T.files(spark, sf_dir), rules)
