@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.licenses import analyze
 from ..operators import rule_index as I
 from ..operators import rules as R
+from ..operators import workspaces as W
 from . import relations as T
 from .registry import query
 
@@ -94,3 +95,20 @@ def indexed_content_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     tech = F.concat(F.lit("t"), (F.col("rule_order") % 50).cast("string"))
     rules = words.select(tech.alias("tech"), "rule_order", pattern.alias("pattern"), F.when(F.col("rule_order") % 5 == 0, F.lit(".py")).alias("ext"), F.lit(None).cast("string").alias("file"))
     return I.match(T.files(spark, sf_dir), rules)
+
+
+_DIR = "'/repo' || (p_partkey % 7) || '/' || CASE p_partkey % 4 WHEN 0 THEN 'packages' WHEN 1 THEN 'libs' WHEN 2 THEN 'apps' ELSE 'other' END || '/a' || (p_size % 11) || CASE p_partkey % 3 WHEN 0 THEN '/x' || (p_partkey % 5) WHEN 1 THEN CASE WHEN p_size % 4 = 0 THEN '/node_modules/y' ELSE '' END ELSE '/x3/z' END"
+_ROOT_TEXT = '{"name":"r","workspaces":["packages/*","./libs/**/","!libs/**/x3/**","apps/{a1,a2*,a[3-6]}/**"]}'
+_NESTED_TEXT = '{"workspaces":{"packages":["*"]}}'
+
+
+@query(f"""WITH p AS (SELECT DISTINCT {_DIR} AS dir FROM part), r AS (SELECT dir, regexp_extract(dir, '^/repo[0-9]') AS repo, regexp_extract(dir, '^/repo[135]/apps/a[0-9]+') AS app, substr(dir, 8) AS rel FROM p),
+m AS (SELECT *, NOT contains(dir, '/node_modules/') AND (regexp_matches(rel, '^packages/[^/]+$') OR (regexp_matches(rel, '^libs(/|$)') AND NOT regexp_matches(rel, '^libs/(.*/)?x3(/|$)')) OR regexp_matches(rel, '^apps/(a1|a2[^/]*|a[3-6])(/|$)')) AS by_repo, app <> '' AND regexp_matches(dir, '^/repo[135]/apps/a[0-9]+/[^/]+$') AS by_app FROM r)
+SELECT dir, CASE WHEN by_app THEN app ELSE repo END AS root FROM m WHERE by_app OR by_repo""")
+def workspace_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories of packages made from parts, in seven repositories with a workspace each; apps of three of them are workspaces too."""
+    packages = T.table(spark, sf_dir, "part").select(F.expr(_DIR).alias("dir")).distinct()
+    outer = packages.select(F.regexp_extract("dir", "^/repo[0-9]", 0).alias("dir"), F.lit(_ROOT_TEXT).alias("text"))
+    inner = packages.select(F.regexp_extract("dir", "^/repo[135]/apps/a[0-9]+", 0).alias("dir"), F.lit(_NESTED_TEXT).alias("text")).where("dir <> ''")
+    manifests = outer.unionByName(inner).distinct().withColumn("name", F.lit("package.json"))
+    return W.members(packages.withColumn("kind", F.lit("npm")), W.globs(manifests)).select("dir", "root")
