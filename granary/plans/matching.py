@@ -1,4 +1,4 @@
-"""Registered queries of license expressions, element paths, rule indexes and workspaces."""
+"""Registered queries of license expressions, element paths, rule indexes, workspaces and languages by content."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.licenses import analyze
+from ..operators import language_model as LM
 from ..operators import rule_index as I
 from ..operators import rules as R
 from ..operators import workspaces as W
@@ -112,3 +113,44 @@ def workspace_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = packages.select(F.regexp_extract("dir", "^/repo[135]/apps/a[0-9]+", 0).alias("dir"), F.lit(_NESTED_TEXT).alias("text")).where("dir <> ''")
     manifests = outer.unionByName(inner).distinct().withColumn("name", F.lit("package.json"))
     return W.members(packages.withColumn("kind", F.lit("npm")), W.globs(manifests)).select("dir", "root")
+
+
+#: Of a language: its own extension, an ambiguous one, what its lines begin with, and what they end with.
+_PROGRAMS = (("C", ".c", ".h", "static int ", ";"), ("C++", ".cpp", ".h", "std::", "{ return this; }"), ("Perl", ".pm", ".pl", "my $", ";"), ("Prolog", ".pro", ".pl", "goal(X) :- ", "."))
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as programs of four languages, one line in five with a mark of its language; one file in three has an ambiguous name."""
+    pick = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in _PROGRAMS]), (F.expr("doc_id div 3") % 4 + 1).cast("int"))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when((F.col("doc_id") + i) % 5 == 0, F.concat(pick(3), x, pick(4))).otherwise(x))
+    ext = F.when(F.col("doc_id") % 3 == 0, pick(2)).otherwise(pick(1))
+    return T.table(spark, sf_dir, "documents").select(F.concat(F.lit("/f"), F.col("doc_id").cast("string"), ext).alias("path"), ext.alias("ext"), pick(0).alias("language"), F.array_join(lines, "\n").alias("text"))
+
+
+def _program_case(k: int) -> str:
+    return "CASE doc_id // 3 % 4 " + " ".join(f"WHEN {i} THEN '{p[k]}'" for i, p in enumerate(_PROGRAMS)) + " END"
+
+
+_CONTENT_SQL = f"""WITH f AS (SELECT doc_id, doc_id % 3 = 0 AS asked, CASE WHEN doc_id % 3 = 0 THEN {_program_case(2)} ELSE {_program_case(1)} END AS ext, {_program_case(0)} AS language,
+  array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE WHEN (doc_id + i - 1) % 5 = 0 THEN {_program_case(3)} || x || {_program_case(4)} ELSE x END), chr(10)) AS text FROM documents),
+t AS (SELECT doc_id, asked, ext, language, unnest(regexp_extract_all(text, '{LM.TOKEN}')) AS token FROM f),
+n AS (SELECT token, language, count(*) AS n FROM t WHERE NOT asked GROUP BY ALL), v AS (SELECT token FROM n GROUP BY token HAVING sum(n) >= 2),
+l AS (SELECT language, (SELECT count(*) FROM v) + sum(n) AS total FROM n SEMI JOIN v USING (token) GROUP BY language),
+p AS (SELECT language, round(1000 * ln(count(*) / (SELECT count(*) FROM f WHERE NOT asked)))::BIGINT AS prior FROM f WHERE NOT asked GROUP BY language),
+c AS (SELECT * FROM (VALUES ('.h', 'C'), ('.h', 'C++'), ('.pl', 'Perl'), ('.pl', 'Prolog')) c(ext, language)),
+s AS (SELECT t.doc_id, c.language, sum(round(1000 * ln((coalesce(n.n, 0) + 1) / l.total))::BIGINT) AS s FROM t SEMI JOIN v USING (token) JOIN c USING (ext) JOIN l ON l.language = c.language LEFT JOIN n ON n.token = t.token AND n.language = c.language WHERE t.asked GROUP BY ALL),
+r AS (SELECT f.doc_id, f.ext, f.language AS truth, c.language, (p.prior + coalesce(s.s, 0))::BIGINT AS score FROM f JOIN c USING (ext) JOIN p ON p.language = c.language LEFT JOIN s ON s.doc_id = f.doc_id AND s.language = c.language WHERE f.asked)
+SELECT '/f' || doc_id || ext AS path, truth, language, score FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) = 1"""
+
+
+@query(_CONTENT_SQL)
+def content_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of files with ambiguous names, learned from those with names of one language only."""
+    files = programs(spark, sf_dir)
+    truth = files.select("path", F.col("language").alias("truth"))
+    return LM.by_content(files).join(truth, "path").select("path", "truth", "language", "score")
+
+
+@query(f"SELECT truth AS language, count(*) AS files, count(*) FILTER (WHERE language = truth) AS found FROM ({_CONTENT_SQL}) GROUP BY truth")
+def content_language_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_languages(spark, sf_dir).groupBy(F.col("truth").alias("language")).agg(F.count("*").alias("files"), F.count_if(F.col("truth") == F.col("language")).alias("found"))
