@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import glob_regex
 from ..functions.markup import has_element
+from .rule_index import match
 from .sizing import small_side
 
 # Dependency types that are matched by each other's rules.
@@ -141,8 +142,20 @@ def content_hits(rules: Sequence[dict]) -> Column:
     return F.filter(F.array(*cases), lambda x: x.isNotNull())
 
 
-def match_content(files: DataFrame, rules: Sequence[dict]) -> DataFrame:
+#: Regular expressions up to which content rules are literals of the plan; more go through the index of rule_index.py.
+LITERAL_RULES = 200
+
+
+def match_content(files: DataFrame, rules: Sequence[dict], literal_rules: int = LITERAL_RULES) -> DataFrame:
     """(path, tech, rule_order): the first rule per file and technology whose content predicate holds; rules as in content_hits."""
+    plain = [r for r in rules if r.get("kind", "regex") not in CONTENT_KINDS]
+    if len(plain) > literal_rules:
+        rows = [(r["tech"], r["rule_order"], r.get("pattern", ""), r.get("ext") or None, None if r.get("ext") else r["file"]) for r in plain]
+        table = files.sparkSession.createDataFrame(rows, "tech string, rule_order int, pattern string, ext string, file string")
+        others = [r for r in rules if r.get("kind", "regex") in CONTENT_KINDS]
+        found = match(files, table)
+        found = found.unionByName(match_content(files, others)) if others else found
+        return found.groupBy("path", "tech").agg(F.min("rule_order").alias("rule_order"))
     gate = F.col("ext").isin(*{r["ext"] for r in rules if r.get("ext")}) | F.col("name").isin(*{r["file"] for r in rules if r.get("file")})
     rows = files.where(gate).select("path", F.explode(content_hits(rules)).alias("x"))
     return rows.groupBy("path", "x.tech").agg(F.min("x.rule_order").alias("rule_order"))
