@@ -1,6 +1,7 @@
 """Element paths against marks that are no elements."""
 
 import random
+import time
 import xml.etree.ElementTree as ET
 
 import pytest
@@ -62,3 +63,11 @@ def test_against_a_parser(spark):
         want = [r.tag == first and (not rest or r.find("/".join(rest)) is not None) for r in map(ET.fromstring, texts)]
         got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(xml_predicate(F.col("t"), path, None)).collect()]
         assert got == want and len(set(want)) == 2
+
+
+def test_a_page_costs_its_length(spark):
+    page = "<!DOCTYPE html><html><head></head><body>" + "<p>x" * 100_000 + "<title>a</title></body></html>"
+    pages = spark.createDataFrame([(page,)], "h string")
+    began = time.monotonic()
+    got = pages.select(*[xml_predicate(F.col("h"), path, value) for path, value in (("html.head.title", None), ("html.head.title", "/a/"), ("html.body.p", None))]).collect()
+    assert tuple(got[0]) == (False, False, True) and time.monotonic() - began < 30
