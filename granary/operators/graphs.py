@@ -72,10 +72,13 @@ def first_source(rows: DataFrame, keys: list[str], rank: str, *columns: str) ->
     return rows.groupBy(*keys).agg(best).select(*keys, f"x.{rank}", *[f"x.{c}" for c in columns])
 
 
-def propagate_versions(deps: DataFrame, kinds: tuple[str, ...] = ("maven", "gradle")) -> DataFrame:
-    """deps with the first concrete version of the same name (by walk order) where there is none; one namespace for all kinds."""
+def propagate_versions(deps: DataFrame, kinds: tuple[str, ...] = ("maven", "gradle"), ties: tuple[str, ...] = ()) -> DataFrame:
+    """deps with the first concrete version of the same name where there is none; one namespace for all kinds.
+
+    First by walk order, then by the columns `ties`; of rows that these do not tell apart, the least version.
+    """
     own = deps.where(F.col("type").isin(*kinds))
-    known = own.where(resolved(F.col("version")) != "").groupBy("name").agg(F.min(F.struct("walk_order", "version"))["version"].alias("known"))
+    known = own.where(resolved(F.col("version")) != "").groupBy("name").agg(F.min(F.struct("walk_order", *ties, "version"))["version"].alias("known"))
     joined = deps.join(known.withColumnRenamed("name", "k_name"), F.col("type").isin(*kinds) & (F.col("name") == F.col("k_name")), "left")
     return joined.withColumn("version", F.when((resolved(F.col("version")) == "") & F.col("known").isNotNull(), F.col("known")).otherwise(F.col("version"))).select(*deps.columns)
 

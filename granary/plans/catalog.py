@@ -468,7 +468,8 @@ _IS_PIN = "NOT (version = 'latest' OR version LIKE '^%')"
 @query(f"""WITH deps AS ({T.DEPENDENCIES}), k AS (SELECT name, arg_min(version, walk_order) AS known FROM deps WHERE type = 'maven' AND {_IS_PIN} GROUP BY 1)
 SELECT walk_order, type, d.name, CASE WHEN type = 'maven' AND NOT ({_IS_PIN}) AND known IS NOT NULL THEN known ELSE version END AS version FROM deps d LEFT JOIN k ON d.name = k.name""")
 def version_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.propagate_versions(T.dependencies(spark, sf_dir).select("walk_order", "type", "name", "version"))
+    deps = T.dependencies(spark, sf_dir, places=True).select("walk_order", "type", "name", "version", "file", "row")
+    return G.propagate_versions(deps, ties=("file", "row")).drop("file", "row")
 
 
 @query(f"""WITH deps AS ({T.DEPENDENCIES}), m AS (SELECT lower(replace(p_brand, '#', '-')) AS name, min('9.' || p_size) AS managed FROM part WHERE p_size > 25 GROUP BY 1)

@@ -13,9 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item: a package (part brand) of a type (return flag) in a component (supplier)."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+def dependencies(spark: SparkSession, sf_dir: str, places: bool = False) -> DataFrame:
+    """One row per line item: a package (part brand) of a type (return flag) in a component (supplier).
+
+    With places also the file and the row in it, which tell items of one order and line apart.
+    """
+    place = {"file": "_metadata.file_path", "row": "_metadata.row_index"} if places else {}
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", *[F.col(c).alias(k) for k, c in place.items()])
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
     n = F.col("l_linenumber")
     kind = F.when(F.col("l_returnflag") == "A", "npm").when(F.col("l_returnflag") == "R", "maven").otherwise("pypi")
@@ -31,6 +35,7 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 2 == 0, F.concat(F.lit("manifest-"), (F.col("l_orderkey") % 13).cast("string"))).otherwise(F.lit("")).alias("source"),
         F.when(n % 3 == 0, F.lit("MIT")).otherwise(F.lit("")).alias("license"),
         (F.col("l_orderkey") * 10 + n).alias("walk_order"),
+        *place,
     )
 
 

@@ -15,3 +15,18 @@ def test_titles_with_other_entities(spark, tmp_path):
     got = catalog.queries()["xml_structural_paths"](spark, str(tmp_path))
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()['xml_structural_paths']})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_first_version_of_one_walk_order_is_that_of_the_first_row(spark, tmp_path):
+    items = [(1, 1, 1, 3), (1, 2, 1, 1), (1, 3, 1, 1), (1, 2, 2, 3), (2, 1, 1, 5), (1, 4, 1, 2), (1, 5, 1, 2)]
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"""COPY (SELECT o::BIGINT AS l_orderkey, p::BIGINT AS l_partkey, s::BIGINT AS l_suppkey, n::INT AS l_linenumber, 'R' AS l_returnflag, 'O' AS l_linestatus
+      FROM (VALUES {", ".join(map(str, items))}) v(o, p, s, n)) TO '{tmp_path}/lineitem.parquet'""")
+    con.execute(f"COPY (SELECT k::BIGINT AS p_partkey, 'Brand#' || (k // 4) AS p_brand, z::INT AS p_size FROM (VALUES (1, 30), (2, 20), (3, 10), (4, 9), (5, 10)) v(k, z)) TO '{tmp_path}/part.parquet'")
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = catalog.queries()["version_propagation"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()['version_propagation']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {r["version"] for r in got.where("walk_order = 25").collect()} == {"20.1.1"}
