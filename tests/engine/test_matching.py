@@ -1,8 +1,10 @@
 """Registered queries of matching on rows that the given tables seldom hold."""
 
 import duckdb
+import pyarrow as pa
 
 from granary.plans import catalog
+from granary.sources import lockgraphs
 
 
 def test_titles_with_other_entities(spark, tmp_path):
@@ -30,3 +32,11 @@ def test_first_version_of_one_walk_order_is_that_of_the_first_row(spark, tmp_pat
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()['version_propagation']})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert {r["version"] for r in got.where("walk_order = 25").collect()} == {"20.1.1"}
+
+
+def test_edges_leave_a_task_before_they_pile_up():
+    text = "\n".join(f"a.org/x b.org/y{k}@v1.0" for k in range(1000))
+    rows = [(f"/c{k}/go.mod.graph", text, None) for k in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["path", "text", "manifest"])
+    sizes = [x.num_rows for x in lockgraphs.edge_batches(iter([batch]), "full")]
+    assert sum(sizes) == 50_000 and max(sizes) < lockgraphs.EDGE_ROWS + 1000
