@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import SBOM_TYPES, cyclonedx_scope, dependency_type, digest, node_parts, purl
+from .storage import side_by_side, stored
 
 
 def sbom_components(deps: DataFrame, direct_only: bool = False) -> DataFrame:
@@ -33,10 +34,13 @@ def transitive_components(deps: DataFrame, edges: DataFrame) -> DataFrame:
     edges: (component_type, from, to).
     """
     name, version = node_parts(F.col("node"))
-    nodes = graph_nodes(edges, "component_type").select(dependency_type(F.col("component_type")).alias("type"), name.alias("name"), version.alias("version")).where("type <> '' AND name <> ''")
-    found = nodes.withColumn("purl", purl(F.col("type"), F.col("name"), F.col("version"))).where("purl <> ''")
-    known = deps.select(purl(F.col("type"), F.col("name"), F.col("version")).alias("purl")).distinct()
-    return found.join(known, "purl", "left_anti").groupBy("purl").agg(F.min(F.struct("type", "name", "version")).alias("x")).select("x.type", "x.name", "x.version", "purl")
+    url = purl(F.col("type"), F.col("name"), F.col("version")).alias("purl")
+    nodes = graph_nodes(edges, "component_type").select(dependency_type(F.col("component_type")).alias("type"), name.alias("name"), version.alias("version"))
+    packages = deps.select("type", "name", "version").distinct()
+    # Stored, as Spark would move filters on the URL below distinct, and make it for every row several times over.
+    found, known = side_by_side(lambda: stored(nodes.select("*", url)), lambda: stored(packages.select(url)))
+    found = found.where("type <> '' AND name <> '' AND purl <> ''").join(known.distinct(), "purl", "left_anti")
+    return found.groupBy("purl").agg(F.min(F.struct("type", "name", "version")).alias("x")).select("x.type", "x.name", "x.version", "purl")
 
 
 def user_properties(properties: Mapping[str, object]) -> list[dict[str, str]]:

@@ -216,3 +216,18 @@ def test_bills_of_materials(spark):
     assert rows(sbom.transitive_components(d, e)) == [("npm", "b", "2", "pkg:npm/b@2")]
     out = json.loads(documents.spdx(comps, "root"))
     assert len(out["packages"]) == 3 and [r["relationshipType"] for r in out["relationships"]] == ["DESCRIBES", "CONTAINS", "CONTAINS"]
+
+
+def test_package_urls_are_made_once_a_package(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def url(kind, name, version):
+        made.add(1)
+        return f"pkg:{kind}/{name}@{version}"
+
+    monkeypatch.setattr(sbom, "purl", lambda *columns: F.udf(url)(*columns))
+    n = F.col("id") % 3
+    d = spark.range(300).select(F.lit("npm").alias("type"), F.concat(F.lit("a"), n).alias("name"), F.lit("1").alias("version"))
+    e = spark.range(300).select(F.lit("nodejs").alias("component_type"), F.lit(".").alias("from"), F.concat(F.lit("a"), n + 1, F.lit("@1")).alias("to"))
+    assert rows(sbom.transitive_components(d, e)) == [("npm", "a3", "1", "pkg:npm/a3@1")]
+    assert made.value == 6  # three packages, three nodes
